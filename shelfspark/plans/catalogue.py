@@ -1,0 +1,9 @@
+"""All queries over the library tables, with the SQL that gives the same rows."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
