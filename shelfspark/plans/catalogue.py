@@ -1,9 +1,756 @@
 """All queries over the library tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from shelfspark import schema as S
+from shelfspark.functions import predicates as P
+from shelfspark.operators import browse, duplicates, facets, geo, ingest, memories, people, search, vectors
+from shelfspark.plans.adapter_sql import sql
+from shelfspark.sources.library import AS_OF, Documents, Orders
+from shelfspark.streaming import ingest as streams
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+COLS = ", ".join(f"a.{c}" for c in S.ASSET_SUMMARY)
+NEWEST = "ORDER BY a.ev DESC NULLS LAST, a.id LIMIT 500"
+
+
+def query(kind, oracle: str | None = None):
+    """Register a function of the library's tables under its name."""
+
+    def keep(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(kind(spark, sf_dir))
+        if oracle:
+            _sql[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def listing(where: str, join: str = "", tables: tuple = (), order: str = NEWEST) -> str:
+    return sql(f"SELECT {COLS} FROM live a {join} WHERE {where} {order}", "live", *tables)
+
+
+# -- files -----------------------------------------------------------------
+
+
+@query(Orders, sql(r"""SELECT media_type, count(*) AS n FROM (SELECT CASE
+  WHEN regexp_matches(path, '\.(jpg|jpeg|png|gif|webp|bmp|tif|tiff|heic|heif|raw|dng|cr2|cr3|nef|nrw|arw|srf|sr2|orf|raf|rw2|pef|srw|x3f|3fr|erf|mrw|dcr|kdc)$', 'i') THEN 'image'
+  WHEN regexp_matches(path, '\.(mp4|mov|m4v|avi|mkv|webm)$', 'i') THEN 'video' ELSE 'none' END AS media_type FROM assets) GROUP BY 1""", "assets"))
+def media_type_counts(t):
+    return ingest.media_type_counts(t.assets)
+
+
+IGNORE = ["*.cr2", "selfie*", "/lib/F/"]
+
+
+@query(Orders, sql("SELECT id, path FROM assets WHERE NOT (lower(path) LIKE '%.cr2' OR regexp_matches(lower(path), '/selfie[^/]*$') OR contains(lower(path), '/lib/f/'))", "assets"))
+def ignore_filter(t):
+    return t.assets.where(~P.ignored(F.col("path"), IGNORE)).select("id", "path")
+
+
+def _snapshot(t):
+    """A folder as it might be today: every 7th file touched since, every 11th grown, all under their own path."""
+    k = F.col("id").cast("long")
+    later = F.when(k % 7 == 0, F.expr("interval '1' day")).otherwise(F.expr("interval '-1' day"))
+    return t.assets.select("path", (F.col("file_size") + (k % 11 == 0).cast("long")).alias("file_size"), (F.col("indexed_at") + later).alias("modified"))
+
+
+@query(Orders, sql("SELECT path, file_size + CASE WHEN CAST(id AS BIGINT) % 11 = 0 THEN 1 ELSE 0 END AS file_size FROM assets WHERE CAST(id AS BIGINT) % 7 = 0 OR CAST(id AS BIGINT) % 11 = 0 OR deleted_at IS NOT NULL", "assets"))
+def changed_files(t):
+    return ingest.changed_files(_snapshot(t), t.assets).select("path", "file_size")
+
+
+@query(Documents, "SELECT doc_id AS id, sha256(text) AS hash FROM documents")
+def content_hash(t):
+    return ingest.content_hash(t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query(Orders, """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * ((o_orderkey % 100) + (o_orderkey % 60) / 60.0 + (o_orderkey % 7) / 3600.0) AS lat,
+  CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * ((o_orderkey % 200) + (o_orderkey % 50) / 60.0 + (o_orderkey % 11) / 3600.0) AS lon FROM orders)
+  SELECT id, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon FROM r WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)""")
+def gps_normalise(t):
+    k = "o_orderkey"
+    raw = t.read("orders").selectExpr(f"cast({k} as string) as id", f"{k} % 100 as lat_d", f"{k} % 60 as lat_m", f"{k} % 7 as lat_s", f"if({k} % 2 = 0, 'S', 'N') as lat_ref", f"{k} % 200 as lon_d", f"{k} % 50 as lon_m", f"{k} % 11 as lon_s", f"if({k} % 3 = 0, 'W', 'E') as lon_ref")
+    return geo.gps_normalise(raw).select("id", (F.round("lat", 6) + 0.0).alias("lat"), (F.round("lon", 6) + 0.0).alias("lon"))
+
+
+@query(Orders, sql(r"""SELECT id, seq, CASE WHEN n = 1 THEN base ELSE regexp_extract(base, '^(.*?)(\.[^.]*)?$', 1) || '-' || n || regexp_extract(base, '(\.[^.]*)$', 1) END AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) AS n FROM (SELECT id, CAST(id AS BIGINT) AS seq, coalesce(strftime(captured_at, '%Y-%m-%d'), 'undated') || '_' || CASE media_type WHEN 'video' THEN 'clip.mp4' ELSE 'photo.jpg' END AS base FROM live))""", "live"))
+def export_names(t):
+    rows = P.live(t.assets).select("id", F.col("id").cast("long").alias("seq"), "captured_at", F.when(F.col("media_type") == "video", "/x/clip.mp4").otherwise("/x/photo.jpg").alias("path"))
+    return ingest.export_names(rows, "date_filename")
+
+
+# -- listings --------------------------------------------------------------
+
+
+@query(Orders, listing("true"))
+def list_assets(t):
+    return browse.list_assets(t.assets)
+
+
+@query(Orders, listing("lower(coalesce(a.camera, '')) LIKE '%canon%' AND a.rating >= 2 AND a.media_type = 'image'"))
+def search_filters(t):
+    return browse.search_structured(t.assets, "camera:canon rating>2 type:image")
+
+
+@query(Orders, listing("a.ev < TIMESTAMP '1999-01-01' AND a.ev > TIMESTAMP '1996-06-01' AND a.favorite"))
+def search_dates(t):
+    return browse.search_structured(t.assets, "before:1999-01-01 after:1996-06-01 fav:true")
+
+
+@query(Orders, listing("a.id IN (SELECT asset_id FROM asset_tags WHERE tag_id = 'Brand#5')", tables=("asset_tags",)))
+def tag_assets(t):
+    return browse.member_assets(t.assets, t.asset_tags.where("tag_id = 'Brand#5'"))
+
+
+@query(Orders, listing("""a.rating IN (3, 4, 5) AND a.color_label IN ('red', 'yellow', 'green') AND a.id IN
+  (SELECT asset_id FROM asset_tags WHERE tag_id IN ('Brand#5', 'Brand#7') GROUP BY asset_id HAVING count(DISTINCT tag_id) = 2)""", tables=("asset_tags",)))
+def browse_filter(t):
+    return browse.browse(t.assets, t.asset_tags, ["Brand#5", "Brand#7"], [3, 4, 5], ["red", "yellow", "green"])
+
+
+@query(Orders, listing("a.id IN (SELECT asset_id FROM album_assets WHERE album_id = '11')", tables=("album_assets",)))
+def album_assets(t):
+    return browse.member_assets(t.assets, t.album_assets.where("album_id = '11'"))
+
+
+@query(Orders, listing("a.id IN (SELECT asset_id FROM faces WHERE person_id = '5')", tables=("faces",)))
+def person_assets(t):
+    return browse.member_assets(t.assets, t.faces.where("person_id = '5'"))
+
+
+@query(Orders, listing("a.id IN (SELECT asset_id FROM asset_places WHERE place_label = 'NATION_3')", tables=("asset_places",)))
+def place_assets(t):
+    return browse.member_assets(t.assets, t.asset_places.where("place_label = 'NATION_3'"))
+
+
+@query(Orders, listing("strftime(a.ev, '%Y-%m') = '1998-03'"))
+def month_assets(t):
+    return browse.month_assets(t.assets, 1998, 3)
+
+
+@query(Orders, listing("true", order="ORDER BY a.indexed_at DESC, a.id LIMIT 100"))
+def recent(t):
+    return browse.recent(t.assets)
+
+
+@query(Orders, listing("true", "JOIN asset_views v ON v.asset_id = a.id", ("asset_views",), "ORDER BY v.viewed_at DESC, a.id LIMIT 100"))
+def recently_viewed(t):
+    return browse.recently_viewed(t.assets, t.asset_views)
+
+
+@query(Orders, sql(f"SELECT {COLS} FROM assets a WHERE deleted_at IS NOT NULL ORDER BY deleted_at DESC, id LIMIT 500", "assets"))
+def trash(t):
+    return browse.trash(t.assets)
+
+
+IDS = ["25", "7", "101", "50", "7", "3"]
+
+
+@query(Orders, sql(f"SELECT {COLS} FROM assets a WHERE id IN ('25', '7', '101', '50', '3')", "assets"))
+def by_ids(t):
+    return browse.by_ids(t.assets, IDS)
+
+
+@query(Orders, sql(f"SELECT CAST(list_position(['25', '7', '101', '50', '7', '3'], a.id) AS BIGINT) AS pos, {COLS} FROM live a WHERE id IN ('25', '7', '101', '50', '3')", "live"))
+def by_ids_ordered(t):
+    return browse.by_ids_ordered(t.assets, IDS)
+
+
+@query(Orders, sql(f"SELECT {COLS}, a.blur_score FROM live a WHERE media_type = 'image' AND blur_score <= 80 ORDER BY blur_score, created_at DESC, id LIMIT 500", "live"))
+def blurry(t):
+    return browse.blurry(t.assets)
+
+
+RAW_SQL = r"regexp_matches(a.path, '\.(raw|dng|cr2|cr3|nef|nrw|arw|srf|sr2|orf|raf|rw2|pef|srw|x3f|3fr|erf|mrw|dcr|kdc)$', 'i')"
+SMART_SQL = {
+    "videos": "a.media_type = 'video'",
+    "raw": f"a.media_type = 'image' AND {RAW_SQL}",
+    "screenshots": "a.media_type = 'image' AND a.camera IS NULL AND (lower(a.path) LIKE '%screenshot%' OR lower(a.path) LIKE '%screen shot%')",
+    "selfies": "a.media_type = 'image' AND (lower(coalesce(a.lens, '')) LIKE '%front%' OR lower(a.path) LIKE '%selfie%')",
+    "panoramas": "a.media_type = 'image' AND a.width IS NOT NULL AND a.height IS NOT NULL AND least(a.width, a.height) > 0 AND greatest(a.width, a.height)::DOUBLE / least(a.width, a.height) >= 2.0",
+    "documents": "a.media_type = 'image' AND length(trim(x.text)) >= 200 AND x.confidence >= 0.35",
+    "receipts": "a.media_type = 'image' AND x.confidence >= 0.30 AND (" + " OR ".join([f"lower(x.text) LIKE '%{w}%'" for w in S.RECEIPT_WORDS] + [f"contains(x.text, '{c}')" for c in S.CURRENCY_SIGNS]) + ")",
+}
+
+
+@query(Orders, listing(SMART_SQL["videos"]))
+def smart_videos(t):
+    return P.summary(browse.smart(t.assets, "videos"))
+
+
+@query(Orders, listing(SMART_SQL["raw"]))
+def smart_raw(t):
+    return P.summary(browse.smart(t.assets, "raw"))
+
+
+@query(Orders, listing(SMART_SQL["screenshots"]))
+def smart_screenshots(t):
+    return P.summary(browse.smart(t.assets, "screenshots"))
+
+
+@query(Orders, listing(SMART_SQL["selfies"]))
+def smart_selfies(t):
+    return P.summary(browse.smart(t.assets, "selfies"))
+
+
+@query(Orders, listing(SMART_SQL["panoramas"]))
+def smart_panoramas(t):
+    return P.summary(browse.smart(t.assets, "panoramas"))
+
+
+def _doc_smart(kind: str) -> str:
+    return sql(f"SELECT a.id, a.path FROM doc_assets a JOIN asset_text x ON x.asset_id = a.id WHERE {SMART_SQL[kind]} ORDER BY a.created_at DESC, a.id LIMIT 500", "doc_assets", "asset_text")
+
+
+@query(Documents, _doc_smart("documents"))
+def smart_documents(t):
+    return browse.smart(t.assets, "documents", t.asset_text).select("id", "path")
+
+
+@query(Documents, _doc_smart("receipts"))
+def smart_receipts(t):
+    return browse.smart(t.assets, "receipts", t.asset_text).select("id", "path")
+
+
+@query(Orders, sql(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER ({w}) AS n FROM live a" for k, w in SMART_SQL.items() if k not in ("documents", "receipts")) + " UNION ALL SELECT 'documents', 0 UNION ALL SELECT 'receipts', 0", "live"))
+def smart_counts(t):
+    return browse.smart_counts(t.assets)
+
+
+@query(Orders, sql("SELECT id, name, ignored, face_count FROM people WHERE face_count > 0 AND NOT ignored", "people"))
+def people_list(t):
+    return browse.people(t.people)
+
+
+_queries["people"], _sql["people"] = _queries.pop("people_list"), _sql.pop("people_list")
+
+
+@query(Orders, sql("SELECT f.id, f.asset_id, f.person_id, p.name AS person_name, f.score FROM faces f LEFT JOIN people p ON p.id = f.person_id WHERE f.asset_id = '77'", "people"))
+def asset_faces(t):
+    return browse.asset_faces(t.faces, t.people, "77")
+
+
+@query(Documents, sql("SELECT * FROM asset_labels WHERE asset_id = '42'", "asset_labels"))
+def asset_labels(t):
+    return browse.labels_of(t.asset_labels, "42")
+
+
+@query(Orders, sql("SELECT * FROM activity_log ORDER BY created_at DESC, id DESC LIMIT 200", "activity_log"))
+def activity(t):
+    return browse.newest(t.activity_log, 200)
+
+
+@query(Orders, sql("""SELECT arg_max(query, (made, query)) AS query, max(made) AS last_made, count(*) AS n FROM searches WHERE trim(query) <> '' GROUP BY lower(query) ORDER BY last_made DESC, lower(arg_max(query, (made, query))) LIMIT 30""", "searches"))
+def saved_searches(t):
+    return ingest.recent_searches(t.searches)
+
+
+@query(Orders, "SELECT max(event_id) FILTER (TRUE) AS id, asset_id, arg_max(ops_json, (created_at, id)) AS ops_json, max(created_at) AS created_at FROM (SELECT event_id AS id, event_id, CAST(event_id % 2000 AS VARCHAR) AS asset_id, props AS ops_json, ts AS created_at FROM events) GROUP BY asset_id")
+def latest_edit(t):
+    return browse.latest(t.asset_edits, "asset_id", "created_at", "id")
+
+
+@query(Orders, sql("SELECT id, path FROM live WHERE media_type = 'image' AND blur_score IS NULL ORDER BY indexed_at DESC, id LIMIT 100", "live"))
+def backfill(t):
+    return browse.backfill(t.assets, "blur", 100)
+
+
+# -- counts ----------------------------------------------------------------
+
+
+@query(Orders, sql("""SELECT count(*) FILTER (deleted_at IS NULL) AS total_assets, count(*) FILTER (deleted_at IS NULL AND media_type = 'image') AS total_images,
+  count(*) FILTER (deleted_at IS NULL AND media_type = 'video') AS total_videos, count(*) FILTER (deleted_at IS NULL AND favorite) AS favorites, count(*) FILTER (deleted_at IS NOT NULL) AS in_trash,
+  (SELECT count(*) FROM customer) AS album_count, (SELECT count(DISTINCT p_brand) FROM part) AS tag_count, CAST(0 AS BIGINT) AS watched_folders, CAST(30 AS BIGINT) AS trash_retention_days FROM assets""", "assets"))
+def library_stats(t):
+    return facets.library_stats(t.assets, t.albums, t.tags)
+
+
+@query(Orders, sql("SELECT rating, count(*) AS n FROM live WHERE rating > 0 GROUP BY rating", "live"))
+def facet_ratings(t):
+    return facets.facet_ratings(t.assets)
+
+
+@query(Orders, sql("SELECT color_label, count(*) AS n FROM live WHERE color_label <> '' GROUP BY color_label", "live"))
+def facet_colors(t):
+    return facets.facet_colors(t.assets)
+
+
+@query(Orders, sql("SELECT CAST(year(ev) AS INTEGER) AS year, CAST(month(ev) AS INTEGER) AS month, count(*) AS n FROM live GROUP BY 1, 2", "live"))
+def timeline_months(t):
+    return facets.timeline_months(t.assets)
+
+
+@query(Orders, sql("SELECT coalesce(strftime(ev, '%Y-%m-%d'), 'unknown') AS day, count(*) AS n FROM live GROUP BY 1", "live"))
+def timeline_days(t):
+    return facets.timeline_days(t.assets)
+
+
+MEMBERS = "SELECT album_id, count(*) AS n, arg_max(asset_id, (coalesce(captured_at, indexed_at), asset_id)) AS newest FROM album_assets JOIN live ON live.id = asset_id GROUP BY album_id"
+
+
+@query(Orders, sql(f"""SELECT b.id, b.name, b.cover_asset_id, b.created_at, coalesce(n, 0) AS asset_count, coalesce(c.thumbnail_path, m.thumbnail_path) AS cover_thumbnail_path
+  FROM albums b LEFT JOIN ({MEMBERS}) x ON x.album_id = b.id LEFT JOIN live c ON c.id = b.cover_asset_id LEFT JOIN live m ON m.id = x.newest""", "live", "albums", "album_assets"))
+def albums(t):
+    return facets.albums_with_counts(t.albums, t.album_assets, t.assets)
+
+
+@query(Orders, sql(f"""SELECT b.id, b.name, CASE WHEN c.id IS NOT NULL THEN b.cover_asset_id ELSE newest END AS cover_asset_id, b.created_at
+  FROM albums b LEFT JOIN ({MEMBERS}) x ON x.album_id = b.id LEFT JOIN live c ON c.id = b.cover_asset_id AND EXISTS (SELECT 1 FROM album_assets z WHERE z.album_id = b.id AND z.asset_id = c.id)""", "live", "albums", "album_assets"))
+def album_covers(t):
+    return facets.synced_covers(t.albums, t.album_assets, t.assets)
+
+
+@query(Orders, sql("SELECT t.id, t.name, count(l.id) AS asset_count FROM tags t LEFT JOIN asset_tags x ON x.tag_id = t.id LEFT JOIN live l ON l.id = x.asset_id GROUP BY t.id, t.name", "tags", "asset_tags", "live"))
+def tags(t):
+    return facets.tags_with_counts(t.tags, t.asset_tags, t.assets)
+
+
+@query(Orders, sql("""SELECT 'album' AS kind, b.id, b.name, (SELECT count(*) FROM album_assets y JOIN live l ON l.id = y.asset_id WHERE y.album_id = b.id) AS asset_count FROM albums b WHERE b.id IN (SELECT album_id FROM album_assets WHERE asset_id = '77')
+  UNION ALL SELECT 'tag', g.id, g.name, (SELECT count(*) FROM asset_tags y JOIN live l ON l.id = y.asset_id WHERE y.tag_id = g.id) FROM tags g WHERE g.id IN (SELECT tag_id FROM asset_tags WHERE asset_id = '77')""", "live", "albums", "album_assets", "tags", "asset_tags"))
+def asset_organisation(t):
+    return facets.asset_organisation("77", t.albums, t.album_assets, t.tags, t.asset_tags, t.assets)
+
+
+@query(Orders, sql("""SELECT place_label, min(country) AS country, count(*) AS asset_count, avg(lat) AS lat, avg(lon) AS lon, arg_max(coalesce(thumbnail_path, '-'), (ev, asset_id)) AS cover_thumbnail_path
+  FROM asset_places JOIN live ON live.id = asset_id WHERE trim(place_label) <> '' GROUP BY place_label""", "asset_places", "live"))
+def places(t):
+    return facets.places(t.asset_places, t.assets).na.fill("-", ["cover_thumbnail_path"])
+
+
+@query(Orders, sql("""SELECT greatest((s + n) / 2 - greatest((n - s) / 2, 4.0), -90.0) AS south, least((s + n) / 2 + greatest((n - s) / 2, 4.0), 90.0) AS north,
+  greatest((w + e) / 2 - greatest((e - w) / 2, 6.0), -180.0) AS west, least((w + e) / 2 + greatest((e - w) / 2, 6.0), 180.0) AS east
+  FROM (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM asset_places WHERE place_label IN ('NATION_3', 'NATION_4'))""", "asset_places"))
+def places_bbox(t):
+    return facets.places_bbox(t.asset_places.where("place_label in ('NATION_3', 'NATION_4')"))
+
+
+@query(Orders, sql("""SELECT capability, done, (SELECT count(*) FROM live WHERE media_type = 'image') AS total FROM (
+  SELECT 'faces' AS capability, count(DISTINCT live.id) AS done FROM faces JOIN live ON live.id = asset_id UNION ALL
+  SELECT 'places', count(DISTINCT live.id) FROM asset_places JOIN live ON live.id = asset_id UNION ALL
+  SELECT 'click', count(DISTINCT live.id) FROM ml_jobs JOIN live ON live.id = asset_id WHERE kind = 'click' AND state = 'done')""", "live", "faces", "asset_places", "ml_jobs"))
+def coverage(t):
+    return facets.coverage(t.assets, {"faces": t.faces, "places": t.asset_places, "click": t.ml_jobs.where("kind = 'click' and state = 'done'")})
+
+
+@query(Orders, sql("SELECT kind, count(*) AS failed, arg_max(error, (updated_at, asset_id)) AS last_error FROM ml_jobs WHERE state = 'failed' AND attempts >= 3 GROUP BY kind", "ml_jobs"))
+def job_failures(t):
+    return facets.job_failures(t.ml_jobs)
+
+
+@query(Orders, sql("""SELECT l.id, l.path FROM live l LEFT JOIN ml_jobs j ON j.asset_id = l.id AND j.kind = 'click' WHERE l.media_type = 'image' AND l.id NOT IN (SELECT asset_id FROM asset_views)
+  AND (j.state IS NULL OR (j.state = 'failed' AND j.attempts < 3)) ORDER BY l.indexed_at DESC, l.id LIMIT 500""", "live", "ml_jobs", "asset_views"))
+def pending_assets(t):
+    return facets.pending_assets(t.assets, t.ml_jobs, "click", t.asset_views)
+
+
+@query(Orders, sql("SELECT person_id, count(*) AS face_count, arg_min(id, (CASE WHEN crop_path IS NULL THEN 1 ELSE 0 END, -score, id)) AS cover_face_id FROM faces GROUP BY person_id", "faces"))
+def person_stats(t):
+    return people.person_stats(t.faces)
+
+
+CENTROIDS = """, m AS (SELECT label AS person_id, i AS dim, avg(vector[i]::DOUBLE) AS m, count(*) AS n FROM asset_embeddings, range(1, 65) r(i) GROUP BY 1, 2),
+  norms AS (SELECT person_id, sqrt(sum(m * m)) AS norm FROM m GROUP BY person_id)"""
+
+
+@query(Documents, sql(CENTROIDS + "SELECT person_id, CAST(dim - 1 AS INTEGER) AS dim, round(CASE WHEN norm > 0 THEN m / norm ELSE m END, 6) AS value, n FROM m JOIN norms USING (person_id)", "asset_embeddings"))
+def person_centroids(t):
+    return vectors.group_centroids(t.asset_embeddings.withColumnRenamed("label", "person_id"), "person_id").withColumn("value", F.round("value", 6))
+
+
+# -- duplicates ------------------------------------------------------------
+
+
+@query(Documents, sql("SELECT hash AS group_key, id, path, CAST(row_number() OVER (PARTITION BY hash ORDER BY created_at, path, id) - 1 AS INTEGER) AS pos FROM doc_assets WHERE hash IN (SELECT hash FROM doc_assets GROUP BY hash HAVING count(*) > 1)", "doc_assets"))
+def exact_duplicates(t):
+    return duplicates.exact_duplicates(t.assets)
+
+
+def _hashes(t):
+    return t.word_bands.join(t.assets.select("id", "hash"), "id")
+
+
+PAIRS = """, h AS (SELECT w.*, d.hash FROM word_bands w JOIN doc_assets d USING (id) WHERE bit_count(b0) + bit_count(b1) + bit_count(b2) + bit_count(b3) BETWEEN 4 AND 60),
+  pairs AS (SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.b0, y.b0)) + bit_count(xor(x.b1, y.b1)) + bit_count(xor(x.b2, y.b2)) + bit_count(xor(x.b3, y.b3)) AS INTEGER) AS distance
+    FROM h x JOIN h y ON x.id < y.id AND x.hash <> y.hash AND bit_count(xor(x.b0, y.b0)) + bit_count(xor(x.b1, y.b1)) + bit_count(xor(x.b2, y.b2)) + bit_count(xor(x.b3, y.b3)) <= 2)"""
+REACH = """, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(n, m) AS (SELECT a, a FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a)"""
+
+
+@query(Documents, sql(PAIRS + "SELECT a, b, distance FROM pairs", "word_bands", "doc_assets"))
+def near_duplicate_pairs(t):
+    return duplicates.near_pairs(_hashes(t))
+
+
+@query(Documents, sql(PAIRS + REACH + "SELECT min(m) AS group_key, n AS id FROM reach GROUP BY n", "word_bands", "doc_assets", recursive=True))
+def near_duplicates(t):
+    return duplicates.near_groups(_hashes(t))
+
+
+ALL_DUPLICATES = PAIRS + REACH + ", both_kinds AS (SELECT 'near' AS kind, min(m) AS group_key, n AS id FROM reach GROUP BY n UNION ALL SELECT 'exact', hash, id FROM doc_assets WHERE hash IN (SELECT hash FROM doc_assets GROUP BY hash HAVING count(*) > 1))"
+
+
+@query(Documents, sql(ALL_DUPLICATES + "SELECT * FROM both_kinds", "word_bands", "doc_assets", recursive=True))
+def all_duplicates(t):
+    return duplicates.all_duplicates(exact_duplicates(t), near_duplicates(t))
+
+
+@query(Documents, sql(ALL_DUPLICATES + "SELECT kind, count(DISTINCT group_key) AS groups, count(*) AS items FROM both_kinds GROUP BY kind", "word_bands", "doc_assets", recursive=True))
+def duplicate_summary(t):
+    return facets.duplicate_summary(all_duplicates(t))
+
+
+@query(Orders, """WITH r AS (SELECT DISTINCT '/lib/' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '/sub' || (o_orderkey % 5) ELSE '' END AS path FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 3 = 0)
+  SELECT path FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.path, q.path || '/'))""")
+def prune_roots(t):
+    o = t.read("orders").where("o_orderstatus <> 'P' or o_orderkey % 3 = 0")
+    return duplicates.prune_roots(o.selectExpr("concat('/lib/', o_orderstatus, if(o_orderkey % 3 = 0, concat('/sub', o_orderkey % 5), '')) as path").distinct())
+
+
+# -- vectors and signals ---------------------------------------------------
+
+
+def _query_vector(t) -> list[float]:
+    return list(t.read("embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+SCORES = ", s AS (SELECT e.asset_id AS id, list_inner_product(e.vector::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM asset_embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
+
+
+@query(Documents, sql(SCORES + "SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.15 ORDER BY s.score DESC, id LIMIT 50", "asset_embeddings"))
+def semantic_search(t):
+    return vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50, assets=t.assets).withColumn("score", F.round("score", 6))
+
+
+@query(Documents)
+def semantic_ann(t):
+    return vectors.semantic_ann(t.asset_embeddings, _query_vector(t), 50)
+
+
+@query(Documents, sql("""SELECT asset_id, 'label_' || lpad(CAST(i AS VARCHAR), 2, '0') AS label, round(p, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT asset_id, i, p, row_number() OVER (PARTITION BY asset_id ORDER BY p DESC, i) - 1 AS rank FROM (SELECT asset_id, i, exp(vector[i + 1]::DOUBLE * 8) / sum(exp(vector[i + 1]::DOUBLE * 8)) OVER (PARTITION BY asset_id) AS p FROM asset_embeddings, range(0, 64) r(i)))
+  WHERE rank < 5 AND (p >= 0.05 OR rank = 0)""", "asset_embeddings"))
+def label_topk(t):
+    names = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("label_"), F.lpad(i.cast("string"), 2, "0")))
+    rows = t.asset_embeddings.select("asset_id", names.alias("labels"), F.transform("vector", lambda x: x.cast("double") * 8).alias("logits"))
+    return vectors.label_topk(rows).withColumn("score", F.round("score", 6))
+
+
+@query(Documents, sql("""SELECT id, """ + " || ".join(f"lower(printf('%04x', CAST(sum(CASE WHEN i BETWEEN {48 - 16 * w} AND {63 - 16 * w} AND p >= m THEN 1 << (i - {48 - 16 * w}) ELSE 0 END) AS INTEGER)))" for w in range(4)) + """ AS hash
+  FROM (SELECT asset_id AS id, CAST(i AS INTEGER) AS i, CAST(floor((vector[i + 1]::DOUBLE + 1) * 127) AS BIGINT) AS p, floor(sum(CAST(floor((vector[i + 1]::DOUBLE + 1) * 127) AS BIGINT)) OVER (PARTITION BY asset_id) / 64) AS m FROM asset_embeddings, range(0, 64) r(i)) GROUP BY id""", "asset_embeddings"))
+def ahash(t):
+    return vectors.ahash(t.asset_embeddings.select(F.col("asset_id").alias("id"), F.transform("vector", lambda x: F.floor((x.cast("double") + 1) * 127)).alias("pixels")))
+
+
+@query(Documents, sql(""", px AS (SELECT asset_id AS id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, floor((vector[i + 1]::DOUBLE + 1) * 127) AS p FROM asset_embeddings, range(0, 64) r(i))
+  SELECT c.id, round(var_pop(u.p + d.p + l.p + r.p - 4 * c.p), 6) AS blur_score FROM px c JOIN px u ON u.id = c.id AND u.x = c.x AND u.y = c.y - 1 JOIN px d ON d.id = c.id AND d.x = c.x AND d.y = c.y + 1
+  JOIN px l ON l.id = c.id AND l.y = c.y AND l.x = c.x - 1 JOIN px r ON r.id = c.id AND r.y = c.y AND r.x = c.x + 1 GROUP BY c.id""", "asset_embeddings"))
+def blur_score(t):
+    images = t.asset_embeddings.select(F.col("asset_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("vector", lambda x: F.floor((x.cast("double") + 1) * 127)).alias("pixels"))
+    return vectors.blur_score(images).withColumn("blur_score", F.round("blur_score", 6))
+
+
+@query(Orders)
+def nms(t):
+    k = t.read("lineitem").select("l_orderkey", "l_suppkey").distinct()
+    boxes = k.selectExpr("cast(l_orderkey as string) as asset_id", "concat(l_orderkey, ':', l_suppkey) as id", "cast(l_suppkey % 7 * 10 as double) as x", "cast(l_suppkey % 3 * 10 as double) as y", "40.0D as w", "40.0D as h", "((l_orderkey * 31 + l_suppkey) % 100) / 100.0D as score")
+    return vectors.nms(boxes)
+
+
+# -- full text -------------------------------------------------------------
+
+
+def _doc_index(t):
+    d = t.assets.select(F.col("id").alias("asset_id"), P.name_of(F.col("path")).alias("filename"))
+    d = d.join(t.asset_text.select("asset_id", F.col("text").alias("ocr_text")), "asset_id")
+    return d.join(t.asset_captions, "asset_id")
+
+
+BM25 = r""", toks AS (
+    SELECT id, 5.0 AS w, unnest(regexp_split_to_array(lower(regexp_extract(path, '[^/]*$')), '[^\p{L}\p{N}_]+')) AS term FROM doc_assets
+    UNION ALL SELECT asset_id, 12.0, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) FROM asset_text
+    UNION ALL SELECT asset_id, 8.0, unnest(regexp_split_to_array(lower(caption), '[^\p{L}\p{N}_]+')) FROM asset_captions),
+  d AS (SELECT id, count(*) AS len, sum(CASE WHEN starts_with(term, 'then') THEN w ELSE 0 END) AS f0, sum(CASE WHEN starts_with(term, 'ere') THEN w ELSE 0 END) AS f1 FROM toks WHERE term <> '' GROUP BY id),
+  t AS (SELECT (SELECT count(*) FROM doc_assets) AS n, (SELECT sum(len) FROM d) / (SELECT count(*) FROM doc_assets) AS avg, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM d),
+  hits AS (SELECT id, greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / avg)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / avg)) AS score
+    FROM d, t WHERE f0 > 0 AND f1 > 0),
+  top AS (SELECT h.id, h.score, row_number() OVER (ORDER BY h.score DESC, created_at DESC, h.id) AS r FROM hits h JOIN doc_assets USING (id))"""
+
+
+@query(Documents, sql(BM25 + "SELECT id, round(score, 6) AS score FROM top WHERE r <= 50", "doc_assets", "asset_text", "asset_captions"))
+def search_text(t):
+    return search.search_text(t.assets, _doc_index(t), "then ere", 50).withColumn("score", F.round("score", 6))
+
+
+@query(Documents, sql(BM25 + SCORES + """, v AS (SELECT id, score FROM s WHERE score >= 0.15 ORDER BY score DESC, id LIMIT 50),
+  merged AS (SELECT id, min((src, -score)) AS r FROM (SELECT id, 0 AS src, score FROM top WHERE r <= 50 UNION ALL SELECT id, 1, score FROM v) GROUP BY id)
+  SELECT id, CAST(row_number() OVER (ORDER BY r, id) - 1 AS INTEGER) AS pos FROM merged QUALIFY row_number() OVER (ORDER BY r, id) <= 50""", "doc_assets", "asset_text", "asset_captions", "asset_embeddings"))
+def blended_search(t):
+    text = search.search_text(t.assets, _doc_index(t), "then ere", 50)
+    return search.blended(text, vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50), 50)
+
+
+@query(Orders, sql("""SELECT a.id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, coalesce(camera, '') AS camera, coalesce(lens, '') AS lens, coalesce(t.l, '') AS tags, coalesce(p.l, '') AS people, '' AS ocr_text, '' AS auto_tags, '' AS caption
+  FROM assets a LEFT JOIN (SELECT asset_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS l FROM asset_tags x JOIN tags g ON g.id = x.tag_id GROUP BY asset_id) t ON t.asset_id = a.id
+  LEFT JOIN (SELECT asset_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS l FROM faces f JOIN people q ON q.id = f.person_id WHERE NOT ignored AND trim(name) <> '' GROUP BY asset_id) p ON p.asset_id = a.id""", "assets", "tags", "asset_tags", "people"))
+def search_documents(t):
+    return search.search_documents(t.assets, t.tags, t.asset_tags, t.faces, t.people)
+
+
+# -- memories --------------------------------------------------------------
+
+RANK = "CAST(favorite AS INTEGER) * 10 + rating * 2 + CASE WHEN thumbnail_path IS NOT NULL THEN 1 ELSE 0 END"
+SHOT = "(media_type = 'image' AND camera IS NULL AND (lower(path) LIKE '%screenshot%' OR lower(path) LIKE '%screen shot%'))"
+PAST = f"ev >= TIMESTAMP '{AS_OF}' - INTERVAL 1095 DAY AND ev < TIMESTAMP '{AS_OF}'"
+DAY, THIS_YEAR = "03-17", 2001
+ON_DAY = f"strftime(ev, '%m-%d') = '{DAY}' AND year(ev) < {THIS_YEAR}"
+# greedy runs: from each day the longest span of up to four days, then the jump past an accepted one
+RUNS = """, days AS (SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live WHERE rating = 5 GROUP BY 1),
+  isl AS (SELECT day, n, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM days),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY day) AS i, count(*) OVER (PARTITION BY island) AS size FROM isl),
+  span AS (SELECT p.island, p.i, p.size, p.day AS start_day, max(q.day) AS end_day, max(q.i) AS j, CAST(sum(q.n) AS BIGINT) AS total, bool_or(dayofweek(q.day) IN (0, 6)) AS weekend FROM pos p JOIN pos q ON q.island = p.island AND q.i BETWEEN p.i AND p.i + 3 GROUP BY 1, 2, 3, 4),
+  ok AS (SELECT *, j > i AND total >= 5 AND weekend AS good FROM span),
+  walk AS (SELECT * FROM ok WHERE i = 1 UNION ALL SELECT ok.* FROM walk JOIN ok ON ok.island = walk.island AND ok.i = CASE WHEN walk.good THEN walk.j + 1 ELSE walk.i + 1 END),
+  runs AS (SELECT start_day, end_day, total FROM walk WHERE good)"""
+
+
+def _runs(t):
+    five = P.live(t.assets).where("rating = 5").groupBy(F.to_date(P.event_ts()).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return memories.weekend_runs(five)
+
+
+@query(Orders, sql(f"SELECT id, {RANK} AS rank_score FROM live ORDER BY {RANK} DESC, ev DESC, id LIMIT 200", "live"))
+def memory_rank(t):
+    return memories.rank(t.assets)
+
+
+@query(Orders, sql(f"""SELECT ym, arg_min(id, (CASE WHEN {SHOT} THEN 1 ELSE 0 END, -({RANK}), -epoch(ev), id)) AS cover_id FROM (SELECT *, strftime(ev, '%Y-%m') AS ym FROM live) GROUP BY ym""", "live"))
+def memory_cover(t):
+    return memories.covers(P.live(t.assets).withColumn("ym", F.date_format(P.event_ts(), "yyyy-MM")), "ym").select("ym", "cover_id")
+
+
+@query(Orders, sql(f"""SELECT 'on_this_day:{DAY}' AS id, 'on_this_day' AS kind, 'On this day' AS title, CASE WHEN count(DISTINCT year(ev)) <= 1 THEN count(*) || ' photos from past years' ELSE count(*) || ' photos across ' || count(DISTINCT year(ev)) || ' years' END AS subtitle,
+  count(*) AS asset_count, arg_min(id, (CASE WHEN {SHOT} THEN 1 ELSE 0 END, -({RANK}), -epoch(ev), id)) AS cover_asset_id FROM live WHERE {ON_DAY} HAVING count(*) >= 3""", "live"))
+def on_this_day(t):
+    return memories.on_this_day(t.assets, f"{THIS_YEAR}-{DAY}")
+
+
+@query(Orders, sql(f"SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live WHERE {PAST} GROUP BY 1", "live"))
+def day_counts(t):
+    return memories.day_counts(t.assets, AS_OF)
+
+
+@query(Orders, sql(RUNS + "SELECT * FROM runs", "live", recursive=True))
+def weekend_runs(t):
+    return _runs(t)
+
+
+@query(Orders, sql(RUNS + "SELECT start_day, id FROM live JOIN runs ON CAST(ev AS DATE) BETWEEN start_day AND end_day", "live", recursive=True))
+def weekend_assets(t):
+    return memories.run_assets(t.assets, _runs(t)).select("start_day", "id")
+
+
+PLACE = """, placed AS (SELECT start_day, place_label, count(*) AS n FROM live JOIN runs ON CAST(ev AS DATE) BETWEEN start_day AND end_day JOIN asset_places p ON p.asset_id = live.id WHERE trim(place_label) <> '' GROUP BY 1, 2),
+  dominant AS (SELECT start_day, arg_min(place_label, (-n, place_label)) AS place_label, max(n) AS n FROM placed GROUP BY start_day)"""
+
+
+@query(Orders, sql(RUNS + PLACE + "SELECT * FROM dominant", "live", "asset_places", recursive=True))
+def dominant_place(t):
+    return memories.dominant_place(memories.run_assets(t.assets, _runs(t)), t.asset_places)
+
+
+PERSON = """SELECT person_id, name, place_label, count(DISTINCT f.asset_id) AS n FROM faces f JOIN people p ON p.id = f.person_id AND NOT ignored AND trim(name) <> '' JOIN live a ON a.id = f.asset_id
+  JOIN asset_places x ON x.asset_id = a.id AND trim(place_label) <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT f.asset_id) >= 5"""
+
+
+@query(Orders, sql(PERSON + " ORDER BY n DESC, person_id, place_label LIMIT 20", "live", "people", "asset_places"))
+def memories_person_place(t):
+    return memories.person_places(t.faces, t.people, t.asset_places, t.assets)
+
+
+FEED = RUNS + PLACE + f""", w AS (SELECT runs.*, place_label FROM runs LEFT JOIN dominant USING (start_day) ORDER BY total DESC, start_day DESC LIMIT 12),
+  pp AS ({PERSON} ORDER BY n DESC, person_id, place_label LIMIT 20),
+  feed AS (SELECT 0 AS ord, 'on_this_day:{DAY}' AS id, 'on_this_day' AS kind, 'On this day' AS title, count(*) AS asset_count, '' AS s, '' AS tie FROM live WHERE {ON_DAY} HAVING count(*) >= 3
+    UNION ALL SELECT 1, 'weekend:' || strftime(start_day, '%Y-%m-%d'), 'weekend', CASE WHEN place_label IS NULL THEN 'Weekend trip' ELSE 'Weekend in ' || place_label END, total, 'weekend:' || strftime(start_day, '%Y-%m-%d'), '' FROM w
+    UNION ALL SELECT 2, 'person_place:' || person_id || '|' || place_label, 'person_place', name || ' in ' || place_label, n, '', person_id || '|' || place_label FROM pp)"""
+
+
+def _cards(t):
+    return memories.on_this_day(t.assets, f"{THIS_YEAR}-{DAY}"), memories.weekend_cards(t.assets, _runs(t), t.asset_places), memories.person_places(t.faces, t.people, t.asset_places, t.assets)
+
+
+@query(Orders, sql(FEED + "SELECT id, kind, title, asset_count, CAST(row_number() OVER (ORDER BY ord, asset_count DESC, s DESC, tie) - 1 AS INTEGER) AS pos FROM feed WHERE id <> 'weekend:1998-05-02' QUALIFY row_number() OVER (ORDER BY ord, asset_count DESC, s DESC, tie) <= 50", "live", "people", "asset_places", recursive=True))
+def memory_feed(t):
+    dismissed = t.spark.createDataFrame([("weekend:1998-05-02",)], "memory_id string")
+    return memories.memories(*_cards(t), dismissed)
+
+
+_queries["memories"], _sql["memories"] = _queries.pop("memory_feed"), _sql.pop("memory_feed")
+
+WHEN = "strftime(start_day, '%b %d') || ' – ' || strftime(end_day, '%b %d, %Y')"
+
+
+@query(Orders, sql(RUNS + PLACE + f""", w AS (SELECT runs.*, place_label FROM runs LEFT JOIN dominant USING (start_day) ORDER BY total DESC, start_day DESC LIMIT 12)
+  SELECT 'weekend:' || strftime(start_day, '%Y-%m-%d') AS id, CASE WHEN place_label IS NULL THEN 'A weekend trip from ' || {WHEN} || '.' ELSE 'A weekend in ' || place_label || ', ' || {WHEN} || '.' END AS insight FROM w""", "live", "asset_places", recursive=True))
+def memory_insight(t):
+    w, none = memories.weekend_cards(t.assets, _runs(t), t.asset_places), F.lit(None).cast("string")
+    return w.select("id", memories.insight(F.col("kind"), F.col("place_label"), none, F.col("subtitle"), none, none).alias("insight"))
+
+
+CUT = "list_max(list_filter(range(0, 118), lambda i: octet_length(encode(substring(t, 1, i))) <= 117 AND i <= length(t)))"
+QUOTE = f"""CASE WHEN octet_length(encode(t)) < 8 OR lower(t) IN ('caption', 'what does the image describe?') OR starts_with(lower(t), '<caption') THEN NULL
+  WHEN octet_length(encode(t)) > 120 THEN substring(t, 1, {CUT}) || '…' ELSE t END"""
+
+
+@query(Documents, sql(f""", r AS (SELECT source, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
+  q AS (SELECT source, pos, {QUOTE} AS quote FROM (SELECT source, pos, trim(caption) AS t FROM r JOIN asset_captions c ON c.asset_id = r.id WHERE pos < 16))
+  SELECT source, arg_min(quote, pos) AS quote FROM q WHERE quote IS NOT NULL GROUP BY source""", "asset_captions"))
+def memory_quote(t):
+    from pyspark.sql import Window
+
+    ranked = t.read("documents").select("source", F.col("doc_id").cast("string").alias("id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("pos"))
+    return memories.quotes(ranked, t.asset_captions, "source")
+
+
+@query(Orders, sql(FEED + r", p AS (SELECT id, 'Summarize this photo memory in one warm sentence.' || chr(10) || 'Title: ' || title || chr(10) || 'Details: ' || asset_count || ' photos' || chr(10) || 'Caption: (none)' || chr(10) || 'Sentence:' AS t FROM feed) SELECT id, sha256(t || 'prose-v1') AS input_hash FROM p", "live", "people", "asset_places", recursive=True))
+def prose_cache(t):
+    feed = memories.memories(*_cards(t))
+    text = memories.prompt(F.col("title"), F.concat(F.col("asset_count").cast("string"), F.lit(" photos")), F.lit(None).cast("string"))
+    return feed.select("id", memories.prompt_hash(text).alias("input_hash"))
+
+
+@query(Documents)
+def diversify(t):
+    rows = t.assets.join(t.asset_embeddings.withColumnRenamed("asset_id", "id"), "id", "left")
+    base = F.pmod(F.col("id").cast("long"), F.lit(7)).cast("double")
+    return memories.diversify(rows.select(F.coalesce("label", F.lit(-1)).alias("k"), "id", base.alias("base"), "vector"), "k", 20)
+
+
+# -- people and places -----------------------------------------------------
+
+
+def _face_vectors(t):
+    return t.asset_embeddings.select(F.lit("library").alias("scope"), F.col("asset_id").alias("id"), F.col("asset_id").cast("long").alias("ord"), "vector", F.col("label").cast("string").alias("person_id"))
+
+
+@query(Documents)
+def face_clusters(t):
+    return people.assign_faces(_face_vectors(t))
+
+
+def _people(t):
+    c = vectors.group_centroids(_face_vectors(t), "person_id").groupBy("person_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("centroid"), F.max("n").alias("face_count"))
+    k = F.col("person_id").cast("int")
+    return c.select(F.lit("library").alias("scope"), F.col("person_id").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("Person "), "person_id")).alias("name"), "centroid", "face_count", (k % 5 == 4).alias("ignored"))
+
+
+@query(Documents)
+def consolidate_people(t):
+    return people.consolidate(_people(t))
+
+
+@query(Documents)
+def recluster(t):
+    rows = _people(t)
+    fixed = {r["id"]: (r["centroid"], r["face_count"]) for r in rows.where("name is not null or ignored").collect()}  # a row a named person
+    return people.recluster(_face_vectors(t), rows, fixed)
+
+
+NEAREST = """WITH cities AS (SELECT n_name || ', ' || r_name AS place_label, r_name AS country, CAST((n_nationkey * 7) % 180 - 90 AS DOUBLE) AS lat, CAST((n_nationkey * 13) % 360 - 180 AS DOUBLE) AS lon FROM nation JOIN region ON n_regionkey = r_regionkey),
+  points AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CAST((c_custkey * 31) % 170 - 85 AS DOUBLE) AS lat, CAST((c_custkey * 47) % 358 - 179 AS DOUBLE) AS lon FROM customer),
+  d AS (SELECT p.id, place_label, country, 2 * 6371.0 * asin(least(sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)), 1.0)) AS km FROM points p, cities c)
+  SELECT id, round(min(km), 3) AS km FROM d GROUP BY id"""
+
+
+@query(Orders, NEAREST)
+def geo_label(t):
+    n = t.read("nation").join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
+    cities = n.selectExpr("n_name as city", "r_name as region", "r_name as cc", "cast((n_nationkey * 7) % 180 - 90 as double) as lat", "cast((n_nationkey * 13) % 360 - 180 as double) as lon")
+    points = t.read("customer").selectExpr("cast(c_custkey as string) as id", "cast((c_custkey * 31) % 170 - 85 as double) as lat", "cast((c_custkey * 47) % 358 - 179 as double) as lon")
+    return geo.nearest_place(points, cities).select("id", F.round("km", 3).alias("km"))
+
+
+# -- changes ---------------------------------------------------------------
+
+
+def _new_files(t):
+    """Half of the catalogue as found again, every third of these changed, and some new ones."""
+    k = F.col("id").cast("long")
+    base = t.assets.where(k % 2 == 0)
+    path = F.when(k % 10 == 4, F.concat(F.lit("/new"), "path")).otherwise(F.col("path"))
+    return base.select(path.alias("path"), F.when(k % 3 == 0, F.sha2(F.concat(F.lit("v2"), "id"), 256)).otherwise(F.col("hash")).alias("hash"), "media_type", (F.col("file_size") + 1).alias("file_size"), "created_at")
+
+
+@query(Orders, sql("""SELECT CASE WHEN k % 10 = 4 THEN 'inserted' WHEN k % 3 = 0 THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS n, count(*) FILTER (deleted_at IS NOT NULL AND NOT (k % 10 <> 4 AND k % 3 = 0) AND k % 10 <> 4) AS in_trash
+  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM assets) WHERE k % 2 = 0 GROUP BY 1""", "assets"))
+def upsert_assets(t):
+    out = ingest.upsert(t.assets, _new_files(t), AS_OF).where("outcome is not null")
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deleted_at").isNotNull()).alias("in_trash"))
+
+
+@query(Orders, sql(f"SELECT id, path, thumbnail_path FROM assets WHERE deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY", "assets"))
+def retention_purge(t):
+    return ingest.purge(t.assets, AS_OF)
+
+
+@query(Orders, sql("SELECT id, rating AS before, CAST(4 AS BIGINT) AS after FROM assets WHERE id IN ('25', '7', '101', '50', '3')", "assets"))
+def set_ratings(t):
+    return ingest.set_value(t.assets, IDS, "rating", 4)
+
+
+@query(Orders, "SELECT CAST(event_id % 2000 AS VARCHAR) AS asset_id, event_type AS kind, arg_max(value, (ts, event_id)) AS state, count(*) AS attempts FROM events GROUP BY 1, 2")
+def job_states(t):
+    return ingest.job_states(t.read("events").selectExpr("cast(event_id % 2000 as string) as asset_id", "event_type as kind", "value as state", "ts", "event_id"))
+
+
+QUEUE = "SELECT CAST(user_id AS VARCHAR) AS path, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS kind, event_type = 'click' AS thumb, event_id AS seq FROM events"
+
+
+@query(Orders, f"""WITH q AS ({QUEUE}), l AS (SELECT path, max(seq) AS seq, arg_max(kind, seq) AS kind, max(seq) FILTER (kind = 'remove') AS cut FROM q GROUP BY path)
+  SELECT l.path, l.kind, CASE WHEN l.kind = 'upsert' THEN coalesce((SELECT bool_or(thumb) FROM q WHERE q.path = l.path AND q.seq > coalesce(l.cut, -1)), false) ELSE false END AS thumb, l.seq FROM l""")
+def dedup_queue(t):
+    return ingest.dedup_queue(t.read("events").selectExpr("cast(user_id as string) as path", "if(event_type = 'error', 'remove', 'upsert') as kind", "event_type = 'click' as thumb", "event_id as seq"))
+
+
+@query(Orders, sql("SELECT path, file_size AS size FROM (SELECT path, file_size, sum(file_size) OVER (ORDER BY indexed_at DESC, path DESC ROWS UNBOUNDED PRECEDING) AS s FROM assets) WHERE s > 20000000000", "assets"))
+def cache_eviction(t):
+    return ingest.evict(t.assets.selectExpr("path", "file_size as size", "indexed_at as modified"), 20_000_000_000)
+
+
+@query(Orders, sql("SELECT * FROM faces WHERE asset_id IN (SELECT id FROM live)", "faces", "live"))
+def cascade_delete(t):
+    return ingest.cascade(t.faces, P.live(t.assets))
+
+
+@query(Orders, sql("SELECT asset_id, max(viewed_at) AS viewed_at FROM (SELECT * FROM asset_views UNION ALL SELECT CAST(user_id AS VARCHAR), ts FROM events WHERE event_type = 'click') WHERE asset_id IN (SELECT id FROM live) GROUP BY asset_id", "asset_views", "live"))
+def record_views(t):
+    seen = t.read("events").where("event_type = 'click'").selectExpr("cast(user_id as string) as asset_id", "cast(ts as timestamp_ntz) as viewed_at")
+    return ingest.record_views(t.asset_views, seen, t.assets)
+
+
+# -- extensions over events ------------------------------------------------
+
+
+@query(Orders, "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def events_daily(t):
+    return streams.tumbling(t.read("events").withColumn("at", F.col("ts").cast("timestamp"))).withColumn("value", F.round("value", 4))
+
+
+@query(Orders, """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t):
+    return streams.sessions(t.read("events").withColumn("at", F.col("ts").cast("timestamp")))
