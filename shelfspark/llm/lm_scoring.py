@@ -3,13 +3,17 @@
 Model: n-grams up to ORDER of the training documents under hierarchical
 Dirichlet smoothing (MacKay and Peto, 1995).  With c the training counts,
 
-    p(w)      = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    p(w | hv) = (c(hvw) + mu * p(w | v)) / (c(hv) + mu)
+    p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | h) = (c(hw) + m(h) * p(w | h')) / (c(h) + m(h)),  m(h) = scale * c(h) ** power
+
+with h' the history h without its first token.  The prior weight m(h) follows
+the history's count as the number of its continuations does (Heaps' law), so a
+frequent history keeps mass for what it has not been followed by.
 
 which a backoff automaton represents exactly.  States are the histories seen
 in training, shorter than ORDER; a state h has an arc for each w with
 c(hw) > 0, weighted log10 p(w | h), and a failure arc to its longest proper
-suffix, weighted log10(mu / (c(h) + mu)).  The empty history has an arc for
+suffix, weighted log10(m(h) / (c(h) + m(h))).  The empty history has an arc for
 every word.  No n-gram is pruned, so the automaton grows with the corpus and
 no machine holds it: each chunk of documents looks up its part of it (see
 ``common``), the states and arcs that its texts can reach, and one left to
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import CHUNK_BYTES, HASHES, bits_for, groups_for, mix, pack_counts, pack_keys, row_key, ship, split_by_bucket, text_size, unpack_counts, unpack_keys
 
 ORDER = 3
-MU = {2: 8.0, 3: 4.0}
+MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
 BUCKET_KEYS = 2_000_000
 END = b"\n"  # never a word
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -122,10 +126,13 @@ def traverse(order: int, mu: dict, n: int, v: int, place: np.ndarray, uniq_at: l
     arcs, fails = [np.log10(prob[0])], [None]
     for k in range(2, order + 1):
         at = first[k - 1]
+        scale, power = mu[k]
         history = counts[k - 2][uniq_at[k - 2][at - 1]]
-        prob.append((counts[k - 1] + mu[k] * prob[k - 2][uniq_at[k - 2][at]]) / (history + mu[k]))
+        m = scale * np.maximum(history, 1) ** power
+        prob.append((counts[k - 1] + m * prob[k - 2][uniq_at[k - 2][at]]) / (history + m))
         arcs.append(np.log10(prob[-1]))
-        fails.append(np.log10(mu[k] / (counts[k - 2] + mu[k])))
+        m = scale * np.maximum(counts[k - 2], 1) ** power
+        fails.append(np.log10(m / (counts[k - 2] + m)))
     total = len(place)
     base = arcs[0][uniq_at[0]]
     got, open_ = np.zeros(total), np.ones(total, dtype=bool)

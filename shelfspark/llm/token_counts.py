@@ -30,6 +30,8 @@ from shelfspark.llm.common import CHUNK_BYTES, bits_for, groups_for, pack_counts
 from shelfspark.llm.tokenizer_cache import load, tokenizer_path
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: For tokenizers that normalise texts first: nothing that a normalizer joins or cuts spans white space.
+BY_SPACES = r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 LIMIT = 512
 BUCKET_BYTES = 16 << 20
 
@@ -46,7 +48,7 @@ def _tools(name: str):
         strip = lambda p: p[1:] if p[:1] == "▁" and not odd.search(p) else p
         return cut, lambda ps: [len(x) for x in model.encode([strip(p) for p in ps], num_threads=1)]
     t = load(name)
-    find = regex.compile(PATTERN).findall
+    find = regex.compile(PATTERN if t.normalizer is None else BY_SPACES).findall
     special = [a.content for a in t.get_added_tokens_decoder().values()]
     at = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 

@@ -1,0 +1,117 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from tests_llm_tools import parts, sentence
+
+from shelfspark.llm import linking, minhash
+from shelfspark.llm.components import connected_components
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    g = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in g.integers(0, 120, (70, 2))] + [(1000, 1000 + i) for i in range(1, 80)] + [(i, i + 1) for i in range(2000, 2030)]
+    edges += edges[:5] + [(5, 5)]
+    df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == parts([e for e in edges if e[0] != e[1]], {x for e in edges if e[0] != e[1] for x in e})
+    assert connected_components(df.where("false")).count() == 0
+
+
+def brute(docs, threshold=0.8, strength=0.5):
+    """Weighted Jaccard links of all pairs of distinct texts."""
+
+    def bag(t):
+        w = t.encode().lower().split()
+        k = min(5, len(w))
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter()
+
+    bags = [bag(t) if t is not None else None for _, t in docs]
+    n = len(docs)
+    df = Counter(s for b in bags if b for s in b)
+    weight = lambda s: 1 + strength * math.log(n / df[s]) / math.log(n)
+    texts = sorted({t for _, t in docs if t is not None})
+    sets = {t: {s: c * weight(s) for s, c in bag(t).items()} for t in texts}
+    total = {t: sum(x.values()) for t, x in sets.items()}
+    links = []
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            common = sum(min(w, sets[b][s]) for s, w in sets[a].items() if s in sets[b])
+            if common and common / (total[a] + total[b] - common) >= threshold:
+                links.append((a, b))
+    return texts, links
+
+
+def corpus(rng):
+    docs = [(i, sentence(rng, rng.randint(30, 120))) for i in range(40)]
+    base = docs[:12]
+    for i in range(150):
+        words = base[i % 12][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        docs.append((100 + i, " ".join(words)))
+    docs += [(500, None), (501, None), (502, ""), (503, ""), (504, "a b"), (505, "A  b"), (None, docs[0][1]), (0, docs[0][1]), (506, "x y z w v u x y z w v u"), (507, " \n")]
+    return docs
+
+
+def test_classes_equal_brute_force(spark, rng, monkeypatch):
+    docs = corpus(rng)
+    texts, links = brute(docs)
+    root = parts([(texts.index(a), texts.index(b)) for a, b in links], range(len(texts)))
+    least = {}
+    for d, t in docs:
+        if t is not None and d is not None:
+            k = root[texts.index(t)]
+            least[k] = min(least.get(k, d), d)
+    want = sorted((-1 if d is None else d, d if t is None else least[root[texts.index(t)]]) for d, t in docs)
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, class_id int")
+    got = minhash.near_duplicates(df)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id) for r in got.collect()) == want
+
+    kept = minhash.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in kept if r.text is not None) == sorted(set(least.values()))
+    assert sum(r.text is None for r in kept) == 2
+    assert minhash.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_buckets_and_blocks_of_many_members(spark, rng, monkeypatch):
+    """A hub whose members link only to it, a chain, and strangers in one bucket: no link is lost."""
+    monkeypatch.setattr(linking, "BLOCK", 7)
+    ids = list(range(60))
+    sets = {i: {1000 + j for j in range(20)} | {5000 + 10 * i} for i in ids[:25]}  # near the core
+    sets |= {i: {2000 + j for j in range(i - 25, i - 25 + 20)} for i in ids[25:45]}  # a chain
+    sets |= {i: {3000 + 50 * i + j for j in range(20)} for i in ids[45:]}  # strangers
+    jac = lambda a, b: len(a & b) / len(a | b)
+    want = parts([(a, b) for a in ids for b in ids if a < b and jac(sets[a], sets[b]) >= 0.8], ids)
+    items = spark.createDataFrame([(i, np.sort(np.array(list(s), dtype=np.uint64)).tobytes(), None) for i, s in sets.items()], "id long, elems binary, weights binary")
+    members = spark.createDataFrame([(k, i) for k in (1, 2) for i in ids if k == 1 or i % 2] + [(3, 50)], "key long, id long")
+    _, labels = linking.link_components(members, items, 0.8)
+    got = {r.node: r.component for r in labels.collect()}
+    assert {i: got.get(i, i) for i in ids} == want
+
+
+def test_samples_agree_as_often_as_sets_are_similar(rng):
+    g = np.random.default_rng(5)
+    e = np.sort(g.integers(0, 2**63, 300).astype(np.uint64))
+    w = g.uniform(0.5, 3, 300)
+    a, b = slice(0, 250), slice(50, 300)
+    n = 2000
+    same = (minhash.icws(e[a], w[a], n) == minhash.icws(e[b], w[b], n)).mean()
+    true = w[50:250].sum() / w.sum()
+    assert abs(same - true) < 0.05
+    heavier = np.where(np.arange(300) % 2 == 0, w * 2, w)
+    same = (minhash.icws(e, w, n) == minhash.icws(e, heavier, n)).mean()
+    assert abs(same - w.sum() / heavier.sum()) < 0.05
+
+
+def test_block_links_equal_pairwise(rng):
+    g = np.random.default_rng(1)
+    weights = g.uniform(0.5, 2, 60)
+    sets = []
+    for _ in range(30):
+        e = np.sort(g.choice(60, g.integers(0, 40), replace=False)).astype(np.uint64)
+        sets.append((e, weights[e.astype(int)]))
+    got = {tuple(x) for x in linking.block_links(sets[:12], sets[12:], 0.4)}
+    assert got == {(i, j) for i in range(12) for j in range(18) if linking.similarity(sets[i], sets[12 + j]) >= 0.4 - 1e-9}
