@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 
+SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
