@@ -36,6 +36,8 @@ WHITE = " \t\n\x0b\x0c\r"
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 BUCKET_KEYS = 1_000_000
+SLICE = 1 << 20
+EMPTY = np.uint32(2**32 - 1)
 _A = 0x9E3779B97F4A7C15
 _C = np.uint64(_A)
 
@@ -68,10 +70,12 @@ def char_shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.nd
 def signatures(lines: list[str], bins: int) -> np.ndarray:
     """One-permutation signatures, empty bins filled from the next full one."""
     got, line = char_shingles(lines)
-    sig = np.full(len(lines) * bins, np.uint64(2**64 - 1))
-    np.minimum.at(sig, line * bins + (((got >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), mix(got))
+    sig = np.full(len(lines) * bins, EMPTY)
+    at = line * bins + (((got >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(sig, at, got.astype(np.uint32))
     sig = sig.reshape(len(lines), bins)
-    full = sig != np.uint64(2**64 - 1)
+    full = sig != EMPTY
+    sig = sig.astype(np.uint64)
     if not full.all():
         at = np.where(full, np.arange(bins), 2 * bins)
         at = np.concatenate([at, np.where(full, np.arange(bins) + bins, 2 * bins)], axis=1)
@@ -89,16 +93,21 @@ def line_bands(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.nda
     return h
 
 
-def decode_line(text: bytes, _weights=None) -> tuple[np.ndarray, np.ndarray]:
-    e = np.unique(char_shingles([text.decode()])[0])
-    return e, np.ones(len(e))
+def decode_lines(texts: list[bytes], _weights=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each line, sorted; each weighs 1."""
+    elems, line = char_shingles([t.decode() for t in texts])
+    order = np.lexsort((elems, line))
+    elems, line = elems[order], line[order]
+    new = np.append(True, (elems[1:] != elems[:-1]) | (line[1:] != line[:-1]))[: len(elems)]
+    elems, line = elems[new], line[new]
+    return elems, np.ones(len(elems)), np.bincount(line, minlength=len(texts))
 
 
 def _pack(bits: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             keys, ids, seen = [], [], set()
-            for b in by_texts([big]):
+            for b in by_texts([big], SLICE):
                 new: dict[int, str] = {}
                 for t in b.column("text").to_pylist():
                     for x in t.split("\n"):
@@ -172,7 +181,7 @@ def line_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     texts = _lines(docs).select("id", F.col("line").cast("binary").alias("elems"))
     items = texts.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("elems").alias("elems"))
     items = write_table(items.withColumn("weights", F.lit(None).cast("binary")), "items")
-    return link_components(members, items, threshold, decode_line)
+    return link_components(members, items, threshold, decode_lines)
 
 
 def duplicate_lines(docs: DataFrame, **options) -> DataFrame:

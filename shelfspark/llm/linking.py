@@ -27,9 +27,49 @@ BLOCK = 512
 EPS = 1e-9
 
 
-def decode(elems: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    e = np.frombuffer(elems or b"", dtype=np.uint64)
-    return e, (np.frombuffer(weights, dtype=np.float64) if weights is not None else np.ones(len(e)))
+#: Edges that one task joins up at most.
+EDGE_BLOCK = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each component of this block as a star around its least node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            p, q = root(parent.setdefault(x, x)), root(parent.setdefault(y, y))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    rows = [(x, r) for x in parent if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["a", "b"])
+
+
+def linked_components(links: DataFrame) -> DataFrame:
+    """(node, component) of links(a, b): blocks of bounded size are joined up in a task each.
+
+    Links that fit one block are done by that; else the blocks' stars, fewer
+    edges than links, go through the distributed rounds.
+    """
+    n = links.count()
+    blocks = -(-n // EDGE_BLOCK) or 1
+    stars = write_table(links.select("a", "b").repartition(blocks).mapInArrow(_forest, "a long, b long"), "stars")
+    if blocks > 1:
+        return connected_components(stars)
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def decode(elems: list[bytes], weights: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, weights, elements of each set) of packed sets, each sorted."""
+    sets = [np.frombuffer(e or b"", dtype=np.uint64) for e in elems]
+    w = [np.frombuffer(x, dtype=np.float64) if x is not None else np.ones(len(e)) for e, x in zip(sets, weights)]
+    lens = np.fromiter(map(len, sets), np.int64, len(sets))
+    return np.concatenate([*sets, np.empty(0, np.uint64)]), np.concatenate([*w, np.empty(0)]), lens
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -43,14 +83,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (wa.sum() + wb.sum() - common))
 
 
-def block_links(left: list, right: list, threshold: float) -> np.ndarray:
-    """Index pairs (left, right) at or above the threshold."""
-    sets = left + right
-    lens = np.array([len(e) for e, _ in sets])
-    if not lens.sum():
+def block_links(elems: np.ndarray, weights: np.ndarray, lens: np.ndarray, n_left: int, threshold: float) -> np.ndarray:
+    """Index pairs (left, right) at or above the threshold; the first n_left sets are the left ones."""
+    n = len(lens)
+    if not lens.sum() or n_left == n:
         return np.empty((0, 2), dtype=np.int64)
-    elems, weights = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
-    rows = np.repeat(np.arange(len(sets)), lens)
+    rows = np.repeat(np.arange(n), lens)
     uniq, first, inv, counts = np.unique(elems, return_index=True, return_inverse=True, return_counts=True)
     w = weights[first]
     shared = np.flatnonzero(counts > 1)  # only these can be common to two sets
@@ -58,34 +96,35 @@ def block_links(left: list, right: list, threshold: float) -> np.ndarray:
     new[shared] = np.arange(len(shared))
     col = new[inv]
     keep = col >= 0
+    total = np.bincount(rows, weights=weights, minlength=n)
     rows, col, w = rows[keep], col[keep], w[shared]
-    total = np.bincount(np.repeat(np.arange(len(sets)), lens), weights=weights, minlength=len(sets))
-    common = np.zeros((len(left), len(right)))
+    common = np.zeros((n_left, n - n_left))
     order = np.argsort(col, kind="stable")
     rows, col = rows[order], col[order]
     for lo in range(0, len(shared), 2048):
         hi = min(lo + 2048, len(shared))
         a, b = np.searchsorted(col, [lo, hi])
-        m = np.zeros((len(sets), hi - lo))
+        m = np.zeros((n, hi - lo))
         m[rows[a:b], col[a:b] - lo] = 1.0
-        common += (m[: len(left)] * w[lo:hi]) @ m[len(left) :].T
-    sim = common / (total[: len(left), None] + total[None, len(left) :] - common + 1e-300)
+        common += (m[:n_left] * w[lo:hi]) @ m[n_left:].T
+    sim = common / (total[:n_left, None] + total[None, n_left:] - common + 1e-300)
     return np.argwhere(sim >= threshold - EPS)
 
 
 def _verify(threshold: float, decode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
-        for b in batches:
-            c = {n: b.column(n) for n in ("a", "b", "ea", "wa", "eb", "wb")}
-            out = []
-            for i in range(b.num_rows):
-                rep = c["b"][i].as_py()
-                if rep not in kept:
-                    kept = {rep: decode(c["eb"][i].as_py(), c["wb"][i].as_py())}
-                if similarity(decode(c["ea"][i].as_py(), c["wa"][i].as_py()), kept[rep]) >= threshold - EPS:
-                    out.append((c["a"][i].as_py(), rep))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        for big in batches:
+            for i in range(0, big.num_rows, 2000):
+                b = big.slice(i, 2000)
+                left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
+                packed = dict(zip(left, zip(b.column("ea").to_pylist(), b.column("wa").to_pylist())))
+                packed.update(zip(right, zip(b.column("eb").to_pylist(), b.column("wb").to_pylist())))
+                elems, weights, lens = decode([x for x, _ in packed.values()], [x for _, x in packed.values()])
+                ends = np.cumsum(lens).tolist()
+                at = {k: slice(e - n, e) for k, e, n in zip(packed, ends, lens.tolist())}
+                own = lambda k: (elems[at[k]], weights[at[k]])  # noqa: E731, B023
+                out = [(x, y) for x, y in zip(left, right) if similarity(own(x), own(y)) >= threshold - EPS]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -100,12 +139,12 @@ def verified_pairs(pairs: DataFrame, items: DataFrame, threshold: float, decode=
 def _blocks(threshold: float, decode):
     def run(table: pa.Table) -> pa.Table:
         ids, side, comp = (table.column(n).to_numpy() for n in ("id", "side", "comp"))
-        sets = [decode(e, w) for e, w in zip(table.column("elems").to_pylist(), table.column("weights").to_pylist())]
-        li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
-        if len(li) and len(ri):
-            hit = block_links([sets[i] for i in li], [sets[i] for i in ri], threshold)
-            x, y = li[hit[:, 0]], ri[hit[:, 1]]
+        order = np.argsort(side, kind="stable")
+        ids, side, comp, table = ids[order], side[order], comp[order], table.take(pa.array(order))
+        n, out = int((side == 0).sum()), []
+        if 0 < n < len(side):
+            hit = block_links(*decode(table.column("elems").to_pylist(), table.column("weights").to_pylist()), n, threshold)
+            x, y = hit[:, 0], n + hit[:, 1]
             other = comp[x] != comp[y]
             # nodes are the components met in this block pair: one link for each union is enough
             nodes, at = np.unique(comp, return_inverse=True)
@@ -136,7 +175,7 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
     starred = write_table(rows.join(rep, "key"), "starred")
     pairs = starred.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     links = write_table(verified_pairs(pairs, items, threshold, decode), "links")
-    labels = connected_components(links)
+    labels = linked_components(links)
 
     rest = starred.where("id != rep and n > 2").select("key", "id")
     rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -154,7 +193,7 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
     more = write_table(more, "more")
     if more.take(1):
         links = write_table(links.union(more), "links")
-        labels = connected_components(links)
+        labels = linked_components(links)
     drop_table(rest)
     return links, labels
 

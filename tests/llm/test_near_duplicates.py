@@ -113,5 +113,6 @@ def test_block_links_equal_pairwise(rng):
     for _ in range(30):
         e = np.sort(g.choice(60, g.integers(0, 40), replace=False)).astype(np.uint64)
         sets.append((e, weights[e.astype(int)]))
-    got = {tuple(x) for x in linking.block_links(sets[:12], sets[12:], 0.4)}
+    flat = [np.concatenate([s[i] for s in sets]) for i in (0, 1)]
+    got = {tuple(x) for x in linking.block_links(*flat, np.array([len(e) for e, _ in sets]), 12, 0.4)}
     assert got == {(i, j) for i in range(12) for j in range(18) if linking.similarity(sets[i], sets[12 + j]) >= 0.4 - 1e-9}
