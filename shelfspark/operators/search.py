@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark import schema as S
 from shelfspark.functions.porter import stem
@@ -41,7 +42,7 @@ def query_terms(text: str | None, porter: bool = False) -> list[str]:
     return [stem(w) for w in words] if porter else words
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stems(terms: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return terms.map(lambda t: known.setdefault(t, stem(t)) if t is not None else None)
