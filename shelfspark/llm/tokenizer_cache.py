@@ -14,8 +14,9 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 300_000  # in each of two generations
+CACHE_ENTRIES = 400_000  # in each of two generations
 LONG_PIECE = 4096
+_SIGNS = ".,;:!?"
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 
 _open: dict[str, object] = {}
@@ -40,6 +41,13 @@ def load(name: str):
     return _open[name]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter of each byte: printable ones stand for themselves, the others follow 255 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 class PieceIds:
     """Ids of texts as little-endian unsigned integers of the given width."""
 
@@ -47,10 +55,43 @@ class PieceIds:
         self.tokenizer, self.dtype = load(name), np.dtype(dtype).newbyteorder("<")
         self.new: dict[str, bytes] = {}  # a piece without the space before it
         self.old: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.spaced = self.tokenizer.normalizer is None  # a pre-token holds the space before it
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and a run of letters: one pre-token, which the model takes as it is.
+
+        None if the normalizer leaves more than letters.
+        """
+        if not self.spaced:
+            word = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+            if not word.isalpha():
+                return None
+        text = (" " + word if self.spaced else word).encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], dtype=self.dtype).tobytes()
+
+    def _letters_and_signs(self, pieces: set[str]) -> dict[str, bytes]:
+        """Those pieces that are letters and then signs: two pre-tokens at most."""
+        out: dict[str, bytes] = {}
+        tails: dict[str, bytes] = {}
+        for p in pieces:
+            word = p.rstrip(_SIGNS)
+            if not word.isalpha():
+                continue
+            ids = out.get(word) or self.new.get(word) or self._word(word)
+            if ids is None:
+                continue
+            out[word] = ids
+            if len(word) < len(p):
+                tail = p[len(word) :]
+                if tail not in tails:
+                    tails[tail] = self._encode([tail])[0]
+                out[p] = ids + tails[tail]
+        return out
+
     def _learn(self, need: set[str]) -> None:
         if len(self.new) > CACHE_ENTRIES:
             self.old, self.new = self.new, {}
@@ -58,7 +99,9 @@ class PieceIds:
         for p in missing & self.old.keys():
             self.new[p] = self.old[p]
             missing.discard(p)
-        rest = list(missing)
+        words = self._letters_and_signs(missing)
+        self.new.update(words)
+        rest = list(missing.difference(words))
         for i in range(0, len(rest), 20_000):
             some = rest[i : i + 20_000]
             self.new.update(zip(some, self._encode([" " + p for p in some])))
