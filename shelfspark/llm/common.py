@@ -19,7 +19,6 @@ import math
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.sources.work import drop_table, work_path, write_table  # noqa: F401  one place for the operators to import from
+
 CHUNK_BYTES = 8 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -55,45 +55,6 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="shelfspark")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return "file://" + _own_dirs[app]
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._work_path = path
-    return out
-
-
-def drop_table(df: DataFrame | None) -> None:
-    """Delete what write_table wrote, once nothing reads it any more."""
-    path = getattr(df, "_work_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def is_empty_table(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 def text_size(docs: DataFrame) -> tuple[int, int]:
     """(rows, bytes of text)."""
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import drop_table, ragged, union_find, write_table
-from shelfspark.llm.components import connected_components
+from shelfspark.llm.common import drop_table, union_find, write_table
+from shelfspark.operators.components import connected_components
 
 BLOCK = 512
 EPS = 1e-9
@@ -196,6 +196,3 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
         labels = linked_components(links)
     drop_table(rest)
     return links, labels
-
-
-__all__ = ["block_links", "decode", "link_components", "ragged", "similarity", "verified_pairs"]

@@ -261,6 +261,3 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         return kept.select(*docs.columns)
     rest = kept.join(again, "_row", "left_anti").union(kept.where("text is null").join(again, "_row", "left_semi"))
     return rest.union(kept.where("text is not null").join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
-
-
-__all__ = ["band_keys", "drop_near_duplicates", "expand", "icws", "near_duplicates", "sampled_texts", "shingles"]
