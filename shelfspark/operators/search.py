@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from shelfspark import schema as S
 from shelfspark.functions.porter import stem
 from shelfspark.functions.predicates import blank, event_ts, name_of
-from shelfspark.operators.browse import Query, filtered, parse_query, structured
+from shelfspark.operators.browse import Query, filtered, parse_query
 
 K1, B = 1.2, 0.75
 FIELDS = list(S.BM25_DOCUMENTED)
@@ -104,6 +104,3 @@ def blended(text_hits: DataFrame, vector_hits: DataFrame, limit: int = 50) -> Da
     listed = best.orderBy("r.source", "r.s", "id").limit(limit)  # at most a page of rows
     listed = listed.agg(F.sort_array(F.collect_list(F.struct("r.source", "r.s", "id"))).alias("l"))
     return listed.select(F.posexplode("l").alias("pos", "x")).select("x.id", "pos")
-
-
-__all__ = ["bm25", "blended", "blends", "query_terms", "search_documents", "search_text", "structured", "tokens"]
