@@ -81,10 +81,11 @@ class PieceIds:
             word = p.rstrip(_SIGNS)
             if not word.isalpha():
                 continue
-            ids = out.get(word) or self.new.get(word) or self._word(word)
+            low = word.lower() if word.isascii() and not self.spaced else word  # the normalizer lower-cases
+            ids = out.get(low) or self.new.get(low) or self._word(low)
             if ids is None:
                 continue
-            out[word] = ids
+            out[low] = out[word] = ids
             if len(word) < len(p):
                 tail = p[len(word) :]
                 if tail not in tails:
