@@ -191,6 +191,7 @@ def duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     lines = _lines(docs).select("id", at.alias("at"))
     lines = lines.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     first = lines.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = write_table(first, "first")  # the join below is then one whose hot groups can be split
     later = lines.join(first, "group").where("at > first")
     return later.groupBy(F.col("at.row").alias("row")).agg(F.sort_array(F.collect_set("at.line_no")).alias("removed"))
 

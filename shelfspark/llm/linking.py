@@ -167,11 +167,12 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
     empty.
     """
     members = write_table(members.distinct(), "members")
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what is counted by key is written first: a join of two exchanges is one whose hot keys can be split
+    size = write_table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "size")
     rows = members.join(size, "key")
     degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = rows.join(degree, "id").select("key", "id", "n", F.struct("degree", (-F.col("id")).alias("low")).alias("r"))
-    rep = ranked.groupBy("key").agg((-F.max("r").getField("low")).alias("rep"))
+    rep = write_table(ranked.groupBy("key").agg((-F.max("r").getField("low")).alias("rep")), "rep")
     starred = write_table(rows.join(rep, "key"), "starred")
     pairs = starred.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     links = write_table(verified_pairs(pairs, items, threshold, decode), "links")

@@ -41,7 +41,7 @@ from shelfspark.llm.linking import link_components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-IDF_STRENGTH = 0.5
+IDF_STRENGTH = 0.25
 BUCKET_KEYS = 2_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 

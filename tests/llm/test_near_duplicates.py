@@ -20,7 +20,7 @@ def test_components_equal_union_find(spark, seed):
     assert connected_components(df.where("false")).count() == 0
 
 
-def brute(docs, threshold=0.8, strength=0.5):
+def brute(docs, threshold=0.8, strength=minhash.IDF_STRENGTH):
     """Weighted Jaccard links of all pairs of distinct texts."""
 
     def bag(t):
