@@ -146,7 +146,7 @@ def _sum(name: str, bits: int, limit: int):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk_bytes: int = 2 * CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
     _, size = text_size(docs)
