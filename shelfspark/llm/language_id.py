@@ -228,12 +228,12 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, roun
     """Fit on at most per_language rows of each language of docs(doc_id, text, lang)."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     share = F.pmod("h", F.lit(1_000_000))
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     # a first cut by share keeps about twice the bound, whatever the size of a language
-    near = rows.join(n, "lang").where(share < F.lit(1_000_000.0) * F.least(F.lit(1.0), 2.0 * per_language / F.col("n") + 20.0 / F.col("n")))
+    cuts = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, (2.0 * per_language + 20.0) / k))))]) if n else None
+    near = rows.where(share < cuts[F.col("lang")]) if n else rows.limit(0)
     taken = {}
-    langs = [r["lang"] for r in n.select("lang").collect()]
-    for r in near.orderBy("h").limit(4 * per_language * max(1, len(langs))).collect():
+    for r in near.orderBy("h").limit(4 * per_language * max(1, len(n))).collect():
         taken.setdefault(r["lang"], []).append((r["h"], r["text"]))
     sample = [(t, lang) for lang in sorted(taken) for _, t in sorted(taken[lang])[:per_language]]
     return fit(sample, rounds)
