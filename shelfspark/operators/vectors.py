@@ -25,16 +25,28 @@ def semantic_search(embeddings: DataFrame, query: list[float], limit: int = 50,
     return rows.orderBy(F.desc("score"), "id").limit(max(1, min(limit, S.LIMIT_LIST)))
 
 
-def semantic_ann(embeddings: DataFrame, query: list[float], limit: int = 50, planes: int = 8, probes: int = 2, seed: int = 3) -> DataFrame:
-    """Approximate search: sign bits of fixed random planes name a bucket; near buckets are scored exactly.
+def sign_codes(vector: Column, width: int, planes: int, tables: int, seed: int) -> Column:
+    """One code a table: the sign bits of the vector's products with the table's random planes."""
+    g = np.random.default_rng(seed).standard_normal((tables, planes, width))
+    fixed = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in p) + ")" for p in t) + ")" for t in g.tolist()) + ")")
+    return F.transform(fixed, lambda t: F.aggregate(t, F.lit(0), lambda c, p: c * 2 + (dot(vector, p) > 0).cast("int")))
 
-    Buckets at most ``probes`` bits from the query's are read.  Approximate by
-    nature; ``semantic_search`` is the exact way.
+
+def near_codes(a: Column, b: Column, probes: int) -> Column:
+    """Whether two codes of a table differ in at most ``probes`` bits."""
+    return F.exists(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= probes), lambda near: near)
+
+
+def semantic_ann(embeddings: DataFrame, query: list[float], limit: int = 50, planes: int = 8, probes: int = 2, seed: int = 3, tables: int = 12) -> DataFrame:
+    """Approximate search: in each table sign bits of fixed random planes name a bucket; near buckets are scored exactly.
+
+    A vector is read if its bucket is at most ``probes`` bits from the query's
+    in one table at least; one table alone loses most neighbours.  Approximate
+    by nature; ``semantic_search`` is the exact way, and cheaper as long as the
+    codes are not stored.
     """
-    g = np.random.default_rng(seed).standard_normal((planes, len(query)))
-    own = [bool(x) for x in g @ np.asarray(query) > 0]
-    away = sum(((dot(F.col("vector"), literal(p)) > 0) != F.lit(s)).cast("int") for p, s in zip(g.tolist(), own))
-    return semantic_search(embeddings.where(away <= probes), query, limit)
+    code = lambda v: sign_codes(v, len(query), planes, tables, seed)
+    return semantic_search(embeddings.where(near_codes(code(F.col("vector")), code(literal(query)), probes)), query, limit)
 
 
 def label_topk(logits: DataFrame, k: int = 5, min_score: float = 0.05) -> DataFrame:
