@@ -16,6 +16,7 @@ from shelfspark.streaming import ingest as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
+_made: dict[str, Callable] = {}
 COLS = ", ".join(f"a.{c}" for c in S.ASSET_SUMMARY)
 NEWEST = "ORDER BY a.ev DESC NULLS LAST, a.id LIMIT 500"
 
@@ -24,6 +25,7 @@ def query(kind, oracle: str | None = None):
     """Register a function of the library's tables under its name."""
 
     def keep(f):
+        _made[f.__name__] = f
         _queries[f.__name__] = lambda spark, sf_dir: f(kind(spark, sf_dir))
         if oracle:
             _sql[f.__name__] = oracle
@@ -528,9 +530,13 @@ RUNS = """, days AS (SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live WHE
   runs AS (SELECT start_day, end_day, total FROM walk WHERE good)"""
 
 
+class EveryRating(Orders):
+    """The library whose runs are over all live assets; those of Orders are over the ones of rating 5, which leaves gaps between days."""
+
+
 def _runs(t):
-    five = P.live(t.assets).where("rating = 5").groupBy(F.to_date(P.event_ts()).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return memories.weekend_runs(five)
+    taken = P.live(t.assets) if isinstance(t, EveryRating) else P.live(t.assets).where("rating = 5")
+    return memories.weekend_runs(taken.groupBy(F.to_date(P.event_ts()).alias("day")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(Orders, sql(f"SELECT id, {RANK} AS rank_score FROM live ORDER BY {RANK} DESC, ev DESC, id LIMIT 200", "live"))
@@ -633,6 +639,21 @@ def prose_cache(t):
     return feed.select("id", memories.prompt_hash(text).alias("input_hash"))
 
 
+_made["memories"] = _made.pop("memory_feed")
+
+
+def _every_rating(name: str) -> None:
+    """Register a query of runs again, as NAME_all, over all live assets."""
+    f, thin = _made[name], "FROM live WHERE rating = 5 GROUP"
+    assert _sql[name].count(thin) == 1
+    _queries[f"{name}_all"] = lambda spark, sf_dir: f(EveryRating(spark, sf_dir))
+    _sql[f"{name}_all"] = _sql[name].replace(thin, "FROM live GROUP")
+
+
+for _name in ("weekend_runs", "weekend_assets", "dominant_place", "memories", "memory_insight", "prose_cache"):
+    _every_rating(_name)
+
+
 @query(Documents)
 def diversify(t):
     rows = t.assets.join(t.asset_embeddings.withColumnRenamed("asset_id", "id"), "id", "left")

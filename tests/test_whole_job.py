@@ -1,8 +1,12 @@
 """Operators and queries against the whole of what they are asked for."""
 
 import numpy as np
+import oracle
+import pytest
+from test_operators import frame
 
 from shelfspark.operators import vectors
+from shelfspark.plans import catalogue
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -16,3 +20,19 @@ def test_ann_recall(spark):
         assert all(got[i] == want[i] for i in set(got) & set(want))
         recall.append(len(set(got) & set(want)) / len(want))
     assert len(recall) == 5 and np.mean(recall) >= 0.9
+
+
+def test_runs_count_every_rating(spark):
+    # Thu-Fri-Sat of any rating; a gap; Sat-Sun too few; a gap; five days in a row, cut after four; one in the trash
+    days = ["2024-06-06", "2024-06-07", "2024-06-08"] * 2 + ["2024-06-15", "2024-06-16"] + ["2024-06-21", "2024-06-22", "2024-06-23", "2024-06-24", "2024-06-25"] * 2
+    rows = [{"id": str(i), "captured_at": d, "rating": i % 5} for i, d in enumerate(days)]
+    t = catalogue.EveryRating(spark, "")
+    t.assets = frame(spark, rows + [{"id": "gone", "captured_at": "2024-06-15", "rating": 5, "deleted_at": "2024-07-01"}])
+    runs = [(str(r.start_day), str(r.end_day), r.total) for r in catalogue._runs(t).orderBy("start_day").collect()]
+    assert runs == [("2024-06-06", "2024-06-08", 6), ("2024-06-21", "2024-06-24", 8)]
+
+
+@pytest.mark.parametrize("name", ["weekend_runs_all", "weekend_assets_all"])
+def test_runs_of_every_rating_equal_sql(spark, name):
+    con = oracle.connect(MEDIUM)
+    assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
