@@ -11,7 +11,7 @@ from shelfspark import schema as S
 from shelfspark.functions import predicates as P
 from shelfspark.operators import browse, duplicates, facets, geo, ingest, memories, people, search, vectors
 from shelfspark.plans.adapter_sql import sql
-from shelfspark.sources.library import AS_OF, Documents, Orders
+from shelfspark.sources.library import AS_OF, Documents, Orders, WholeCaptions
 from shelfspark.streaming import ingest as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,23 +642,18 @@ def prose_cache(t):
 _made["memories"] = _made.pop("memory_feed")
 
 
-def _every_rating(name: str) -> None:
-    """Register a query of runs again, as NAME_all, over all live assets."""
-    f, thin = _made[name], "FROM live WHERE rating = 5 GROUP"
+def _whole(name: str, kind, thin: str, full: str) -> None:
+    """Register a query again, as NAME_all, over the tables of another kind, of which its SQL has full instead of thin."""
+    f = _made[name]
     assert _sql[name].count(thin) == 1
-    _queries[f"{name}_all"] = lambda spark, sf_dir: f(EveryRating(spark, sf_dir))
-    _sql[f"{name}_all"] = _sql[name].replace(thin, "FROM live GROUP")
+    _queries[f"{name}_all"] = lambda spark, sf_dir: f(kind(spark, sf_dir))
+    _sql[f"{name}_all"] = _sql[name].replace(thin, full)
 
 
 for _name in ("weekend_runs", "weekend_assets", "dominant_place", "memories", "memory_insight", "prose_cache"):
-    _every_rating(_name)
-
-
-@query(Documents)
-def diversify(t):
-    rows = t.assets.join(t.asset_embeddings.withColumnRenamed("asset_id", "id"), "id", "left")
-    base = F.pmod(F.col("id").cast("long"), F.lit(7)).cast("double")
-    return memories.diversify(rows.select(F.coalesce("label", F.lit(-1)).alias("k"), "id", base.alias("base"), "vector"), "k", 20)
+    _whole(_name, EveryRating, "FROM live WHERE rating = 5 GROUP", "FROM live GROUP")
+for _name in ("search_text", "blended_search", "memory_quote"):
+    _whole(_name, WholeCaptions, "substring(split_part(text, chr(10), 1), 1, 200) AS caption", "split_part(text, chr(10), 1) AS caption")
 
 
 # -- people and places -----------------------------------------------------

@@ -190,3 +190,11 @@ class Documents(Tables):
         sums = words.groupBy("id").agg(*[F.sum(F.getbit(F.col(f"p{i}"), F.lit(b)).cast("int") * 2 - 1).alias(f"s{i}_{b}") for i, b in bits])
         band = lambda i: sum((F.when(F.col(f"s{i}_{b}") > 0, 1 << b).otherwise(0) for b in range(16)), F.lit(0)).cast("int").alias(f"b{i}")
         return sums.select("id", *[band(i) for i in range(4)])
+
+
+class WholeCaptions(Documents):
+    """Captions are whole first lines; those of Documents end after 200 characters."""
+
+    @cached_property
+    def asset_captions(self) -> DataFrame:
+        return self.read("documents").selectExpr("cast(doc_id as string) as asset_id", "split_part(text, '\\n', 1) as caption")

@@ -7,6 +7,7 @@ from test_operators import frame
 
 from shelfspark.operators import vectors
 from shelfspark.plans import catalogue
+from shelfspark.sources.library import WholeCaptions
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -36,3 +37,10 @@ def test_runs_count_every_rating(spark):
 def test_runs_of_every_rating_equal_sql(spark, name):
     con = oracle.connect(MEDIUM)
     assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
+
+
+def test_captions_are_whole_first_lines(spark):
+    con = oracle.connect(MEDIUM)
+    assert max(len(r.caption) for r in WholeCaptions(spark, MEDIUM).asset_captions.collect()) > 200
+    for name in ("search_text_all", "blended_search_all"):
+        assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
