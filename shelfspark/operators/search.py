@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,3 +104,12 @@ def blended(text_hits: DataFrame, vector_hits: DataFrame, limit: int = 50) -> Da
     listed = best.orderBy("r.source", "r.s", "id").limit(limit)  # at most a page of rows
     listed = listed.agg(F.sort_array(F.collect_list(F.struct("r.source", "r.s", "id"))).alias("l"))
     return listed.select(F.posexplode("l").alias("pos", "x")).select("x.id", "pos")
+
+
+def blended_each(text_hits: DataFrame, vector_hits: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
+    """(query_id, id, pos): ``blended`` for each query_id, with its hits of vector_hits(query_id, id, score)."""
+    text = queries.crossJoin(F.broadcast(text_hits.select("id", "score")))  # at most a page of rows
+    rows = text.select("query_id", F.lit(0).alias("source"), "id", "score").union(vector_hits.select("query_id", F.lit(1), "id", "score"))
+    best = rows.groupBy("query_id", "id").agg(F.min(F.struct("source", (-F.col("score")).alias("s"))).alias("r"))
+    w = Window.partitionBy("query_id").orderBy("r.source", "r.s", "id")
+    return best.select("query_id", "id", (F.row_number().over(w) - 1).alias("pos")).where(F.col("pos") < limit)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import schema as S
@@ -49,6 +49,69 @@ def semantic_ann(embeddings: DataFrame, query: list[float], limit: int = 50, pla
     return semantic_search(embeddings.where(near_codes(code(F.col("vector")), code(literal(query)), probes)), query, limit)
 
 
+def _matrix(vectors, width: int) -> np.ndarray:
+    """Rows in double, 0 where the width differs."""
+    zero = np.zeros(width)
+    return np.array([v if v is not None and len(v) == width else zero for v in vectors], dtype=np.float64).reshape(-1, width)
+
+
+def _each(ids: list[int], queries: np.ndarray, limit: int, floor: float, fixed: np.ndarray | None, probes: int, block: int):
+    width, slack = queries.shape[1], 1e-9
+    few = np.array([i.bit_count() <= probes for i in range(1 << fixed.shape[1])]) if fixed is not None else None
+
+    def codes(v: np.ndarray) -> np.ndarray:
+        bits = np.einsum("nd,tpd->ntp", v, fixed, optimize=True) > 0
+        return bits @ (1 << np.arange(fixed.shape[1]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v, names, out = _matrix(pdf["vector"], width), pdf["id"].to_numpy(), []
+            own = codes(v) if fixed is not None else None
+            for at in range(0, len(ids), block):
+                q = queries[at : at + block]
+                near = q @ v.T
+                if fixed is not None:
+                    asked, read = codes(q), np.zeros(near.shape, bool)
+                    for t in range(len(fixed)):
+                        read |= few[asked[:, t, None] ^ own[None, :, t]]
+                    near[~read] = -np.inf
+                for i, row in enumerate(near):
+                    if len(row) > limit:
+                        least = max(floor, np.partition(row, -limit)[-limit])
+                    else:
+                        least = floor
+                    some = np.flatnonzero((row >= least - slack) & (row > -np.inf))
+                    exact = np.cumsum(v[some] * q[i], axis=1)[:, -1]  # added up in order, as semantic_search does
+                    best = sorted((-x, n) for x, n in zip(exact.tolist(), names[some]) if x >= floor)[:limit]
+                    out += [(ids[at + i], n, -x) for x, n in best]
+            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    return run
+
+
+def search_each(embeddings: DataFrame, queries: DataFrame, limit: int = 50, floor: float = S.SEMANTIC_FLOOR, assets: DataFrame | None = None, block: int = 512, ann: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(query_id, id, score): for each of queries(query_id, vector) what ``semantic_search`` finds, all rows scored.
+
+    The queries go to the workers whole and are multiplied a block at a time
+    with each batch of vectors.  ann: (planes, probes, seed, tables) of
+    ``semantic_ann``, to score only what that reads.
+    """
+    limit = max(1, min(limit, S.LIMIT_LIST))
+    asked = queries.orderBy("query_id").collect()
+    rows = embeddings.select(F.col("asset_id").alias("id"), "vector")
+    if assets is not None:
+        rows = rows.join(live(assets).select("id"), "id", "left_semi")
+    width = len(asked[0]["vector"]) if asked else 1
+    if any(len(r["vector"]) != width for r in asked):
+        raise ValueError("queries differ in width")
+    planes, probes, seed, tables = ann or (0, 0, 0, 0)
+    fixed = np.random.default_rng(seed).standard_normal((tables, planes, width)) if ann else None
+    run = _each([r["query_id"] for r in asked], _matrix([r["vector"] for r in asked], width), limit, floor, fixed, probes, block)
+    found = rows.mapInPandas(run, "query_id long, id string, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
 def label_topk(logits: DataFrame, k: int = 5, min_score: float = 0.05) -> DataFrame:
     """(asset_id, label, score, rank) from logits(asset_id, labels, logits): softmax, the best k of at least min_score, the best one always."""
     top = F.array_max("logits")

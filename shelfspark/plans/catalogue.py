@@ -443,6 +443,24 @@ def semantic_ann(t):
     return vectors.semantic_ann(t.asset_embeddings, _query_vector(t), 50)
 
 
+def _query_vectors(t):
+    return t.read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+EACH = """, s AS (SELECT q.vec_id AS query_id, e.asset_id AS id, list_inner_product(e.vector::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM asset_embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q),
+  each_best AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s WHERE score >= 0.15)"""
+
+
+@query(Documents, sql(EACH + "SELECT query_id, id, round(score, 6) AS score FROM each_best WHERE r <= 50", "asset_embeddings"))
+def semantic_search_each(t):
+    return vectors.search_each(t.asset_embeddings, _query_vectors(t), 50, assets=t.assets).withColumn("score", F.round("score", 6))
+
+
+@query(Documents)
+def semantic_ann_each(t):
+    return vectors.search_each(t.asset_embeddings, _query_vectors(t), 50, ann=(8, 2, 3, 12))
+
+
 @query(Documents, sql("""SELECT asset_id, 'label_' || lpad(CAST(i AS VARCHAR), 2, '0') AS label, round(p, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT asset_id, i, p, row_number() OVER (PARTITION BY asset_id ORDER BY p DESC, i) - 1 AS rank FROM (SELECT asset_id, i, exp(vector[i + 1]::DOUBLE * 8) / sum(exp(vector[i + 1]::DOUBLE * 8)) OVER (PARTITION BY asset_id) AS p FROM asset_embeddings, range(0, 64) r(i)))
   WHERE rank < 5 AND (p >= 0.05 OR rank = 0)""", "asset_embeddings"))
@@ -506,6 +524,13 @@ def blended_search(t):
     return search.blended(text, vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50), 50)
 
 
+@query(Documents, sql(BM25 + EACH + """, merged AS (SELECT query_id, id, min((src, -score)) AS r FROM (SELECT query_id, top.id, 0 AS src, top.score FROM top, (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) WHERE top.r <= 50 UNION ALL SELECT query_id, id, 1, score FROM each_best WHERE r <= 50) GROUP BY query_id, id)
+  SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r, id) - 1 AS INTEGER) AS pos FROM merged QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r, id) <= 50""", "doc_assets", "asset_text", "asset_captions", "asset_embeddings"))
+def blended_search_each(t):
+    text = search.search_text(t.assets, _doc_index(t), "then ere", 50)
+    return search.blended_each(text, vectors.search_each(t.asset_embeddings, _query_vectors(t), 50), _query_vectors(t).select("query_id"), 50)
+
+
 @query(Orders, sql("""SELECT a.id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, coalesce(camera, '') AS camera, coalesce(lens, '') AS lens, coalesce(t.l, '') AS tags, coalesce(p.l, '') AS people, '' AS ocr_text, '' AS auto_tags, '' AS caption
   FROM assets a LEFT JOIN (SELECT asset_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS l FROM asset_tags x JOIN tags g ON g.id = x.tag_id GROUP BY asset_id) t ON t.asset_id = a.id
   LEFT JOIN (SELECT asset_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS l FROM faces f JOIN people q ON q.id = f.person_id WHERE NOT ignored AND trim(name) <> '' GROUP BY asset_id) p ON p.asset_id = a.id""", "assets", "tags", "asset_tags", "people"))

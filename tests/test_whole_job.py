@@ -44,3 +44,19 @@ def test_captions_are_whole_first_lines(spark):
     assert max(len(r.caption) for r in WholeCaptions(spark, MEDIUM).asset_captions.collect()) > 200
     for name in ("search_text_all", "blended_search_all"):
         assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["semantic_search_each", "blended_search_each"])
+def test_every_query_equals_sql(spark, name):
+    con, got = oracle.connect(MEDIUM), catalogue.queries()[name](spark, MEDIUM)
+    assert oracle.difference(got, con, catalogue.oracle_sql()[name]) == ""
+    assert {r.query_id for r in got.select("query_id").distinct().collect()} == {0, 100, 200, 300, 400}
+
+
+def test_search_each_equals_single_searches(spark):
+    e = spark.read.parquet(f"{MEDIUM}/embeddings.parquet").selectExpr("cast(vec_id as string) as asset_id", "embedding as vector", "vec_id as query_id").cache()
+    queries = e.where("query_id % 100 = 0").select("query_id", "vector")
+    odd = e.select("asset_id", "vector").union(spark.createDataFrame([("short", [1.0]), ("copy", e.where("query_id = 0").first().vector), ("none", None)], "asset_id string, vector array<float>"))
+    for ann, f in ((None, vectors.semantic_search), ((8, 2, 3, 12), vectors.semantic_ann)):
+        got = {(r.query_id, r.id, r.score) for r in vectors.search_each(odd, queries, 20, block=2, ann=ann).collect()}
+        assert got == {(q.query_id, r.id, r.score) for q in queries.collect() for r in f(odd, list(q.vector), 20).collect()}
