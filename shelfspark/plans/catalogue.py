@@ -46,6 +46,18 @@ def listing(where: str, join: str = "", tables: tuple = (), order: str = NEWEST)
     return sql(f"SELECT {COLS} FROM live a {join} WHERE {where} {order}", "live", *tables)
 
 
+class EveryKey(Orders):
+    """The library for queries whose input takes all keys; with Orders they leave some out."""
+
+
+def _whole(name: str, kind, thin: str, full: str) -> None:
+    """Register a query again, as NAME_all, over the tables of another kind, of which its SQL has full instead of thin."""
+    f = _made[name]
+    assert _sql[name].count(thin) == 1
+    _queries[f"{name}_all"] = lambda spark, sf_dir: f(kind(spark, sf_dir))
+    _sql[f"{name}_all"] = _sql[name].replace(thin, full)
+
+
 # -- files -----------------------------------------------------------------
 
 
@@ -419,7 +431,9 @@ def duplicate_summary(t):
 @query(Orders, """WITH r AS (SELECT DISTINCT '/lib/' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '/sub' || (o_orderkey % 5) ELSE '' END AS path FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 3 = 0)
   SELECT path FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.path, q.path || '/'))""")
 def prune_roots(t):
-    o = t.read("orders").where("o_orderstatus <> 'P' or o_orderkey % 3 = 0")
+    o = t.read("orders")
+    if not isinstance(t, EveryKey):
+        o = o.where("o_orderstatus <> 'P' or o_orderkey % 3 = 0")
     return duplicates.prune_roots(o.selectExpr("concat('/lib/', o_orderstatus, if(o_orderkey % 3 = 0, concat('/sub', o_orderkey % 5), '')) as path").distinct())
 
 
@@ -667,14 +681,6 @@ def prose_cache(t):
 _made["memories"] = _made.pop("memory_feed")
 
 
-def _whole(name: str, kind, thin: str, full: str) -> None:
-    """Register a query again, as NAME_all, over the tables of another kind, of which its SQL has full instead of thin."""
-    f = _made[name]
-    assert _sql[name].count(thin) == 1
-    _queries[f"{name}_all"] = lambda spark, sf_dir: f(kind(spark, sf_dir))
-    _sql[f"{name}_all"] = _sql[name].replace(thin, full)
-
-
 for _name in ("weekend_runs", "weekend_assets", "dominant_place", "memories", "memory_insight", "prose_cache"):
     _whole(_name, EveryRating, "FROM live WHERE rating = 5 GROUP", "FROM live GROUP")
 for _name in ("search_text", "blended_search", "memory_quote"):
@@ -729,9 +735,9 @@ def geo_label(t):
 
 
 def _new_files(t):
-    """Half of the catalogue as found again, every third of these changed, and some new ones."""
+    """Half of the catalogue (all of it for EveryKey) as found again, every third of these changed, and some new ones."""
     k = F.col("id").cast("long")
-    base = t.assets.where(k % 2 == 0)
+    base = t.assets if isinstance(t, EveryKey) else t.assets.where(k % 2 == 0)
     path = F.when(k % 10 == 4, F.concat(F.lit("/new"), "path")).otherwise(F.col("path"))
     return base.select(path.alias("path"), F.when(k % 3 == 0, F.sha2(F.concat(F.lit("v2"), "id"), 256)).otherwise(F.col("hash")).alias("hash"), "media_type", (F.col("file_size") + 1).alias("file_size"), "created_at")
 
@@ -743,6 +749,10 @@ def upsert_assets(t):
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deleted_at").isNotNull()).alias("in_trash"))
 
 
+_whole("upsert_assets", EveryKey, "WHERE k % 2 = 0 GROUP BY 1", "GROUP BY 1")
+_whole("prune_roots", EveryKey, " WHERE o_orderstatus <> 'P' OR o_orderkey % 3 = 0)", ")")
+
+
 @query(Orders, sql(f"SELECT id, path, thumbnail_path FROM assets WHERE deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY", "assets"))
 def retention_purge(t):
     return ingest.purge(t.assets, AS_OF)

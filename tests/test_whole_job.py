@@ -60,3 +60,10 @@ def test_search_each_equals_single_searches(spark):
     for ann, f in ((None, vectors.semantic_search), ((8, 2, 3, 12), vectors.semantic_ann)):
         got = {(r.query_id, r.id, r.score) for r in vectors.search_each(odd, queries, 20, block=2, ann=ann).collect()}
         assert got == {(q.query_id, r.id, r.score) for q in queries.collect() for r in f(odd, list(q.vector), 20).collect()}
+
+
+def test_every_key_is_taken(spark):
+    con, orders = oracle.connect(MEDIUM), spark.read.parquet(f"{MEDIUM}/orders.parquet").count()
+    for name in ("upsert_assets_all", "prune_roots_all"):
+        assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
+    assert sum(r.n for r in catalogue.queries()["upsert_assets_all"](spark, MEDIUM).collect()) == orders
