@@ -687,6 +687,13 @@ for _name in ("search_text", "blended_search", "memory_quote"):
     _whole(_name, WholeCaptions, "substring(split_part(text, chr(10), 1), 1, 200) AS caption", "split_part(text, chr(10), 1) AS caption")
 
 
+@query(Documents)
+def diversify(t):
+    rows = t.assets.join(t.asset_embeddings.withColumnRenamed("asset_id", "id"), "id", "left")
+    base = F.pmod(F.col("id").cast("long"), F.lit(7)).cast("double")
+    return memories.diversify(rows.select(F.coalesce("label", F.lit(-1)).alias("k"), "id", base.alias("base"), "vector"), "k", 20)
+
+
 # -- people and places -----------------------------------------------------
 
 
