@@ -231,9 +231,15 @@ def _diversify(limit: int, lam: float, near: float, penalty: float):
     return run
 
 
-def diversify(candidates: DataFrame, key: str, limit: int, most: int = S.LIMIT_CANDIDATES, lam: float = 0.65, near: float = 0.92, penalty: float = 12.0) -> DataFrame:
-    """(key, id, pos): greedy diverse order of candidates(key, id, base, vector); the best ``most`` of a group take part."""
-    w = Window.partitionBy(key).orderBy(F.desc("base"), "id")
-    top = candidates.select(key, "id", F.col("base").cast("double").alias("base"), "vector", F.row_number().over(w).alias("_n")).where(F.col("_n") <= most).drop("_n")
+def diversify(candidates: DataFrame, key: str, limit: int, most: int | None = None, lam: float = 0.65, near: float = 0.92, penalty: float = 12.0) -> DataFrame:
+    """(key, id, pos): greedy diverse order of candidates(key, id, base, vector).
+
+    All of a group take part; ``most`` limits them to the best by base, as the
+    reference does when it loads them.  A group is held by one task.
+    """
+    top = candidates.select(key, "id", F.col("base").cast("double").alias("base"), "vector")
+    if most is not None:
+        w = Window.partitionBy(key).orderBy(F.desc("base"), "id")
+        top = top.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
     kind = dict(candidates.dtypes)[key]
     return top.groupBy(key).applyInPandas(_diversify(limit, lam, near, penalty), f"{key} {kind}, id string, pos int")

@@ -5,7 +5,7 @@ import oracle
 import pytest
 from test_operators import frame
 
-from shelfspark.operators import vectors
+from shelfspark.operators import memories, vectors
 from shelfspark.plans import catalogue
 from shelfspark.sources.library import WholeCaptions
 
@@ -67,3 +67,12 @@ def test_every_key_is_taken(spark):
     for name in ("upsert_assets_all", "prune_roots_all"):
         assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
     assert sum(r.n for r in catalogue.queries()["upsert_assets_all"](spark, MEDIUM).collect()) == orders
+
+
+def test_diversify_takes_the_whole_group(spark):
+    # 450 near copies of the highest base, and distinct ones of lower base, which are better than a second copy
+    rows = [(1, f"a{i:03d}", 10.0, [1.0, 0.0, 0.0]) for i in range(450)] + [(1, "b", 5.0, [0.0, 1.0, 0.0]), (1, "c", 4.0, [0.0, 0.0, 1.0])]
+    cand = spark.createDataFrame(rows, "k int, id string, base double, vector array<double>")
+    order = lambda **most: [r.id for r in memories.diversify(cand, "k", 3, **most).orderBy("pos").collect()]
+    assert order() == ["a000", "b", "c"]
+    assert order(most=400) == ["a000", "a001", "a002"]
