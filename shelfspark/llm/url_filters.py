@@ -42,8 +42,10 @@ def path(url: Column) -> Column:
 
 
 def node(url: Column) -> Column:
-    """The URL without its fragment; null if it is no absolute URL."""
-    return F.when(url.contains("://"), F.substring_index(url, "#", 1))
+    """The URL without its fragment, scheme and host in lower case; null if it is no absolute URL."""
+    whole = F.substring_index(url, "#", 1)
+    head = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*", 0)
+    return F.when(url.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), F.substring(whole, F.length(head) + 1, F.length(whole))))
 
 
 def _fits(h: Column, p: Column, rule: str) -> Column:
