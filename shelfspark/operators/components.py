@@ -53,4 +53,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._work_path = e._work_path
+    return out

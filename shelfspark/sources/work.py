@@ -13,10 +13,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a local folder, but only if the executors are this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="shelfspark")
