@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import by_texts, groups_for, ship
+from shelfspark.llm.common import by_texts, groups_for, map_texts, ship
 
 ERROR_RATE = 0.08
 MIN_CHARS = 40
@@ -189,5 +189,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
             for b in by_texts(batches):
                 yield b.filter(pa.array([not m.hits(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_texts(docs, run)
     return docs

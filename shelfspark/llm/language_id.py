@@ -11,14 +11,16 @@ language with the largest mean posterior over its words that have a letter,
 and that mean is its score.
 
 The model is fitted on the driver, on at most ``per_language`` labelled rows a
-language, picked by a hash; all rows are labelled, whole texts, in their own
-tasks.  Long texts are cut into segments whose transfer matrices are combined,
-which gives the same posteriors as one pass from end to end.
+language, those of the least hashes of id and text (rows equal in both count
+once); all rows are labelled, whole texts, in their own tasks.  Long texts are
+cut into segments whose transfer matrices are combined, which gives the same
+posteriors as one pass from end to end.
 
 Defined results.  A null text and one without a letter: ``und``, score 0.
 Nothing to learn from: ``und``, score 0 for all.  Equal sums: the language
 first in the alphabet.  Repeated rows and null ids get a row each.  Labels are
-read from the training rows only.
+read from the training rows only.  Columns of the input that are named like the
+result's are replaced by them; ``names`` gives the result others.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from shelfspark.llm.common import by_texts, mix, ship
+from shelfspark.llm.common import by_texts, map_texts, mix, own_columns, ship
 
 UNKNOWN = "und"
 PER_LANGUAGE = 120
@@ -224,35 +227,53 @@ def label_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
     return preds, scores
 
 
+HASH_STEPS = 1 << 62
+
+
+def share(per_language: int, rows: int) -> int:
+    """Hashes of HASH_STEPS below which about twice per_language of so many rows lie."""
+    wanted = 2 * per_language + 20
+    return HASH_STEPS if rows <= wanted else HASH_STEPS * wanted // rows
+
+
+def sampled(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, counts: dict[str, int] | None = None) -> DataFrame:
+    """(lang, text): the rows of the least hashes of each language, per_language at most.
+
+    A first cut by each language's share leaves about twice as many, whatever
+    its size, so that hardly a text is moved to pick them; counts, rows by
+    language, are counted if not given.
+    """
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASH_STEPS))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), "text")
+    if counts is None:  # repeated rows do not count, a few percent do not matter; a row a language
+        counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return rows.select("lang", "text").limit(0)
+    cuts = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(share(per_language, n)))])
+    near = rows.where(F.col("h") < cuts[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("lang", "h").select("lang", "text")
+
+
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> dict:
     """Fit on at most per_language rows of each language of docs(doc_id, text, lang)."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    share = F.pmod("h", F.lit(1_000_000))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    # a first cut by share keeps about twice the bound, whatever the size of a language
-    cuts = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, (2.0 * per_language + 20.0) / k))))]) if n else None
-    near = rows.where(share < cuts[F.col("lang")]) if n else rows.limit(0)
-    taken = {}
-    for r in near.orderBy("h").limit(4 * per_language * max(1, len(n))).collect():
-        taken.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    sample = [(t, lang) for lang in sorted(taken) for _, t in sorted(taken[lang])[:per_language]]
-    return fit(sample, rounds)
+    return fit([(r["text"], r["lang"]) for r in sampled(docs, learn, per_language).collect()], rounds)
 
 
-LABELS = "lang_pred string, score double"
+BATCH_BYTES = 4 << 20
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score after its own columns."""
+def identify(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score after its own columns."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # 2**BITS weights a language
-    names = docs.columns
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in {n.lower() for n in names}]
+    docs = docs.select(*[own_columns(docs)[i] for i in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_texts(batches):
+        for b in by_texts(batches, BATCH_BYTES):
             preds, scores = label_texts(b.column("text").to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "added0", "added1"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {LABELS}")
+    return map_texts(docs, run, [StructField(names[0], StringType()), StructField(names[1], DoubleType())])

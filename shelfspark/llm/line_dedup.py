@@ -15,7 +15,8 @@ Lines without a character other than ASCII white space are no duplicates and sta
 Lines shorter than a shingle have one shingle, themselves.  First means: least
 doc_id, nulls first, then a hash of the text, then the line number.  A null
 text stays null.  Rows equal in doc_id and text are one document that is
-listed more than once: each gets the same result.  Extra columns are kept.
+listed more than once: each gets the same result.  Extra columns are kept as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import bits_for, by_texts, mix, row_key, ship, text_size, write_table
+from shelfspark.llm.common import bits_for, by_texts, drop_table, mix, own_columns, quoted, row_key, runs, ship, spare, text_size, tidied, write_table
 from shelfspark.llm.linking import link_components
 
 SHINGLE = 8
@@ -130,14 +131,14 @@ def _pack(bits: int, bands: int, rows: int):
             if twice.any():  # named here; they pass through a bucket of their own
                 parts.append((-1 - salt, k[twice], i[twice]))
             k, i = k[first], i[first]
-            at = np.append(np.searchsorted(k, np.arange(1 << bits, dtype=np.uint64) << np.uint64(40)), len(k))
-            parts += [(p, k[at[p] : at[p + 1]], i[at[p] : at[p + 1]]) for p in range(1 << bits) if at[p] < at[p + 1]]
+            found, at = runs(k, 40)
+            parts += [(p, k[x:y], i[x:y]) for p, x, y in zip(found.tolist(), at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _, _ in parts], pa.int32()), pa.array([x.astype("<u8").tobytes() if p < 0 else _low(x) for p, x, _ in parts], pa.binary()), pa.array([x.astype("<u8").tobytes() for _, _, x in parts], pa.binary())],
                 ["bucket", "keys", "ids"],
             )
 
-    return run
+    return tidied(run)
 
 
 def _low(keys: np.ndarray) -> bytes:
@@ -171,8 +172,8 @@ def _lines(docs: DataFrame):
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
 
 
-def line_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(lines that share a band key, labels(node, component) of linked lines)."""
+def line_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, component) of lines that are linked, by their ids."""
     ship(docs.sparkSession)
     _, size = text_size(docs)
     bits = bits_for(size // 300 * bands, BUCKET_KEYS)
@@ -181,18 +182,25 @@ def line_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     texts = _lines(docs).select("id", F.col("line").cast("binary").alias("elems"))
     items = texts.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("elems").alias("elems"))
     items = write_table(items.withColumn("weights", F.lit(None).cast("binary")), "items")
-    return link_components(members, items, threshold, decode_lines)
+    links, labels = link_components(members, items, threshold, decode_lines)
+    for done in (members, items, links):
+        drop_table(done)
+    return labels
 
 
 def duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     """(row, removed): the sorted numbers of the lines to remove, for each row that has any."""
-    _, labels = line_groups(docs, **options)
-    at = F.struct(F.col("doc_id"), F.col("row"), F.col("line_no"))
-    lines = _lines(docs).select("id", at.alias("at"))
-    lines = lines.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
-    first = lines.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = write_table(first, "first")  # the join below is then one whose hot groups can be split
-    later = lines.join(first, "group").where("at > first")
+    labels = line_groups(docs, **options).withColumnRenamed("node", "id")
+    lines = _lines(docs).select("id", F.struct(F.col("doc_id"), F.col("row"), F.col("line_no")).alias("at"))
+    # one row for each distinct line, so that its instances meet no join before the last
+    own = lines.groupBy("id").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    own = write_table(own.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("group"), "at", "n"), "distinct")
+    first = write_table(own.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n"), "first")
+    # written tables on both sides: joins whose hot keys can be split
+    named = write_table(own.join(first, "group").select("id", "first"), "named")
+    drop_table(own)
+    drop_table(first)
+    later = lines.join(named, "id").where("at > first")
     return later.groupBy(F.col("at.row").alias("row")).agg(F.sort_array(F.collect_set("at.line_no")).alias("removed"))
 
 
@@ -207,14 +215,15 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataFrame:
     """docs with the duplicate lines gone from text; drop_emptied: rows that lose all their lines go."""
-    gone = write_table(duplicate_lines(docs, **options), "removed")
-    rows = docs.withColumn("_row", row_key("doc_id", "text")).join(gone.withColumnRenamed("row", "_row").withColumnRenamed("removed", "_removed"), "_row", "left")
+    gone = write_table(duplicate_lines(docs.select("doc_id", "text"), **options), "removed")
+    row, removed, columns = spare(docs, "row"), spare(docs, "removed"), own_columns(docs)
+    rows = docs.withColumn(row, row_key("doc_id", "text")).join(gone.toDF(row, removed), row, "left")
     lines = F.split("text", "\n", -1)
     # a flag for each line up to the last one that goes; r[j] - r[j - 1] - 1 lines before it stay
-    r = F.col("_removed")
+    r = F.col(quoted(removed))
     step = F.transform(r, lambda x, j: F.concat(F.array_repeat(F.lit(False), x - F.when(j > 0, r[F.greatest(j - 1, F.lit(0))]).otherwise(F.lit(-1)) - 1), F.array(F.lit(True))))
     kept = F.filter(F.zip_with(lines, F.flatten(step), lambda x, gone: F.when(F.coalesce(gone, F.lit(False)), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
     if drop_emptied:
         rows = rows.where(r.isNull() | (F.size(r) < F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))))
     text = F.when(r.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.withColumn("text", text).select(*columns)

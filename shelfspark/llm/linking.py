@@ -50,18 +50,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["a", "b"])
 
 
-def linked_components(links: DataFrame) -> DataFrame:
-    """(node, component) of links(a, b): blocks of bounded size are joined up in a task each.
+def linked_components(links: DataFrame, edge_block: int = EDGE_BLOCK) -> DataFrame:
+    """(node, component) of links(a, b).
 
-    Links that fit one block are done by that; else the blocks' stars, fewer
-    edges than links, go through the distributed rounds.
+    Blocks of bounded size are joined up in a task each; the blocks' stars,
+    fewer edges than links, go through the distributed rounds.
     """
-    n = links.count()
-    blocks = -(-n // EDGE_BLOCK) or 1
+    blocks = -(-links.count() // edge_block) or 1
     stars = write_table(links.select("a", "b").repartition(blocks).mapInArrow(_forest, "a long, b long"), "stars")
-    if blocks > 1:
-        return connected_components(stars)
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = connected_components(stars)
+    drop_table(stars)
+    return out
 
 
 def decode(elems: list[bytes], weights: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,5 +194,6 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
     if more.take(1):
         links = write_table(links.union(more), "links")
         labels = linked_components(links)
-    drop_table(rest)
+    for done in (members, size, rep, starred, rest):
+        drop_table(done)
     return links, labels

@@ -16,10 +16,15 @@ c(hw) > 0, weighted log10 p(w | h), and a failure arc to its longest proper
 suffix, weighted log10(m(h) / (c(h) + m(h))).  The empty history has an arc for
 every word.  No n-gram is pruned, so the automaton grows with the corpus and
 no machine holds it: each chunk of documents looks up its part of it (see
-``common``), the states and arcs that its texts can reach, and one left to
-right traversal carries the state and adds arc weights.  The traversal is
-evaluated for all places of the chunk at once, for the state before a place is
-given by the tokens before it.
+``common``), the states and arcs that its texts can reach.  A text is scored in
+one traversal from left to right; the state before a place is the longest
+history among the tokens before it that was seen in training, so the states of
+all places of a chunk are found at once, by arrays, instead of one by one.
+Tests hold the scores against an automaton that carries its state.
+
+Words are told apart by 64-bit hashes, longer n-grams by 40 bits and more
+within a bucket of about two million: of these about two in a million share
+their counts with another.  N and V are an aggregate of their own.
 
 Defined results.  Tokens are runs of characters other than ASCII white space,
 A-Z lower-cased, then one end token.  A null text is empty: the end token
@@ -30,12 +35,14 @@ training part, N and V are 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, bits_for, groups_for, mix, pack_counts, pack_keys, row_key, ship, split_by_bucket, text_size, unpack_counts, unpack_keys
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, by_texts, dealt, groups_for, lookup, mix, runs, ship, text_size, tidied, tidy, word_space
 
 ORDER = 3
 MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
@@ -70,49 +77,63 @@ def _table_texts(table: pa.Table) -> list:
     return table.column("text").cast(pa.binary()).to_pylist()
 
 
-def _ask(bits: list[int], order: int):
+def _distinct_words(bits: int, most: int = 1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n = [], 0, 0
+
+        def rows(keys: np.ndarray, n: int) -> pa.RecordBatch:
+            found, at = runs(keys, 64 - bits)
+            found, parts = [*found.tolist(), 0], [*(keys[x:y].tobytes() for x, y in zip(at[:-1], at[1:])), b""]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(parts, pa.binary()), pa.array([0] * (len(found) - 1) + [n], pa.int64())], ["bucket", "keys", "n"])
+
+        for b in by_texts(batches):
+            words = [w for t in b.column("text").cast(pa.binary()).to_pylist() for w in tokens(t)]
+            held.append(np.unique(mix(HASHES.of(words))))
+            size, n = size + len(held[-1]), n + len(words)
+            if size > most:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size > most // 2:  # no smaller: pass them on
+                    yield rows(held[0], n)
+                    held, size, n = [], 0, 0
+        yield rows(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])), n)
+
+    return tidied(run)
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    types = len(np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)))
+    return pa.table({"tokens": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "types": pa.array([types], pa.int64())})
+
+
+def corpus_counts(docs: DataFrame, bits: int = 0) -> tuple[int, int]:
+    """(tokens, distinct tokens) of docs(text), counted in 2**bits buckets of words."""
+    ship(docs.sparkSession)
+    words = docs.select("text").mapInArrow(_distinct_words(bits), "bucket int, keys binary, n long")
+    total = words.groupBy("bucket").applyInArrow(_count_words, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+    return int(total[0] or 0), int(total[1] or 0)
+
+
+def _ask(spaces: list[Space]):
     def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        lens, place, grams = _ngrams(_table_texts(table), order)
+        lens, place, grams = _ngrams(_table_texts(table), len(spaces))
         train = np.repeat(table.column("train").to_numpy(zero_copy_only=False), lens)
-        rows = {"bucket": [], "chunk": [], "keys": [], "counts": []}
-        for k in range(1, order + 1):
-            valid = place >= k - 1
-            keys = grams[k - 1] >> np.uint64(24 - bits[k - 1])
+        found = []
+        for no, space in enumerate(spaces):
+            valid = place >= no
+            keys = space.key(grams[no])
             uniq = np.unique(keys[valid])
             seen, n = np.unique(keys[valid & train], return_counts=True)
             counts = np.zeros(len(uniq), dtype=np.int64)
             counts[np.searchsorted(uniq, seen)] = n
-            at = split_by_bucket(uniq, bits[k - 1])
-            for b in range(1 << bits[k - 1]):
-                if at[b] < at[b + 1] or k == 1:  # every chunk hears from every bucket of words
-                    rows["bucket"].append(b * order + k - 1)
-                    rows["chunk"].append(chunk)
-                    rows["keys"].append(pack_keys(uniq[at[b] : at[b + 1]]))
-                    rows["counts"].append(pack_counts(counts[at[b] : at[b + 1]]))
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
+            found.append((no, space, uniq, [counts]))
+        out = asked(table.column("chunk")[0].as_py(), found)
+        tidy()
+        return out
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-    lens = np.array([len(k) for k in keys])
-    own = np.concatenate([unpack_counts(c, n) for c, n in zip(table.column("counts").to_pylist(), lens)])
-    uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inv, weights=own, minlength=len(uniq)).astype(np.int64)
-    mine, ends = total[inv] if len(inv) else total, np.cumsum(lens)
-    return pa.table(
-        {
-            "chunk": table.column("chunk").combine_chunks(),
-            "bucket": table.column("bucket").combine_chunks(),
-            "counts": pa.array([pack_counts(mine[e - n : e]) for e, n in zip(ends, lens)], pa.binary()),
-            "tokens": pa.array([int(total.sum())] * len(lens), pa.int64()),
-            "types": pa.array([int((total > 0).sum())] * len(lens), pa.int64()),
-        }
-    )
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -149,33 +170,28 @@ def traverse(order: int, mu: dict, n: int, v: int, place: np.ndarray, uniq_at: l
     return base, got
 
 
-def _score(bits: list[int], order: int, mu: dict):
+def _score(spaces: list[Space], mu: dict, n: int, v: int):
+    order = len(spaces)
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         lens, place, grams = _ngrams(_table_texts(docs), order)
-        got = {b: c for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist())}
-        of_words = {b: (t, v) for b, t, v in zip(answers.column("bucket").to_pylist(), answers.column("tokens").to_pylist(), answers.column("types").to_pylist()) if b % order == 0}
-        n, v = (sum(x[j] for x in of_words.values()) for j in (0, 1))
         uniq_at, first, counts = [], [], []
-        for k in range(1, order + 1):
-            where = np.flatnonzero(place >= k - 1)
-            uniq, at, inv = np.unique(grams[k - 1][where] >> np.uint64(24 - bits[k - 1]), return_index=True, return_inverse=True)
+        for no, space in enumerate(spaces):
+            where = np.flatnonzero(place >= no)
+            uniq, at, inv = np.unique(space.key(grams[no][where]), return_index=True, return_inverse=True)
             full = np.zeros(len(place), dtype=np.int64)
             full[where] = inv
-            edges = split_by_bucket(uniq, bits[k - 1])
-            c = np.zeros(len(uniq), dtype=np.int64)
-            for b in range(1 << bits[k - 1]):
-                if edges[b] < edges[b + 1]:
-                    c[edges[b] : edges[b + 1]] = unpack_counts(got[b * order + k - 1], edges[b + 1] - edges[b])
             uniq_at.append(full)
             first.append(where[at])
-            counts.append(c)
-            grams[k - 1] = None
+            counts += answered(answers, no, space, uniq, 1)
+            grams[no] = None
         base, weights = traverse(order, mu, n, v, place, uniq_at, first, counts)
         starts = np.cumsum(lens) - lens
         known = np.add.reduceat((counts[0] > 0)[uniq_at[0]].astype(np.int64), starts)
         train = docs.column("train").combine_chunks()
+        tidy()
         return pa.table(
             {
                 "doc_id": docs.column("doc_id").combine_chunks(),
@@ -191,15 +207,16 @@ def _score(bits: list[int], order: int, mu: dict):
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = ORDER, mu: dict | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, order: int = ORDER, mu: dict | None = None, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE_BITS, relay: int = RELAY) -> DataFrame:
     """One row for each row of docs(doc_id, text); train is true for rows to learn from."""
     ship(docs.sparkSession)
-    mu = mu or MU
     rows, size = text_size(docs)
     size += rows
     bits = [bits_for(size // (6 * (4 if k == 1 else 1)), BUCKET_KEYS) for k in range(1, order + 1)]
-    chunk = F.pmod(row_key("doc_id", "text"), F.lit(groups_for(size, chunk_bytes))).cast("int")
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"), chunk.alias("chunk"))
-    asked = chunks.groupBy("chunk").applyInArrow(_ask(bits, order), "bucket int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, counts binary, tokens long, types long")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(bits, order, mu), SCORES)
+    spaces = [word_space(bits[0], wide), *(Space(b, wide=wide) for b in bits[1:])]
+    learn = F.coalesce(train, F.lit(True))
+    n, v = corpus_counts(docs.where(learn), bits[0])
+    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("train"), dealt(groups_for(size, chunk_bytes)).alias("chunk"))
+    asks = chunks.groupBy("chunk").applyInArrow(_ask(spaces), asked_schema(1))
+    answers = lookup(asks, spaces, 1, relay)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(spaces, mu or MU, n, v), SCORES)

@@ -22,7 +22,9 @@ Defined results.  Words are runs of characters other than ASCII white space,
 with A-Z lower-cased.  Texts with one to four words have one shingle, all
 their words.  Equal texts, also empty ones, are one class.  A null text has no
 partner.  A null doc_id names its class only where all others are null too.
-Repeated rows get the same answer each.  Extra columns are ignored.
+Repeated rows get the same answer each.  Extra columns are ignored by
+near_duplicates and kept as they are by drop_near_duplicates, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, bits_for, groups_for, mix, pack_counts, pack_keys, ragged, row_key, ship, split_by_bucket, text_size, unpack_counts, unpack_keys, write_table
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, drop_table, groups_for, lookup, mix, own_columns, ragged, row_key, ship, spare, text_size, tidy, write_table
 from shelfspark.llm.linking import link_components
 
 SHINGLE = 5
@@ -113,7 +115,7 @@ def _combine(n_chunks: int):
             ids = [xxhash.xxh64_intdigest(t, 42) for t in seen]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([i % n_chunks for i in ids], pa.int32()),
+                    pa.array([i % n_chunks for i in ids], pa.int64()),
                     pa.array([i - (i >> 63 << 64) for i in ids], pa.int64()),
                     pa.array(list(seen.values()), pa.int64()),
                     pa.array(list(seen), pa.binary()),
@@ -136,70 +138,34 @@ def _chunk_sets(table: pa.Table) -> tuple[list[int], np.ndarray, list[tuple[np.n
     return ids, np.array([n[i] for i in ids], dtype=np.int64), sets
 
 
-def _ask(bits: int):
-    shift = np.uint64(24 - bits)
-
+def _ask(space: Space):
     def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
         _, copies, sets = _chunk_sets(table)
-        keys = np.concatenate([s for s, _ in sets] or [np.empty(0, np.uint64)]) >> shift
+        keys = space.key(np.concatenate([s for s, _ in sets] or [np.empty(0, np.uint64)]))
         per = np.repeat(copies, [len(s) for s, _ in sets])
         uniq, inv, texts = np.unique(keys, return_inverse=True, return_counts=True)
         docs = np.bincount(inv, weights=per, minlength=len(uniq)).astype(np.int64)
-        at = split_by_bucket(uniq, bits)
-        rows = [b for b in range(1 << bits) if at[b] < at[b + 1]]
-        return pa.table(
-            {
-                "bucket": pa.array(rows, pa.int32()),
-                "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "keys": pa.array([pack_keys(uniq[at[b] : at[b + 1]]) for b in rows], pa.binary()),
-                "docs": pa.array([pack_counts(docs[at[b] : at[b + 1]]) for b in rows], pa.binary()),
-                "texts": pa.array([pack_counts(texts[at[b] : at[b + 1]]) for b in rows], pa.binary()),
-            }
-        )
+        out = asked(table.column("chunk")[0].as_py(), [(0, space, uniq, [docs, texts])])
+        tidy()
+        return out
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-    lens = [len(k) for k in keys]
-    _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    total = {}
-    for name in ("docs", "texts"):
-        own = np.concatenate([unpack_counts(d, n) for d, n in zip(table.column(name).to_pylist(), lens)])
-        total[name] = np.bincount(inv, weights=own).astype(np.int64)[inv]
-    ends = np.cumsum(lens)
-    cut = lambda v, f: pa.array([f(v[e - n : e]) for e, n in zip(ends, lens)], pa.binary())
-    return pa.table(
-        {
-            "chunk": table.column("chunk").combine_chunks(),
-            "bucket": table.column("bucket").combine_chunks(),
-            "docs": cut(total["docs"], pack_counts),
-            "shared": cut(total["texts"] > 1, lambda x: np.packbits(x).tobytes()),
-        }
-    )
-
-
 ITEMS = "id long, bands array<long>, elems binary, weights binary"
 
 
-def _sample(bits: int, n_docs: int, threshold: float, bands: int, rows: int, strength: float):
-    shift = np.uint64(24 - bits)
+def _sample(space: Space, n_docs: int, threshold: float, bands: int, rows: int, strength: float):
     scale = strength / np.log(n_docs) if n_docs > 1 else 0.0
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = {"id": [], "bands": [], "elems": [], "weights": []}
         if docs.num_rows:
             ids, _, sets = _chunk_sets(docs)
-            keys = np.concatenate([s for s, _ in sets] or [np.empty(0, np.uint64)]) >> shift
+            keys = space.key(np.concatenate([s for s, _ in sets] or [np.empty(0, np.uint64)]))
             uniq, inv = np.unique(keys, return_inverse=True)
-            at = split_by_bucket(uniq, bits)
-            df, shared = np.ones(len(uniq), dtype=np.int64), np.zeros(len(uniq), dtype=bool)
-            for b, d, s in zip(answers.column("bucket").to_pylist(), answers.column("docs").to_pylist(), answers.column("shared").to_pylist()):
-                n = at[b + 1] - at[b]
-                df[at[b] : at[b + 1]] = unpack_counts(d, n)
-                shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(s, np.uint8), count=n).astype(bool)
+            df, texts = answered(answers, 0, space, uniq, 2)
+            shared = texts > 1
             idf = (1.0 + scale * np.log(n_docs / df))[inv]
             shared, end = shared[inv], 0
             for i, (s, tf) in zip(ids, sets):
@@ -214,19 +180,20 @@ def _sample(bits: int, n_docs: int, threshold: float, bands: int, rows: int, str
                 out["bands"].append(band_keys(icws(s, w, bands * rows), bands, rows).tolist())
                 out["elems"].append(e.tobytes())
                 out["weights"].append(ew.tobytes())
+        tidy()
         return pa.table({"id": pa.array(out["id"], pa.int64()), "bands": pa.array(out["bands"], pa.list_(pa.int64())), "elems": pa.array(out["elems"], pa.binary()), "weights": pa.array(out["weights"], pa.binary())})
 
     return run
 
 
-def sampled_texts(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, strength: float = IDF_STRENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def sampled_texts(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, strength: float = IDF_STRENGTH, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE_BITS, relay: int = RELAY) -> DataFrame:
     """(id, bands, elems, weights) of each distinct text that can have a partner."""
     n, size = text_size(docs)
-    bits = bits_for(size // 5, BUCKET_KEYS)
-    texts = docs.select("text").where("text is not null").mapInArrow(_combine(groups_for(size, chunk_bytes)), "chunk int, id long, n long, text binary")
-    asked = texts.groupBy("chunk").applyInArrow(_ask(bits), "bucket int, chunk int, keys binary, docs binary, texts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, docs binary, shared binary")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sample(bits, max(n, 1), threshold, bands, rows, strength), ITEMS)
+    space = Space(bits_for(size // 5, BUCKET_KEYS), wide=wide)
+    texts = docs.select("text").where("text is not null").mapInArrow(_combine(groups_for(size, chunk_bytes)), "chunk long, id long, n long, text binary")
+    asks = texts.groupBy("chunk").applyInArrow(_ask(space), asked_schema(2))
+    answers = lookup(asks, [space], 2, relay)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sample(space, max(n, 1), threshold, bands, rows, strength), ITEMS)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, strength: float = IDF_STRENGTH) -> DataFrame:
@@ -239,7 +206,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     own = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.col("text").isNotNull().alias("has_text"), row_key("doc_id", "text").alias("row"))
     items = write_table(sampled_texts(docs, threshold, bands, rows, strength), "items")
     members = items.select(F.explode("bands").alias("key"), "id")
-    _, labels = link_components(members, items, threshold)
+    links, labels = link_components(members, items, threshold)
+    drop_table(items)
+    drop_table(links)
     lone = own.where(~F.col("has_text")).select("doc_id", F.col("doc_id").alias("class_id"), "row", F.lit(True).alias("keep"))
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
     texts = own.where("has_text").groupBy("text_id").agg(F.min(at).alias("least"))
@@ -253,11 +222,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the one of the least doc_id; rows without text stay."""
     found = write_table(near_duplicates(docs.select("doc_id", "text"), **options), "classes")
-    gone = found.where("not keep").select(F.col("row").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row_key("doc_id", "text")).join(gone, "_row", "left_anti")
-    again = found.where("keep").groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row")
-    again = write_table(again, "again")
-    if not again.take(1):
-        return kept.select(*docs.columns)
-    rest = kept.join(again, "_row", "left_anti").union(kept.where("text is null").join(again, "_row", "left_semi"))
-    return rest.union(kept.where("text is not null").join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
+    row, columns = spare(docs, "row"), own_columns(docs)
+    gone = found.where("not keep").select(F.col("row").alias(row)).distinct()
+    kept = docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left_anti")
+    again = write_table(found.where("keep").groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(row), "again")
+    if not again.take(1):  # no kept row is repeated
+        return kept.select(*columns)
+    rest = kept.join(again, row, "left_anti").union(kept.where("text is null").join(again, row, "left_semi"))
+    return rest.union(kept.where("text is not null").join(again, row, "left_semi").dropDuplicates([row])).select(*columns)

@@ -80,26 +80,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP1 = r"""
 WITH RECURSIVE base AS (
-  SELECT page_id, url, html,
+  SELECT page_id, url,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
-         CASE WHEN contains(url, '://') THEN split_part(url, '#', 1) END AS node
+         unnest(CASE WHEN contains(url, '://') AND html IS NOT NULL
+                     THEN list_concat([''], regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) ELSE [''] END) AS tag
   FROM pages),
+told AS (
+  SELECT url, CASE WHEN starts_with(lower(tag), '<link') THEN
+                CASE WHEN list_contains(regexp_split_to_array(lower(trim(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), E'"'' \t\n\x0b\x0c\r')), '\s+'), 'canonical')
+                     THEN trim(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), E'"'' \t\n\x0b\x0c\r') END
+              WHEN lower(trim(regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), E'"'' \t\n\x0b\x0c\r')) = 'refresh'
+                THEN regexp_extract(trim(regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), E'"'' \t\n\x0b\x0c\r'),
+                                    '(?is)^[\d.\s]*[;,\s]\s*(?:url\s*=\s*)?["'']?\s*([^"''\s]+)', 1) END AS t
+  FROM base WHERE tag <> ''),
+targets AS (SELECT url, replace(t, '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1) AS folder FROM told WHERE t <> ''),
 links AS (
-  SELECT node, url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS t FROM base
-  UNION ALL
-  SELECT node, url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) FROM base),
-targets AS (SELECT node, url, replace(t, '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1) AS folder FROM links WHERE t <> ''),
-edges AS (
-  SELECT node AS a, split_part(full_url, '#', 1) AS b
-  FROM (SELECT node, CASE WHEN contains(t, '://') THEN t
-                          WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-                          WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
-                          WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
-                          WHEN ends_with(folder, '/') THEN folder || t
-                          ELSE folder || '/' || t END AS full_url
-        FROM targets)
-  WHERE node IS NOT NULL AND contains(full_url, '://')),
+  SELECT url, CASE WHEN starts_with(t, '#') THEN url
+                   WHEN contains(t, '://') THEN t
+                   WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+                   WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
+                   WHEN ends_with(folder, '/') THEN folder || t
+                   ELSE folder || '/' || t END AS full_url
+  FROM targets),
+named AS (
+  SELECT u, translate(head, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || CASE WHEN starts_with(way, '/') AND contains(way, '/.')
+                    THEN list_reduce(string_split(way, '/')[2:], lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END, '')
+                         || CASE WHEN regexp_matches(way, '/\.\.?$') THEN '/' ELSE '' END || substring(rest, length(way) + 1)
+                    ELSE rest END AS node
+  FROM (SELECT *, split_part(rest, '?', 1) AS way
+        FROM (SELECT u, head, substring(split_part(u, '#', 1), length(head) + 1) AS rest
+              FROM (SELECT u, regexp_extract(split_part(u, '#', 1), '(?s)^.*?://[^/?#]*', 0) AS head
+                    FROM (SELECT url AS u FROM pages UNION SELECT full_url FROM links) WHERE contains(u, '://'))))),
+edges AS (SELECT x.node AS a, y.node AS b FROM links JOIN named x ON links.url = x.u JOIN named y ON links.full_url = y.u WHERE x.node <> y.node),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.m = both_ways.a),
 nodes AS (
@@ -120,7 +135,9 @@ own AS (
   GROUP BY page_id, url, host, path)
 SELECT base.page_id, base.host, base.path, own.rule, coalesce(own.act, CASE WHEN spread.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM base LEFT JOIN own ON base.page_id IS NOT DISTINCT FROM own.page_id AND base.url IS NOT DISTINCT FROM own.url
-LEFT JOIN spread ON base.node = spread.n
+LEFT JOIN named ON base.url = named.u
+LEFT JOIN spread ON named.node = spread.n
+WHERE base.tag = ''
 """
 
 _OP2 = r"""

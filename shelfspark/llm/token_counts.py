@@ -3,8 +3,8 @@
 Each distinct pre-token of the corpus is counted once, in its bucket; the
 count is joined to the pre-token frequencies of the documents, and the products
 are summed.  No token id is made for a document.  Pre-tokens and counts travel
-packed by chunk (see ``common``), so a pre-token that every document holds
-crosses the network once a chunk.
+packed by chunk (see ``common``, relays included), so a pre-token that every
+document holds crosses the network once a chunk.
 
 Defined results.  A null text is empty: 0 bytes, 0 tokens.  A special string in
 a text is one token, as the tokenizers library has it by default.  Repeated
@@ -17,6 +17,7 @@ handed to the library as one pre-token, for its normalizer may change them.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, bits_for, groups_for, pack_counts, row_key, ship, text_size, unpack_counts
+from shelfspark.llm.common import CHUNK_BYTES, RELAY, WIDE_BITS, bits_for, dealt, groups_for, pack_counts, ship, text_size, tidy, unpack_counts
 from shelfspark.llm.tokenizer_cache import load, tokenizer_path
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,68 +73,123 @@ def _frequencies(table: pa.Table, name: str) -> list[Counter]:
     return [Counter(cut(t)) if t else Counter() for t in table.column("text").to_pylist()]
 
 
-def _ordered(found: list[Counter], bits: int) -> list[list[bytes]]:
-    """The distinct pre-tokens of a chunk, by bucket, in a fixed order."""
-    uniq: set[str] = set().union(*found)
-    out: list[list[bytes]] = [[] for _ in range(1 << bits)]
+def _bucket(token: bytes, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(token) >> (64 - bits) if bits else 0
+
+
+def _ordered(uniq: Iterable[bytes], bits: int) -> dict[int, list[bytes]]:
+    """Distinct pre-tokens by bucket, in a fixed order."""
+    out: dict[int, list[bytes]] = {}
     for p in uniq:
-        b = p.encode()
-        out[xxhash.xxh3_64_intdigest(b) >> (64 - bits) if bits else 0].append(b)
-    for x in out:
+        out.setdefault(_bucket(p, bits), []).append(p)
+    for x in out.values():
         x.sort()
     return out
 
 
+def _chunk_tokens(found: list[Counter], bits: int) -> dict[int, list[bytes]]:
+    return _ordered((p.encode() for p in set().union(*found)), bits)
+
+
+ASKED = "bucket int, chunk long, lens binary, n int, data binary"
+ANSWERED = "bucket int, chunk long, counts binary"
+
+
+def _asked(chunk: int, parts: dict[int, list[bytes]]) -> pa.Table:
+    return pa.table(
+        {
+            "bucket": pa.array(list(parts), pa.int32()),
+            "chunk": pa.array([chunk] * len(parts), pa.int64()),
+            "lens": pa.array([pack_counts(np.array([len(p) for p in x])) for x in parts.values()], pa.binary()),
+            "n": pa.array([len(x) for x in parts.values()], pa.int32()),
+            "data": pa.array([b"".join(x) for x in parts.values()], pa.binary()),
+        }
+    )
+
+
+def _read(table: pa.Table) -> list[list[bytes]]:
+    """The pre-tokens of each row of what was asked."""
+    out = []
+    for lens, n, data in zip(table.column("lens").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()):
+        ends = np.cumsum(unpack_counts(lens, n)).tolist()
+        out.append([data[a:b] for a, b in zip([0] + ends, ends)])
+    return out
+
+
+def _handed_out(table: pa.Table, rows: list[list[bytes]], count: dict[bytes, int]) -> pa.Table:
+    counts = [pack_counts(np.fromiter(map(count.__getitem__, x), np.int64, len(x))) for x in rows]
+    return pa.table({"bucket": table.column("bucket").combine_chunks(), "chunk": table.column("chunk").combine_chunks(), "counts": pa.array(counts, pa.binary())})
+
+
+def _known(answers: pa.Table, parts: dict[int, list[bytes]]) -> dict[bytes, int]:
+    """The count of each pre-token that was asked for in these parts."""
+    out: dict[bytes, int] = {}
+    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()):
+        out.update(zip(parts[b], unpack_counts(c, len(parts[b])).tolist()))
+    return out
+
+
 def _ask(name: str, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = _ordered(_frequencies(table, name), bits)
-        rows = [b for b, p in enumerate(parts) if p]
-        return pa.table(
-            {
-                "bucket": pa.array(rows, pa.int32()),
-                "chunk": pa.array([table.column("chunk")[0].as_py()] * len(rows), pa.int32()),
-                "lens": pa.array([pack_counts(np.array([len(p) for p in parts[b]])) for b in rows], pa.binary()),
-                "n": pa.array([len(parts[b]) for b in rows], pa.int32()),
-                "data": pa.array([b"".join(parts[b]) for b in rows], pa.binary()),
-            }
-        )
+        out = _asked(table.column("chunk")[0].as_py(), _chunk_tokens(_frequencies(table, name), bits))
+        tidy()
+        return out
 
     return run
 
 
 def _answer(name: str):
     def run(table: pa.Table) -> pa.Table:
-        asked = []
-        for lens, n, data in zip(table.column("lens").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()):
-            ends = np.cumsum(unpack_counts(lens, n)).tolist()
-            asked.append([data[a:b] for a, b in zip([0] + ends, ends)])
-        uniq = list(set().union(*asked))
+        rows = _read(table)
+        uniq = list(set().union(*rows))
         count, known = _tools(name)[1], {}
         for i in range(0, len(uniq), 20_000):
             some = uniq[i : i + 20_000]
             known.update(zip(some, count([p.decode() for p in some])))
-        return pa.table(
-            {
-                "chunk": table.column("chunk").combine_chunks(),
-                "bucket": table.column("bucket").combine_chunks(),
-                "counts": pa.array([pack_counts(np.fromiter(map(known.__getitem__, a), np.int64, len(a))) for a in asked], pa.binary()),
-            }
-        )
+        out = _handed_out(table, rows, known)
+        tidy()
+        return out
+
+    return run
+
+
+def _relay_up(bits: int):
+    """What the chunks of a relay ask of a wide bucket, each pre-token once, by narrower buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _asked(table.column("relay")[0].as_py(), _ordered(set().union(*_read(table)), bits))
 
     return run
 
 
+def _relay_down(bits: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = _read(table)
+        return _handed_out(table, rows, _known(answers, _ordered(set().union(*rows), bits)))
+
+    return run
+
+
+def _lookup(asks: DataFrame, name: str, bits: int, wide: int, relay: int) -> DataFrame:
+    """ANSWERED to all asks of min(bits, wide) bits; with relays where more bits are needed (see ``common``)."""
+    count = lambda df: df.groupBy("bucket").applyInArrow(_answer(name), ANSWERED)
+    if bits <= wide:
+        return count(asks)
+    relayed = asks.withColumn("relay", F.floor(F.col("chunk") / relay))
+    got = count(relayed.groupBy("bucket", "relay").applyInArrow(_relay_up(bits), ASKED))
+    got = got.withColumn("wide", F.floor(F.col("bucket") / (1 << (bits - wide))).cast("int"))
+    return relayed.groupBy("bucket", "relay").cogroup(got.groupBy("wide", "chunk")).applyInArrow(_relay_down(bits), ANSWERED)
+
+
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def _sum(name: str, bits: int, limit: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = _frequencies(docs, name)
-        parts = _ordered(found, bits) if found else []
-        count: dict[str, int] = {}
-        for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()):
-            count.update(zip([p.decode() for p in parts[b]], unpack_counts(c, len(parts[b])).tolist()))
+        count = {p.decode(): n for p, n in _known(answers, _chunk_tokens(found, bits)).items()}
         n = [sum(f * count[p] for p, f in x.items()) for x in found]
+        tidy()
         return pa.table(
             {
                 "doc_id": docs.column("doc_id").combine_chunks(),
@@ -146,13 +202,12 @@ def _sum(name: str, bits: int, limit: int):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk_bytes: int = 2 * CHUNK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk_bytes: int = 2 * CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, wide: int = WIDE_BITS, relay: int = RELAY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
     _, size = text_size(docs)
-    bits = bits_for(size // 6, BUCKET_BYTES)
-    chunk = F.pmod(row_key("doc_id", "text"), F.lit(groups_for(size, chunk_bytes))).cast("int")
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.alias("chunk"))
-    asked = chunks.groupBy("chunk").applyInArrow(_ask(tokenizer, bits), "bucket int, chunk int, lens binary, n int, data binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer(tokenizer), "chunk int, bucket int, counts binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum(tokenizer, bits, limit), COUNTS)
+    bits = bits_for(size // 6, bucket_bytes)
+    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", dealt(groups_for(size, chunk_bytes)).alias("chunk"))
+    asks = chunks.groupBy("chunk").applyInArrow(_ask(tokenizer, min(bits, wide)), ASKED)
+    answers = _lookup(asks, tokenizer, bits, wide, relay)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum(tokenizer, min(bits, wide), limit), COUNTS)

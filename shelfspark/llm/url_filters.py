@@ -8,11 +8,17 @@ rule decides.  Explicit allow takes precedence: a URL's own rule always
 decides it, and a component in which any URL is explicitly allowed blocks
 nothing else.  All of it is DataFrame operations.
 
+A node is a URL without its fragment, scheme and host in lower case and dot
+segments of its path taken out (RFC 3986).  Every ``link`` tag outside of
+comments whose ``rel`` holds the word canonical and every ``meta`` refresh tag
+with a target gives an edge; relative targets are resolved against the page's
+URL (``base`` tags are not read), ``&amp;`` is read as ``&``.
+
 Defined results.  A null URL, or one without ``://``, has an empty host and
-path, fits no rule and is an alias of nothing: allow.  Fragments do not count
-for aliases.  Equal URLs are one node.  Relative links are resolved against
-the page's URL.  Rows that are repeated get the same verdict each.  Extra
-columns are kept out of the result; no rows: no rows.
+path, fits no rule and is an alias of nothing: allow.  Rules judge URLs as
+they are written, so dot segments count there.  Equal URLs are one node.  Rows
+that are repeated get the same verdict each.  Extra columns are kept out of
+the result; no rows: no rows.
 """
 
 from __future__ import annotations
@@ -20,17 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import write_table
+from shelfspark.llm.common import drop_table, write_table
 from shelfspark.operators.components import connected_components
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_TAG = {
-    "canonical": r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""",
-    "redirect": r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""",
-}
-_TARGET = {"canonical": r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", "redirect": r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""}
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_REFRESH = r"""(?is)^[\d.\s]*[;,\s]\s*(?:url\s*=\s*)?["']?\s*([^"'\s]+)"""
+_QUOTES = "\"' \t\n\x0b\x0c\r"
 
 
 def host(url: Column) -> Column:
@@ -42,10 +47,27 @@ def path(url: Column) -> Column:
 
 
 def node(url: Column) -> Column:
-    """The URL without its fragment, scheme and host in lower case; null if it is no absolute URL."""
+    """The URL as a node; null if it is no absolute URL."""
     whole = F.substring_index(url, "#", 1)
     head = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*", 0)
-    return F.when(url.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), F.substring(whole, F.length(head) + 1, F.length(whole))))
+    rest = F.substring(whole, F.length(head) + 1, F.length(whole))
+    way = F.substring_index(rest, "?", 1)
+    parts = F.split(way, "/", -1)
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, r"/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    clean = F.concat(F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), step), F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    rest = F.when(way.startswith("/") & way.contains("/."), F.concat(clean, F.substring(rest, F.length(way) + 1, F.length(rest)))).otherwise(rest)
+    return F.when(url.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), rest))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.btrim(F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), F.lit(_QUOTES))
+
+
+def _target(tag: Column) -> Column:
+    """Where a link or meta tag says the page is; empty or null if it does not."""
+    canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
+    return F.when(F.lower(tag).startswith("<link"), F.when(canonical, _attribute(tag, "href"))).when(refresh, F.regexp_extract(_attribute(tag, "content"), _REFRESH, 1))
 
 
 def _fits(h: Column, p: Column, rule: str) -> Column:
@@ -69,24 +91,23 @@ def action(rule: Column, rules: dict[str, str]) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): canonical links and immediate redirects in pages(url, html)."""
-    base = F.col("url")
+    """(a, b): canonical links and redirects in pages(url, html)."""
+    base, to = F.col("url"), F.col("to")
+    tags = F.regexp_extract_all(F.regexp_replace("html", _COMMENT, ""), F.lit(_TAG), F.lit(0))
+    found = pages.where(F.col("url").contains("://")).select("url", F.explode(F.transform(tags, _target)).alias("to")).where("to != ''")
+    found = found.select("url", F.regexp_replace("to", "&amp;", "&").alias("to"))
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
-    found = []
-    for kind in _TAG:
-        to = F.regexp_replace(F.regexp_extract(F.regexp_extract("html", _TAG[kind], 0), _TARGET[kind], 1), "&amp;", "&")
-        full = (
-            F.when(to == "", F.lit(None))
-            .when(to.contains("://"), to)
-            .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
-            .when(to.startswith("/"), F.concat(root, to))
-            .when(to.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), to))
-            .when(folder.endswith("/"), F.concat(folder, to))
-            .otherwise(F.concat(folder, F.lit("/"), to))
-        )
-        found.append(full)
-    return pages.select(node(base).alias("a"), F.explode(F.array(*found)).alias("to")).select("a", node(F.col("to")).alias("b")).where("a is not null and b is not null and a != b")
+    full = (
+        F.when(to.startswith("#"), base)
+        .when(to.contains("://"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), to))
+        .when(folder.endswith("/"), F.concat(folder, to))
+        .otherwise(F.concat(folder, F.lit("/"), to))
+    )
+    return found.select(node(base).alias("a"), node(full).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None = None) -> DataFrame:
@@ -101,13 +122,13 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame |
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), node(F.col("url")).alias("node"))
     rows = rows.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
     edges = write_table(edges.where("a is not null and b is not null and a != b").distinct(), "aliases")
-    if not edges.take(1):
-        return rows.select("page_id", "host", "path", "rule", F.coalesce(action(F.col("rule"), rules), F.lit(ALLOW)).alias("verdict"))
     named = connected_components(edges)
+    drop_table(edges)
     said = named.select("node", "component", matched_rule(host(F.col("node")), path(F.col("node")), rules).alias("rule"))
     said = said.withColumn("act", action(F.col("rule"), rules))
     whole = said.groupBy("component").agg(F.max(F.col("act") == ALLOW).alias("allowed"), F.max(F.col("act") == BLOCK).alias("blocked"))
     spread = whole.where("blocked and not coalesce(allowed, false)").select("component")
     reached = write_table(named.join(spread, "component", "left_semi").select("node", F.lit(BLOCK).alias("alias_verdict")), "reached")
+    drop_table(named)
     out = rows.join(reached, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(action(F.col("rule"), rules), "alias_verdict", F.lit(ALLOW)).alias("verdict"))

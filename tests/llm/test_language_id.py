@@ -74,3 +74,32 @@ def test_odd_rows(spark):
     empty = L.train(df, F.lit(False))
     assert {r.lang_pred for r in L.identify(df, empty).collect()} == {"und"}
     assert L.identify(df.where("false"), model).count() == 0
+
+
+def test_no_size_of_a_language_drops_it(spark):
+    """Counts a million times as large as the table: the cut by share alone would leave none or few."""
+    assert L.share(120, 10**12) > 0 and L.share(120, 50) == L.HASH_STEPS
+    rows = [(i, f"text {i}", "de" if i % 2 else "en") for i in range(4000)] + [(9, "text 9", "de")] * 3000 + [(9000, "rare", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.sampled(df, F.lit(True), per_language=50).collect()
+    n = {k: sum(r.lang == k for r in got) for k in ("de", "en", "fr")}
+    assert n == {"de": 50, "en": 50, "fr": 1} and len({r.text for r in got}) == len(got)
+    for size in (10**8, 10**10):  # the share that each size keeps is what it should be
+        assert 250 < L.share(120, size) / L.HASH_STEPS * size < 270
+
+
+def test_columns_of_the_user(spark):
+    rows = [(1, "the garden and the house", "en", 0.5, "mine"), (2, "der garten und das haus", "de", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, `a``b.c` string").withColumn("langs", F.lit(1))
+    model = L.train(df, F.lit(True), rounds=20)
+    got = L.identify(df, model)
+    assert got.columns == ["doc_id", "text", "lang", "a`b.c", "langs", "lang_pred", "score"]
+    assert {r.doc_id: (r.lang_pred, r["a`b.c"]) for r in got.collect()} == {1: ("en", "mine"), 2: ("de", None)}
+    got = L.identify(df, model, ("found", "sure")).collect()
+    assert {r.doc_id: (r.found, r.score) for r in got} == {1: ("en", 0.5), 2: ("de", None)}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "the garden and the house " * 60_000, "en"), (2, "der garten und das haus", "de"), (3, "the house", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(df, L.train(df.where("doc_id > 1"), F.lit(True), rounds=20)).collect()}
+    assert got[1][0] == "en" and got[1][1] > 0.5

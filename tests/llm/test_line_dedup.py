@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests_llm_tools import parts, sentence
 
 from shelfspark.llm import line_dedup as L
@@ -83,3 +84,20 @@ def test_signatures_estimate_similarity(rng):
     s = L.signatures([a, b], 512)
     assert abs((s[0] == s[1]).mean() - len(grams(a) & grams(b)) / len(grams(a) | grams(b))) < 0.08
     assert (L.signatures(["}", "}", ""], 48)[0] == L.signatures(["}"], 48)[0]).all() and np.isfinite(s.astype(float)).all()
+
+
+def test_columns_of_the_user_stay(spark):
+    line = "a line that is long enough to be a duplicate of another"
+    rows = [(1, line + "\nfirst", [7], 5, "x"), (2, "second\n" + line, [8], None, None), (2, "second\n" + line, [8], None, None), (3, None, None, 6, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed array<int>, row int, `a``b.c` string").withColumn("id", F.lit("i"))
+    got = L.dedup_lines(df)
+    assert got.columns == df.columns
+    want = [(1, line + "\nfirst", [7], 5, "x", "i"), (2, "second", [8], None, None, "i"), (2, "second", [8], None, None, "i"), (3, None, None, 6, "z", "i")]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"line number {i} of a very long text, with words of its own {i * 7919}" for i in range(30_000))
+    got = L.line_report(spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_lines for r in got} == {1: 30_000, 2: text[: len(text) // 2].count("\n") + 1}
+    assert {r.doc_id: r.n_removed for r in got}[2] >= 14_900

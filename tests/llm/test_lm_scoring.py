@@ -60,15 +60,16 @@ class Automaton:
         return total
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 20, 3000])
-def test_equals_the_automaton(spark, chunk_bytes, monkeypatch):
+@pytest.mark.parametrize("chunk_bytes,wide", [(1 << 20, 12), (3000, 12), (3000, 1)])
+def test_equals_the_automaton(spark, chunk_bytes, wide, monkeypatch):
+    """One chunk; many chunks and buckets; and with relays between them."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
     docs += [(1001, None), (1002, ""), (1003, "A b\tB a\x0bé É"), (None, "the of"), (1003, "A b\tB a\x0bé É"), (1004, "zz " * 5000)]
     held = {i: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1 for i, (d, _) in enumerate(docs)}
     model = Automaton([t for i, (_, t) in enumerate(docs) if not held[i]], 3, L.MU)
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, train int")
     monkeypatch.setattr(L, "BUCKET_KEYS", 2_000_000 if chunk_bytes > 10_000 else 500)
-    got = L.score_documents(df.select("doc_id", "text"), fold(5) != 1, chunk_bytes=chunk_bytes).collect()
+    got = L.score_documents(df.select("doc_id", "text"), fold(5) != 1, chunk_bytes=chunk_bytes, wide=wide, relay=3).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     want = []
     for i, (d, t) in enumerate(docs):

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_tools import parts, sentence
 
 from shelfspark.llm import linking, minhash
@@ -116,3 +117,50 @@ def test_block_links_equal_pairwise(rng):
     flat = [np.concatenate([s[i] for s in sets]) for i in (0, 1)]
     got = {tuple(x) for x in linking.block_links(*flat, np.array([len(e) for e, _ in sets]), 12, 0.4)}
     assert got == {(i, j) for i in range(12) for j in range(18) if linking.similarity(sets[i], sets[12 + j]) >= 0.4 - 1e-9}
+
+
+def test_relays_give_the_same_samples(spark, rng, monkeypatch):
+    df = spark.createDataFrame(corpus(rng), "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BUCKET_KEYS", 200)
+    some = [sorted((r.id, r.bands, bytes(r.elems), bytes(r.weights)) for r in minhash.sampled_texts(df, chunk_bytes=2000, wide=w, relay=3).collect()) for w in (12, 1)]
+    assert some[0] == some[1] and len(some[0]) > 50
+
+
+def test_blocks_of_edges_and_one_block_name_the_same_components(spark):
+    g = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in g.integers(0, 500, (450, 2))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = [{r.node: r.component for r in linking.linked_components(df, n).collect()} for n in (1000, 60)]
+    assert got[0] == got[1] == parts(edges, {x for e in edges if e[0] != e[1] for x in e})
+
+
+def test_columns_of_the_user_stay(spark):
+    rows = [(1, "a b c d e f", 10, "x"), (2, "a b c d e f", 20, "y"), (3, None, 30, None), (2, "a b c d e f", 20, "y"), (4, "other words stand here now", None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, `a``b.c` string")
+    df = df.withColumn("id", F.lit("i")).withColumn("keep", F.lit(False)).withColumn("class_id", F.lit(7))
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.row, r["a`b.c"], r.id, r.keep, r.class_id) for r in got.collect()) == [(1, 10, "x", "i", False, 7), (3, 30, None, "i", False, 7), (4, None, "z", "i", False, 7)]
+    twice = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (1, None, 7), (1, None, 7)], "doc_id long, text string, row int")
+    got = minhash.drop_near_duplicates(twice).collect()  # of rows equal in doc_id and text one stays
+    assert sorted((r.text is None, r.row) for r in got)[1:] == [(True, 7), (True, 7)] and len(got) == 3
+
+
+@pytest.mark.parametrize("strength", [0.0, minhash.IDF_STRENGTH, 1.0])
+def test_copies_with_few_edits_are_found(spark, rng, strength):
+    """Recall of planted copies whose similarity reaches the threshold: banding loses next to none."""
+    docs = []
+    for i in range(60):
+        text = sentence(rng, 200)
+        docs.append((10 * i, text))
+        for j, edits in enumerate((1, 2, 3)):
+            words = text.split()
+            for _ in range(edits):
+                words[rng.randrange(200)] = sentence(rng, 1)
+            docs.append((10 * i + 1 + j, " ".join(words)))
+    texts, links = brute(docs, strength=strength)
+    root = parts([(texts.index(a), texts.index(b)) for a, b in links], range(len(texts)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), strength=strength).collect()}
+    linked = [(d, root[texts.index(t)] == root[texts.index(docs[d // 10 * 4][1])]) for d, t in docs if d % 10]
+    assert sum(ok for _, ok in linked) >= 0.9 * len(linked)  # up to three words of 200 stay within the threshold
+    assert sum(got[d] == d // 10 * 10 for d, ok in linked if ok) >= 0.99 * sum(ok for _, ok in linked)

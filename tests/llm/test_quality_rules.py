@@ -54,3 +54,23 @@ def test_against_sql(spark):
     con = oracle.connect(SMALL)
     for name, sql in queries.oracle_sql().items():
         assert oracle.difference(queries.queries()[name](spark, SMALL), con, sql) == "", name
+
+
+def test_shrinkage_decides(spark):
+    """Hosts of one or two documents whose raw rate is over the limit are kept by the prior; a large one is not."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    size = {f"large{i}": (200, 20 + i) for i in range(30)} | {"one": (1, 1), "two": (2, 2), "three": (3, 2), "failing": (200, 150)}
+    rows, d = [], 0
+    for h, (n, f) in size.items():
+        for i in range(n):
+            rows.append((d := d + 1, bad if i < f else good, h))
+    out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).join(spark.createDataFrame(rows, "doc_id long, t string, source string"), "doc_id").collect()
+    rate = {h: f / n for h, (n, f) in size.items()}
+    m = sum(rate.values()) / len(rate)
+    v = sum((r - m) ** 2 for r in rate.values()) / len(rate)
+    s = max(0.0, m * (1 - m) / v - 1)
+    want = {h: (f + m * s) / (n + s) > 0.5 for h, (n, f) in size.items()}
+    assert {(r.source, r.host_failed) for r in out} == set(want.items())
+    assert [h for h in want if want[h] != (rate[h] > 0.5)]  # where the raw rate says otherwise
+    assert want["failing"] and not want["one"]
+    assert all(r.kept == (r.t == good and not want[r.source]) for r in out)

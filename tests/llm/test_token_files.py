@@ -111,11 +111,10 @@ def test_two_replace_the_smallest():
     assert P._fill(np.bincount([50, 30, 26, 24], minlength=101), 100) == [50, 26, 24]
 
 
-@pytest.mark.parametrize("name", [BYTE, WORD, "piece_bpe_32k.model"])
-def test_counts_equal_the_library_s(spark, rng, name, monkeypatch):
-    monkeypatch.setattr(C, "BUCKET_BYTES", 300)
+@pytest.mark.parametrize("name,wide", [(BYTE, 12), (BYTE, 1), (WORD, 12), ("piece_bpe_32k.model", 12)])
+def test_counts_equal_the_library_s(spark, rng, name, wide):
     rows, df = frame_of(spark, rng)
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in C.count_tokens(df.select("doc_id", "text"), name, chunk_bytes=2000).collect()))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in C.count_tokens(df.select("doc_id", "text"), name, chunk_bytes=2000, bucket_bytes=300, wide=wide, relay=3).collect()))
     if name.endswith(".model"):
         import sentencepiece
 
@@ -125,3 +124,24 @@ def test_counts_equal_the_library_s(spark, rng, name, monkeypatch):
         n = lambda t: len(load(name).encode(t or "", add_special_tokens=False).ids)
     assert got == sorted((d is not None, d or 0, len((t or "").encode()), n(t), n(t) > 512) for d, t, _ in rows)
     assert C.count_tokens(df.where("false"), name).count() == 0
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    from shelfspark.llm.common import dealt
+
+    df = spark.range(4000, numPartitions=4).selectExpr("7L as doc_id", "'the same' as text")
+    n = [r["count"] for r in df.select(dealt(16).alias("chunk")).groupBy("chunk").count().collect()]
+    assert len(n) == 16 and max(n) < 350
+
+
+def test_rows_sent_grow_with_the_input(spark, rng):
+    """Tiny chunks and buckets: twice the documents, at most a bit over twice the rows that chunks send."""
+    docs = [(i, sentence(rng, 60)) for i in range(400)]
+    from shelfspark.llm import common, lm_scoring
+
+    sent = []
+    for n in (200, 400):
+        spaces = [common.word_space(8, 3), common.Space(8, wide=3)]
+        df = spark.createDataFrame(docs[:n], "doc_id long, text string").selectExpr("*", "true as train").withColumn("chunk", common.dealt(n // 10))
+        sent.append(df.groupBy("chunk").applyInArrow(lm_scoring._ask(spaces), common.asked_schema(1)).count())
+    assert sent[0] <= 20 * 2 * 8 and sent[1] <= 2.1 * sent[0]
