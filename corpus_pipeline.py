@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate, language_id, line_dedup, minhash, packing
-from shelfspark.llm.common import write_table
+from shelfspark.llm.common import own_columns, spare, write_table
 from shelfspark.llm.queries import fold, table
 
 MIN_LANGUAGE_SCORE = 0.4
@@ -22,8 +22,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay; those without a letter or a clear language go."""
     model = language_id.train(docs, fold(4) != 2)
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = spare(docs, "lang_pred"), spare(docs, "score")
+    found = language_id.identify(docs, model, (lang, score))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*own_columns(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
