@@ -4,11 +4,18 @@ Members of a band bucket are first compared with one representative, the
 member that shares most buckets (in a group of near copies: the original).
 That star is linear in the bucket.  Only where a bucket still spans several
 components are its other members compared with those outside the largest one,
-in blocks of bounded size dealt over the cluster; a block pair returns a
-spanning forest of its links, never its pairs.  Every pair of a bucket is so
-either compared, or already in one component: no component is lost.  The cost
-of the second step grows with (members outside the largest component) x
-(members), the price of exactness in a bucket that is no group of copies.
+in blocks of bounded size dealt over the cluster; a block returns a spanning
+forest of its links, never its pairs.  Every pair of a bucket is so either
+compared, or already in one component: no component is lost.
+
+Where more than OUTSIDE members are outside the largest component (lines from
+one template, say, that are not near each other), the bucket is first split by
+prefixes.  In any fixed order of elements, two sets whose similarity reaches
+the threshold t share an element among the leading ones that weigh just over
+1 - t of each set; with the elements that a sample of the bucket shares most at
+the end of the order, strangers share none there.  Members are then compared
+only within (bucket, prefix element).  The order is chosen by a sample; that no
+pair is lost does not depend on it.
 """
 
 from __future__ import annotations
@@ -20,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import drop_table, union_find, write_table
+from shelfspark.llm.common import drop_table, mix, union_find, write_table
 from shelfspark.operators.components import connected_components
 
 BLOCK = 512
 EPS = 1e-9
+OUTSIDE = 64
+SAMPLE = 256
+LISTED = 1 << 16
+FEW_PAIRS = 64
 
 
 #: Edges that one task joins up at most.
@@ -135,27 +146,105 @@ def verified_pairs(pairs: DataFrame, items: DataFrame, threshold: float, decode=
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(threshold, decode), "a long, b long")
 
 
+def _common(decode):
+    """The elements that several of these sampled members of a bucket hold, the most frequent last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        elems, _, _ = decode(table.column("elems").to_pylist(), table.column("weights").to_pylist())
+        found, n = np.unique(elems, return_counts=True)
+        found, n = found[n > 1], n[n > 1]
+        found = found[np.argsort(n, kind="stable")][-LISTED:]
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()], pa.int64()), "common": pa.array([found.tobytes()], pa.binary())})
+
+    return run
+
+
+def prefix_of(elems: np.ndarray, weights: np.ndarray, lens: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, set of each) of the prefixes: those in common come last, in its order."""
+    owner = np.repeat(np.arange(len(lens)), lens)
+    rank = np.zeros(len(elems), dtype=np.int64)
+    if len(common):
+        by = np.argsort(common)
+        listed = common[by]
+        at = np.minimum(np.searchsorted(listed, elems), len(listed) - 1)
+        hit = listed[at] == elems
+        rank[hit] = by[at[hit]] + 1
+    order = np.lexsort((elems, rank, owner))
+    w = weights[order]
+    before = np.append(0.0, np.cumsum(w))[:-1]
+    before -= np.repeat(before[(np.cumsum(lens) - lens)[lens > 0]], lens[lens > 0])
+    total = np.bincount(owner, weights=weights, minlength=len(lens))
+    keep = before <= (1 - threshold + 1e-6) * total[owner]
+    return elems[order][keep], owner[keep]
+
+
+MEMBERS = "key long, id long, comp long"
+
+
+def _prefixes(threshold: float, decode):
+    def run(table: pa.Table, common: pa.Table) -> pa.Table:
+        ids, comp, key2 = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        if table.num_rows:
+            key = np.array([table.column("key")[0].as_py()], dtype=np.int64).view(np.uint64)
+            listed = np.frombuffer(common.column("common")[0].as_py(), np.uint64) if common.num_rows else np.empty(0, np.uint64)
+            elems, owner = prefix_of(*decode(table.column("elems").to_pylist(), table.column("weights").to_pylist()), listed, threshold)
+            ids, comp, key2 = table.column("id").to_numpy()[owner], table.column("comp").to_numpy()[owner], mix(elems ^ mix(key))
+        return pa.table({"key": pa.array(key2.view(np.int64)), "id": pa.array(ids, pa.int64()), "comp": pa.array(comp, pa.int64())})
+
+    return run
+
+
+def _split_by_prefix(rows: DataFrame, held: DataFrame, threshold: float, decode) -> DataFrame:
+    """MEMBERS of the narrower buckets of rows(key, id, comp, members)."""
+    one_in = F.greatest(F.ceil(F.col("members") / SAMPLE), F.lit(1))
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), one_in) == 0).select("key", "id").join(held, "id")
+    common = sample.groupBy("key").applyInArrow(_common(decode), "key long, common binary")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    spread = common.join(rows.select("key", blocks.alias("nb")).distinct(), "key").select("key", "common", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"))
+    dealt = rows.select("key", "id", "comp", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("blk")).join(held, "id")
+    return dealt.groupBy("key", "blk").cogroup(spread.groupBy("key", "blk")).applyInArrow(_prefixes(threshold, decode), MEMBERS)
+
+
 def _blocks(threshold: float, decode):
     def run(table: pa.Table) -> pa.Table:
-        ids, side, comp = (table.column(n).to_numpy() for n in ("id", "side", "comp"))
-        order = np.argsort(side, kind="stable")
-        ids, side, comp, table = ids[order], side[order], comp[order], table.take(pa.array(order))
-        n, out = int((side == 0).sum()), []
-        if 0 < n < len(side):
-            hit = block_links(*decode(table.column("elems").to_pylist(), table.column("weights").to_pylist()), n, threshold)
-            x, y = hit[:, 0], n + hit[:, 1]
-            other = comp[x] != comp[y]
-            # nodes are the components met in this block pair: one link for each union is enough
-            nodes, at = np.unique(comp, return_inverse=True)
-            seen = {}
-            for p, q in zip(x[other].tolist(), y[other].tolist()):
+        key, side = table.column("key").to_numpy(), table.column("side").to_numpy()
+        order = np.lexsort((side, key))
+        key, side, table = key[order], side[order], table.take(pa.array(order))
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        elems, weights, lens = decode(table.column("elems").to_pylist(), table.column("weights").to_pylist())
+        ends = np.append(0, np.cumsum(lens))
+        own = lambda i: (elems[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]])
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        # nodes are the components met here: one link for each union is enough
+        nodes, at = np.unique(comp, return_inverse=True)
+        seen: dict[tuple, tuple] = {}
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
+            n = int((side[a:b] == 0).sum())
+            if not 0 < n < b - a:
+                continue
+            if n * (b - a - n) <= FEW_PAIRS:
+                pairs = [(x, y) for x in range(a, a + n) for y in range(a + n, b) if comp[x] != comp[y] and (at[x], at[y]) not in seen and similarity(own(x), own(y)) >= threshold - EPS]
+            else:
+                part = slice(ends[a], ends[b])
+                hit = block_links(elems[part], weights[part], lens[a:b], n, threshold)
+                x, y = a + hit[:, 0], a + n + hit[:, 1]
+                other = comp[x] != comp[y]
+                pairs = zip(x[other].tolist(), y[other].tolist())
+            for p, q in pairs:
                 seen.setdefault((at[p], at[q]), (ids[p], ids[q]))
-            out = [seen[k] for k in union_find(len(nodes), list(seen))]
+        out = [seen[k] for k in union_find(len(nodes), list(seen))]
         return pa.table({"a": pa.array([int(p) for p, _ in out], pa.int64()), "b": pa.array([int(q) for _, q in out], pa.int64())})
 
     return run
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, members, outside, big): buckets of MEMBERS that span components, and their largest one."""
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return keys.select("key", "members", (F.col("members") - F.col("top.n")).alias("outside"), F.col("top.comp").alias("big"))
+
+
 def link_components(members: DataFrame, items: DataFrame, threshold: float, decode=decode) -> tuple[DataFrame, DataFrame]:
     """(links, labels) from members(key, id) of shared keys and items(id, elems, weights).
 
@@ -180,20 +269,22 @@ def link_components(members: DataFrame, items: DataFrame, threshold: float, deco
     rest = starred.where("id != rep and n > 2").select("key", "id")
     rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     rest = write_table(rest, "rest")
-    parts = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    keys = parts.groupBy("key").agg(
-        F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1")
-    keys = keys.select("key", F.col("top.comp").alias("big"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int").alias("ns"))
-    open_rows = rest.join(keys, "key")
+    held = items.select("id", "elems", "weights")
+    spanning = write_table(rest.join(_open(rest), "key"), "spanning")
+    split = _split_by_prefix(spanning.where(F.col("outside") > OUTSIDE).select("key", "id", "comp", "members"), held, threshold, decode)
+    narrow = write_table(spanning.where(F.col("outside") <= OUTSIDE).select("key", "id", "comp").union(split), "narrow")
+    open_rows = narrow.join(_open(narrow), "key").withColumn("nm", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("ns", F.ceil(F.col("outside") / BLOCK).cast("int"))
+    open_rows = write_table(open_rows, "open")
+    bins = open_rows.count() // BLOCK + 1  # buckets of one block share tasks and batches
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    small = open_rows.where("comp != big").select("key", own("ns").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), "id", "comp", F.lit(0).alias("side"))
-    every = open_rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), own("nm").alias("mb"), "id", "comp", F.lit(1).alias("side"))
-    more = small.union(every).join(items.select("id", "elems", "weights"), "id").groupBy("key", "sb", "mb").applyInArrow(_blocks(threshold, decode), "a long, b long")
+    group = F.when((F.col("nm") == 1) & (F.col("ns") == 1), F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("group")
+    small = open_rows.where("comp != big").select(group, "key", own("ns").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), "id", "comp", F.lit(0).alias("side"))
+    every = open_rows.select(group, "key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), own("nm").alias("mb"), "id", "comp", F.lit(1).alias("side"))
+    more = small.union(every).join(held, "id").groupBy("group", "sb", "mb").applyInArrow(_blocks(threshold, decode), "a long, b long")
     more = write_table(more, "more")
     if more.take(1):
         links = write_table(links.union(more), "links")
         labels = linked_components(links)
-    for done in (members, size, rep, starred, rest):
+    for done in (members, size, rep, starred, rest, spanning, narrow, open_rows):
         drop_table(done)
     return links, labels

@@ -77,9 +77,11 @@ def test_classes_equal_brute_force(spark, rng, monkeypatch):
     assert minhash.drop_near_duplicates(df.where("false")).count() == 0
 
 
-def test_buckets_and_blocks_of_many_members(spark, rng, monkeypatch):
+@pytest.mark.parametrize("outside", [64, 0])
+def test_buckets_and_blocks_of_many_members(spark, rng, monkeypatch, outside):
     """A hub whose members link only to it, a chain, and strangers in one bucket: no link is lost."""
     monkeypatch.setattr(linking, "BLOCK", 7)
+    monkeypatch.setattr(linking, "OUTSIDE", outside)
     ids = list(range(60))
     sets = {i: {1000 + j for j in range(20)} | {5000 + 10 * i} for i in ids[:25]}  # near the core
     sets |= {i: {2000 + j for j in range(i - 25, i - 25 + 20)} for i in ids[25:45]}  # a chain
@@ -164,3 +166,24 @@ def test_copies_with_few_edits_are_found(spark, rng, strength):
     linked = [(d, root[texts.index(t)] == root[texts.index(docs[d // 10 * 4][1])]) for d, t in docs if d % 10]
     assert sum(ok for _, ok in linked) >= 0.9 * len(linked)  # up to three words of 200 stay within the threshold
     assert sum(got[d] == d // 10 * 10 for d, ok in linked if ok) >= 0.99 * sum(ok for _, ok in linked)
+
+
+def test_prefixes_of_similar_sets_meet(rng):
+    """For any order of elements; and with the shared ones last, strangers do not meet."""
+    g = np.random.default_rng(8)
+    for _ in range(200):
+        pool = np.sort(g.choice(2**62, 60, replace=False).astype(np.uint64))
+        weight = g.uniform(0.5, 2, 60)
+        sets = [np.sort(g.choice(60, g.integers(20, 60), replace=False)) for _ in range(8)]
+        common = g.permutation(pool)[: g.integers(0, 60)]
+        e, w, n = np.concatenate([pool[s] for s in sets]), np.concatenate([weight[s] for s in sets]), np.array([len(s) for s in sets])
+        got, owner = linking.prefix_of(e, w, n, common, 0.8)
+        prefix = [set(got[owner == i].tolist()) for i in range(8)]
+        for i in range(8):
+            for j in range(i):
+                if linking.similarity((pool[sets[i]], weight[sets[i]]), (pool[sets[j]], weight[sets[j]])) >= 0.8:
+                    assert prefix[i] & prefix[j]
+    shared = np.arange(50, dtype=np.uint64)
+    rows = [np.append(shared, np.arange(1000 * i, 1000 * i + 20, dtype=np.uint64)) for i in range(1, 40)]
+    got, owner = linking.prefix_of(np.concatenate(rows), np.ones(70 * 39), np.full(39, 70), shared, 0.8)
+    assert len(np.unique(got)) == len(got) == 39 * 15
