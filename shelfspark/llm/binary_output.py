@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import by_texts, groups_for, ship, text_size, work_path
+from shelfspark.llm.common import by_texts, groups_for, ship, text_size, tidied, work_path
 from shelfspark.llm.tokenizer_cache import load, piece_ids
 
 SHARD_BYTES = 24 << 20  # of text
@@ -96,7 +96,7 @@ def _write(tokenizer: str, end_id: int, folder: str):
             if out is not None:
                 out.close()
 
-    return run
+    return tidied(run, "tokenizers", "pieces")
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:

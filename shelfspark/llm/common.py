@@ -124,10 +124,22 @@ def tidy() -> None:
         pass
 
 
-def tidied(run: Callable) -> Callable:
-    """A function of batches that tidies up after the last one."""
+#: How to empty each cache that a worker process keeps between tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(*names: str) -> None:
+    """Empty the caches of other operators, which the process may have worked for before."""
+    for name, clear in CACHES.items():
+        if name not in names:
+            clear()
+
+
+def tidied(run: Callable, *caches: str) -> Callable:
+    """A function of batches that uses these caches and tidies up after the last batch."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(*caches)
         try:
             yield from run(batches)
         finally:
@@ -338,6 +350,7 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+CACHES["hashes"] = HASHES.clear
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:

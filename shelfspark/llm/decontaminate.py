@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import by_texts, groups_for, map_texts, ship
+from shelfspark.llm.common import CACHES, by_texts, groups_for, map_texts, ship, tidied
 
 ERROR_RATE = 0.08
 MIN_CHARS = 40
@@ -138,6 +138,7 @@ class Matcher:
 
 
 _matchers: dict[str, Matcher] = {}
+CACHES["matchers"] = _matchers.clear
 
 
 def _matcher(key: str, block, error_rate: float, min_chars: int) -> Matcher:
@@ -174,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "distance", "budget", "span_start", "span_end"])
 
-        part = rows.mapInArrow(run, HITS)
+        part = rows.mapInArrow(tidied(run, "matchers"), HITS)
         out = part if out is None else out.union(part)
     return out
 
@@ -189,5 +190,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
             for b in by_texts(batches):
                 yield b.filter(pa.array([not m.hits(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = map_texts(docs, run)
+        docs = map_texts(docs, tidied(run, "matchers"))
     return docs

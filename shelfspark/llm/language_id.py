@@ -14,7 +14,7 @@ The model is fitted on the driver, on at most ``per_language`` labelled rows a
 language, those of the least hashes of id and text (rows equal in both count
 once); all rows are labelled, whole texts, in their own tasks.  Long texts are
 cut into segments whose transfer matrices are combined, which gives the same
-posteriors as one pass from end to end.
+posteriors as one pass from end to end.  Emissions are single precision.
 
 Defined results.  A null text and one without a letter: ``und``, score 0.
 Nothing to learn from: ``und``, score 0 for all.  Equal sums: the language
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from shelfspark.llm.common import by_texts, map_texts, mix, own_columns, ship
+from shelfspark.llm.common import by_texts, map_texts, mix, own_columns, ship, tidied
 
 UNKNOWN = "und"
 PER_LANGUAGE = 120
@@ -77,7 +77,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sum_by_word(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums over each word's features; 0 for words without any."""
-    out = np.zeros((len(counts), values.shape[1]))
+    out = np.zeros((len(counts), values.shape[1]), dtype=values.dtype)
     full = counts > 0
     if full.any():
         ends = np.cumsum(counts)
@@ -106,13 +106,15 @@ class Chain:
         at = np.minimum(self.start[:, None] + np.arange(SEGMENT), self.total - 1)
         e = emission[at]
         steps = int(self.len.max())
-        m = np.tile(np.eye(k), (s, 1, 1))
+        kind = emission.dtype
+        a = a.astype(kind)
+        m = np.tile(np.eye(k, dtype=kind), (s, 1, 1))
         for t in range(steps):
             live = self.len > t
             new = (m @ a) * e[:, t, None, :]
             new /= new.max(axis=(1, 2), keepdims=True)
             m = np.where(live[:, None, None], new, m)
-        enter, leave = np.full((s, k), 1.0 / k), np.ones((s, k))
+        enter, leave = np.full((s, k), 1.0 / k, dtype=kind), np.ones((s, k), dtype=kind)
         order = np.argsort(self.nth, kind="stable")
         bounds = np.searchsorted(self.nth[order], np.arange(int(self.nth.max()) + 2))
         for j in range(1, len(bounds) - 1):
@@ -123,14 +125,14 @@ class Chain:
             i = order[bounds[j] : bounds[j + 1]]
             v = np.einsum("skl,sl->sk", m[i], leave[i])
             leave[i - 1] = v / v.sum(axis=1, keepdims=True)
-        alpha = np.empty((steps, s, k))
+        alpha = np.empty((steps, s, k), dtype=kind)
         v = enter
         for t in range(steps):
             new = (v @ a) * e[:, t]
             new /= new.sum(axis=1, keepdims=True)
             v = np.where((self.len > t)[:, None], new, v)
             alpha[t] = v
-        beta, out = leave, np.empty((self.total, k))
+        beta, out = leave, np.empty((self.total, k), dtype=kind)
         expected = np.zeros((k, k)) if pairs else None
         for t in range(steps - 1, -1, -1):
             live = self.len > t
@@ -219,7 +221,7 @@ def label_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
     letter = (counts > 0)[ids].astype(float)
     starts = (np.cumsum(lens) - lens)[some]
     n = np.add.reduceat(letter, starts)
-    mean = np.add.reduceat(post * letter[:, None], starts, axis=0) / np.maximum(n, 1)[:, None]
+    mean = np.add.reduceat(post * letter[:, None], starts, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None]
     for i, j, m in zip(np.flatnonzero(some), n, mean):
         if j:
             best = int(np.argmax(m))
@@ -260,7 +262,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, roun
     return fit([(r["text"], r["lang"]) for r in sampled(docs, learn, per_language).collect()], rounds)
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def identify(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -276,4 +278,4 @@ def identify(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred"
             preds, scores = label_texts(b.column("text").to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "added0", "added1"])
 
-    return map_texts(docs, run, [StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return map_texts(docs, tidied(run), [StructField(names[0], StringType()), StructField(names[1], DoubleType())])

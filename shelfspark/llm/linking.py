@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import drop_table, mix, union_find, write_table
+from shelfspark.llm.common import drop_table, mix, tidied, union_find, write_table
 from shelfspark.operators.components import connected_components
 
 BLOCK = 512
@@ -136,7 +136,7 @@ def _verify(threshold: float, decode):
                 out = [(x, y) for x, y in zip(left, right) if similarity(own(x), own(y)) >= threshold - EPS]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def verified_pairs(pairs: DataFrame, items: DataFrame, threshold: float, decode=decode) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, by_texts, dealt, groups_for, lookup, mix, runs, ship, text_size, tidied, tidy, word_space
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, by_texts, dealt, groups_for, keep_only, lookup, mix, runs, ship, text_size, tidied, tidy, word_space
 
 ORDER = 3
 MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
@@ -98,7 +98,7 @@ def _distinct_words(bits: int, most: int = 1 << 20):
                     held, size, n = [], 0, 0
         yield rows(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])), n)
 
-    return tidied(run)
+    return tidied(run, "hashes")
 
 
 def _count_words(table: pa.Table) -> pa.Table:
@@ -116,6 +116,7 @@ def corpus_counts(docs: DataFrame, bits: int = 0) -> tuple[int, int]:
 
 def _ask(spaces: list[Space]):
     def run(table: pa.Table) -> pa.Table:
+        keep_only("hashes")
         lens, place, grams = _ngrams(_table_texts(table), len(spaces))
         train = np.repeat(table.column("train").to_numpy(zero_copy_only=False), lens)
         found = []

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, drop_table, groups_for, lookup, mix, own_columns, ragged, row_key, ship, spare, text_size, tidy, write_table
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, drop_table, groups_for, lookup, mix, own_columns, ragged, row_key, ship, spare, text_size, tidied, tidy, write_table
 from shelfspark.llm.linking import link_components
 
 SHINGLE = 5
@@ -123,7 +123,7 @@ def _combine(n_chunks: int):
                 ["chunk", "id", "n", "text"],
             )
 
-    return run
+    return tidied(run, "hashes")
 
 
 def _chunk_sets(table: pa.Table) -> tuple[list[int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

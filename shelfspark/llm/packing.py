@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import by_texts, ship, write_table
+from shelfspark.llm.common import by_texts, ship, tidied, write_table
 from shelfspark.llm.tokenizer_cache import piece_ids
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
             cols = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols[: 6 if with_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
 
-    return run
+    return tidied(run, "tokenizers", "pieces")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, RELAY, WIDE_BITS, bits_for, dealt, groups_for, pack_counts, ship, text_size, tidy, unpack_counts
+from shelfspark.llm.common import CACHES, CHUNK_BYTES, RELAY, WIDE_BITS, bits_for, dealt, groups_for, keep_only, pack_counts, ship, text_size, tidy, unpack_counts
 from shelfspark.llm.tokenizer_cache import load, tokenizer_path
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,6 +68,9 @@ def _tools(name: str):
     return cut, lambda ps: [len(e) for e in t.encode_batch_fast(ps, add_special_tokens=False)]
 
 
+CACHES["token tools"] = _tools.cache_clear
+
+
 def _frequencies(table: pa.Table, name: str) -> list[Counter]:
     cut, _ = _tools(name)
     return [Counter(cut(t)) if t else Counter() for t in table.column("text").to_pylist()]
@@ -131,6 +134,7 @@ def _known(answers: pa.Table, parts: dict[int, list[bytes]]) -> dict[bytes, int]
 
 def _ask(name: str, bits: int):
     def run(table: pa.Table) -> pa.Table:
+        keep_only("token tools", "tokenizers")
         out = _asked(table.column("chunk")[0].as_py(), _chunk_tokens(_frequencies(table, name), bits))
         tidy()
         return out
@@ -140,6 +144,7 @@ def _ask(name: str, bits: int):
 
 def _answer(name: str):
     def run(table: pa.Table) -> pa.Table:
+        keep_only("token tools", "tokenizers")
         rows = _read(table)
         uniq = list(set().union(*rows))
         count, known = _tools(name)[1], {}

@@ -14,12 +14,15 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000  # in each of two generations
+from shelfspark.llm.common import CACHES
+
+CACHE_ENTRIES = 200_000  # in each of two generations
 LONG_PIECE = 4096
 _SIGNS = ".,;:!?"
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 
 _open: dict[str, object] = {}
+CACHES["tokenizers"] = _open.clear
 
 
 def tokenizer_path(name: str) -> str:
@@ -125,6 +128,7 @@ class PieceIds:
 
 
 _pieces: dict[tuple, PieceIds] = {}
+CACHES["pieces"] = _pieces.clear
 
 
 def piece_ids(name: str, dtype=np.uint32) -> PieceIds:
