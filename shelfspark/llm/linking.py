@@ -32,7 +32,7 @@ from shelfspark.operators.components import connected_components
 
 BLOCK = 512
 EPS = 1e-9
-OUTSIDE = 64
+OUTSIDE = 2048
 SAMPLE = 256
 LISTED = 1 << 16
 FEW_PAIRS = 64
