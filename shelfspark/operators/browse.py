@@ -206,6 +206,21 @@ def labels_of(labels: DataFrame, asset_id: str) -> DataFrame:
     return labels.where(F.col("asset_id") == asset_id).orderBy("rank", "label")
 
 
+def of_asset(rows: DataFrame, asset_id: str) -> DataFrame:
+    """What a table of one row an asset has of it: its caption, its text."""
+    return rows.where(F.col("asset_id") == asset_id)
+
+
+def without_shown(more: DataFrame, shown: DataFrame) -> DataFrame:
+    """The rows of a further page whose id was not on an earlier one, each id once."""
+    return more.join(shown.select("id"), "id", "left_anti").dropDuplicates(["id"])
+
+
+def oldest(rows: DataFrame, at: str = "created_at") -> DataFrame:
+    """All rows in the order they were made: watched roots, the user's own models."""
+    return rows.orderBy(F.asc(at), "id")
+
+
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by these columns."""
     cols = rows.columns
@@ -223,6 +238,18 @@ def flag_locked(selection: DataFrame, locked: DataFrame) -> DataFrame:
     return selection.join(own, "id", "left").select(*selection.columns, F.coalesce("l", F.lit(False)).alias("vault_locked"))
 
 
+def locked_albums(albums: DataFrame, locked: DataFrame) -> DataFrame:
+    """(id, created_at, n): locked albums, newest first, with how many items each holds; names stay sealed."""
+    n = locked.groupBy(F.col("locked_album_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return albums.join(n, "id", "left").select("id", "created_at", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("created_at"), "id")
+
+
+def locked_items(locked: DataFrame, album: str | None = None) -> DataFrame:
+    """Opaque rows of a locked album, newest first; no album: the loose items."""
+    own = F.col("locked_album_id").isNull() if album is None else F.col("locked_album_id") == album
+    return locked.where(own).orderBy(F.desc("locked_at"), "asset_id")
+
+
 def locked_by_album(locked: DataFrame) -> DataFrame:
     """Opaque rows: how many items each locked album holds; null: loose items."""
     return locked.groupBy("locked_album_id").agg(F.count(F.lit(1)).alias("n"))

@@ -165,6 +165,24 @@ def reset_failed(jobs: DataFrame, kind: str, attempts: int = S.MAX_ATTEMPTS) ->
     return jobs.where(~((F.col("kind") == kind) & (F.col("state") == "failed") & (F.col("attempts") >= attempts)))
 
 
+def reset_unlabelled(jobs: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
+    """jobs without those of a kind that are done though labels(asset_id) has nothing for the asset."""
+    empty = jobs.where((F.col("kind") == kind) & (F.col("state") == "done")).join(labels.select("asset_id").distinct(), "asset_id", "left_anti")
+    return jobs.join(empty.select("asset_id", "kind").distinct(), ["asset_id", "kind"], "left_anti").select(*jobs.columns)
+
+
+def clear_derived(derived: DataFrame, jobs: DataFrame, kind: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(derived rows, jobs) after what a kind of job derived is dropped, for ids(asset_id) or for all assets.
+
+    Of an asset whose rows are dropped the job goes too, so that it runs again.
+    """
+    own = F.col("kind") == kind
+    if ids is None:
+        return derived.where(F.lit(False)), jobs.where(~own)
+    gone = ids.select("asset_id").distinct()
+    return derived.join(gone, "asset_id", "left_anti").select(*derived.columns), jobs.where(~own).unionByName(jobs.where(own).join(gone, "asset_id", "left_anti").select(*jobs.columns))
+
+
 def recent_searches(searches: DataFrame, keep: int = S.KEEP_SEARCHES) -> DataFrame:
     """(query, last_made, n): the last of these searches(query, made), whatever the case, newest first."""
     named = searches.where("trim(query) <> ''").groupBy(F.lower("query").alias("k")).agg(F.max_by("query", F.struct("made", "query")).alias("query"), F.max("made").alias("last_made"), F.count(F.lit(1)).alias("n"))
@@ -197,7 +215,8 @@ def export_names(assets: DataFrame, naming: str = "original") -> DataFrame:
     if naming == "date_filename":
         base = F.concat(F.coalesce(F.date_format("captured_at", "yyyy-MM-dd"), F.lit("undated")), F.lit("_"), name)
     elif naming == "sequential":
-        base = F.concat(F.lpad(F.col("seq").cast("string"), 4, "0"), F.regexp_extract(name, r"(\.[^.]+)$", 1))
+        number = F.col("seq").cast("string")
+        base = F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), F.regexp_extract(name, r"(\.[^.]+)$", 1))
     else:
         base = name
     n = F.row_number().over(Window.partitionBy("base").orderBy("seq"))

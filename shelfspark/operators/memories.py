@@ -138,12 +138,17 @@ def parse_memory_id(memory_id: str) -> tuple[str, ...]:
     raise ValueError(f"no memory id: {memory_id}")
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space at the ends, of any kind."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$", "")
+
+
 def usable_quote(caption: Column) -> Column:
     """The caption as a quote, null if it is none; lengths are bytes.
 
     Over 120 bytes it is cut to the characters that end within 117, and an ellipsis.
     """
-    t = F.trim(caption)
+    t = _stripped(caption)
     low = F.lower(t)
     junk = (F.octet_length(t) < 8) | low.isin("caption", "what does the image describe?") | low.startswith("<caption")
     # only the first 117 characters can end within 117 bytes
@@ -158,6 +163,60 @@ def quotes(ranked: DataFrame, captions: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by("quote", "pos").alias("quote"))
 
 
+def save_as_album(assets: DataFrame, memory_id: str, title: str, name: str | None = None, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(album(id, name, cover_asset_id), members(album_id, asset_id)) from a memory's ranked assets(id, pos).
+
+    The best 200 become members, the first of them the cover; the name is the
+    memory's title if none is given.  A memory without assets makes no album.
+    """
+    said = (name or "").strip() or title
+    if not said:
+        raise ValueError("an album needs a name")
+    key = F.sha2(F.lit(f"{memory_id}|{said}"), 256)
+    top = assets.orderBy("pos", "id").limit(most)
+    album = top.agg(F.min_by("id", F.struct("pos", "id")).alias("cover_asset_id")).where("cover_asset_id is not null")
+    return album.select(key.alias("id"), F.lit(said).alias("name"), "cover_asset_id"), top.select(key.alias("album_id"), F.col("id").alias("asset_id")).distinct()
+
+
+def cache_state(built: DataFrame, dirty: DataFrame, today: str) -> DataFrame:
+    """(stale): whether the cards must be built again.
+
+    built(built_on, built_at): the last build or none; dirty(at): changes that
+    asked for one.  Cards built on an earlier day are stale, for "on this day"
+    is another day's.
+    """
+    last = built.agg(F.max("built_at").alias("at"), F.max(F.col("built_on")).alias("day"))
+    asked = dirty.agg(F.max("at").alias("asked"))
+    return last.crossJoin(asked).select((F.col("at").isNull() | (F.col("day") != F.lit(today).cast("date")) | F.coalesce(F.col("asked") >= F.col("at"), F.lit(False))).alias("stale"))  # one row each
+
+
+def rebuild_cache(cards: DataFrame, folder: str, today: str) -> int:
+    """Write cards as the next version beside the last one; readers switch when it is whole.
+
+    A version is a folder with Spark's mark of success; lost writers leave one without it.
+    """
+    n = len(_versions(cards, folder))
+    cards.withColumn("built_on", F.lit(today).cast("date")).write.mode("overwrite").parquet(f"{folder}/v{n + 1:08d}")
+    return n + 1
+
+
+def _versions(df: DataFrame, folder: str) -> list[str]:
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [s.getPath().toString() for s in fs.listStatus(top)]
+    return sorted(n for n in names if fs.exists(hadoop.Path(f"{n}/_SUCCESS")))
+
+
+def cached_cards(like: DataFrame, folder: str) -> DataFrame:
+    """The cards of the last whole version; none: like without rows."""
+    found = _versions(like, folder)
+    return like.sparkSession.read.parquet(found[-1]).drop("built_on") if found else like.where(F.lit(False))
+
+
 def insight(kind: Column, place: Column, person: Column, subtitle: Column, quote: Column, prose: Column) -> Column:
     """Prose, else the quote in its setting, else a template."""
     some = lambda c: F.when(~blank(c), F.trim(c))
@@ -193,14 +252,14 @@ def prompt_hash(text: Column, model: str = PROSE_MODEL) -> Column:
 
 def sanitised(prose: Column, title: Column, subtitle: Column) -> Column:
     """The generated line, null if it is too short, too long, a refusal or an echo."""
-    t = F.trim(F.btrim(F.trim(prose), F.lit('"')))
+    t = _stripped(F.btrim(_stripped(prose), F.lit('"')))
     low = F.lower(t)
     # What marks a refusal or a broken line.
     bad = F.lit(False)
     for word in ("i'm sorry", "i cannot", "i can't", "as an ai", "ethical", "against", "<pad>", "<unk>"):
         bad = bad | low.contains(word)
     echo = (low == F.lower(title)) | (low == F.lower(subtitle))
-    cut = F.trim(F.regexp_replace(t, "^(Sentence:|Memory:|Summary:)", ""))
+    cut = _stripped(F.regexp_replace(t, "^(Sentence:|Memory:|Summary:)", ""))
     ok = F.octet_length(t).between(12, 280) & ~bad & ~echo & (F.octet_length(cut) >= 12)
     return F.when(ok, cut)
 

@@ -11,6 +11,11 @@ from shelfspark import schema as S
 from shelfspark.functions.predicates import blank
 
 
+def badge(people: DataFrame) -> DataFrame:
+    """(n): people that have faces, hidden ones too."""
+    return people.agg(F.count_if(F.col("face_count") > 0).alias("n"))
+
+
 def person_stats(faces: DataFrame) -> DataFrame:
     """(person_id, face_count, cover_face_id): best score with a crop, else best score; of equal ones the least id."""
     order = F.struct((F.col("crop_path").isNull() | (F.col("crop_path") == "")).alias("c"), (-F.col("score")).alias("s"), F.col("id"))

@@ -1,9 +1,9 @@
-"""Full-text search over an inverted index, and its blend with vector search."""
+"""Full-text search, by a scan or over stored postings, and its blend with vector search."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from shelfspark import schema as S
 from shelfspark.functions.porter import stem
 from shelfspark.functions.predicates import blank, event_ts, name_of
 from shelfspark.operators.browse import Query, filtered, parse_query
+from shelfspark.sources.work import drop_table, write_table
 
 K1, B = 1.2, 0.75
 FIELDS = list(S.BM25_DOCUMENTED)
@@ -55,32 +56,82 @@ def tokens(documents: DataFrame, porter: bool = False) -> DataFrame:
     return rows.withColumn("term", _stems("term")) if porter else rows
 
 
+def _scored(rows: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
+    """(asset_id, score) from rows(asset_id, len, f0, ...) of hits and totals(N, avg, n0, ...), one row."""
+    found = rows
+    for i in range(n_terms):
+        found = found.where(F.col(f"f{i}") > 0)
+    found = found.crossJoin(F.broadcast(totals))
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avg"))
+    score = F.lit(0.0)
+    for i in range(n_terms):
+        idf = F.greatest(F.ln((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
+        score = score + idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)
+    return found.select("asset_id", score.alias("score"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stem_lists(lists: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return lists.map(lambda x: [known.setdefault(t, stem(t)) for t in x] if x is not None else None)
+
+
+def _counted(documents: DataFrame, terms: list[str], weights: dict[str, float], porter: bool) -> DataFrame:
+    """(asset_id, len, f0, ...): a document is counted within its own row."""
+    fields = [f for f in FIELDS if f in documents.columns]
+    split = lambda f: F.filter(F.split(F.lower(F.coalesce(f, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    rows = documents.select("asset_id", *[(_stem_lists(split(f)) if porter else split(f)).alias(f) for f in fields])
+    count = lambda f, t: F.size(F.filter(f, lambda x: x.startswith(t)))
+    # one pass over the tokens of a field: they are held by the projection below
+    hits = [sum((count(f, t) * float(weights[f]) for f in fields), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
+    return rows.select("asset_id", sum((F.size(f) for f in fields), F.lit(0)).cast("long").alias("len"), *hits)
+
+
 def bm25(documents: DataFrame, text: str | None, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:
     """(asset_id, score) of the documents that hold all terms of the query as prefixes.
 
     score = sum over terms of idf * f (k1 + 1) / (f + k1 (1 - b + b len / avg)),
     f the weighted number of hits, len the tokens of all fields, idf =
     ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.  A text without a word finds
-    nothing.
+    nothing.  Every document is read, once; what is kept of it are a few numbers.
     """
     weights, terms = weights or S.BM25_DOCUMENTED, query_terms(text, porter)
     if not terms:
         return documents.select("asset_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))])
-    toks = tokens(documents, porter)
-    hits = [F.sum(F.when(F.col("term").startswith(t), weight[F.col("field")]).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
-    rows = documents.select("asset_id").join(toks.groupBy("asset_id").agg(F.count(F.lit(1)).alias("len"), *hits), "asset_id", "left").na.fill(0)
+    rows = write_table(_counted(documents, terms, weights, porter), "hits")
     totals = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    found = rows
-    for i in range(len(terms)):
-        found = found.where(F.col(f"f{i}") > 0)
-    found = found.crossJoin(F.broadcast(totals))  # one row
-    norm = K1 * (1 - B + B * F.col("len") / F.col("avg"))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.ln((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)
-    return found.select("asset_id", score.alias("score"))
+    return _scored(rows, totals, len(terms))
+
+
+def build_index(documents: DataFrame, folder: str, porter: bool = True) -> None:
+    """Postings (term, field, asset_id, n, len), sorted by term, and the corpus totals, below folder.
+
+    Files hold ranges of terms, and row groups have their least and greatest
+    term, so a prefix reads few of them.
+    """
+    toks = tokens(documents, porter)
+    lens = write_table(toks.groupBy("asset_id").agg(F.count(F.lit(1)).alias("len")), "lens")
+    posts = toks.groupBy("term", "field", "asset_id").agg(F.count(F.lit(1)).alias("n")).join(lens, "asset_id")
+    posts.repartitionByRange("term", "asset_id").sortWithinPartitions("term", "asset_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    totals = documents.select("asset_id").join(lens, "asset_id", "left").agg(F.count(F.lit(1)).alias("N"), F.avg(F.coalesce("len", F.lit(0))).alias("avg"))
+    totals.write.mode("overwrite").parquet(f"{folder}/totals")
+    drop_table(lens)
+
+
+def bm25_indexed(spark: SparkSession, folder: str, text: str | None, weights: dict[str, float] | None = None, porter: bool = True) -> DataFrame:
+    """``bm25`` from what ``build_index`` stored; only postings of the query's prefixes are read."""
+    weights, terms = weights or S.BM25_DOCUMENTED, query_terms(text, porter)
+    posts = spark.read.parquet(f"{folder}/postings")
+    if not terms:
+        return posts.select("asset_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))])
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.col("term").startswith(t)
+    hits = [F.sum(F.when(F.col("term").startswith(t), weight[F.col("field")] * F.col("n")).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
+    rows = posts.where(some).groupBy("asset_id").agg(F.first("len").alias("len"), *hits)
+    counts = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
+    return _scored(rows, spark.read.parquet(f"{folder}/totals").crossJoin(counts), len(terms))
 
 
 def search_text(assets: DataFrame, documents: DataFrame, raw: str, limit: int = 50, offset: int = 0, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:
@@ -91,6 +142,24 @@ def search_text(assets: DataFrame, documents: DataFrame, raw: str, limit: int =
     return rows.orderBy(F.desc("score"), F.desc("at"), "id").offset(offset).limit(min(limit, S.LIMIT_LIST)).select("id", "score")
 
 
+def search(assets: DataFrame, documents: DataFrame, raw: str, limit: int = 50, offset: int = 0, weights: dict[str, float] | None = None, porter: bool = True) -> DataFrame:
+    """(id, pos) of a search box: nothing said is the plain listing, tokens alone filter it, words are looked up.
+
+    Words are stemmed, as the reference's index does it, unless porter is off.
+    """
+    q = parse_query(raw)
+    if q.text is not None:
+        rows = search_text(assets, documents, raw, limit, offset, weights, porter)
+        order = [F.desc("score"), F.desc("at"), "id"]
+        rows = rows.join(assets.select("id", event_ts().alias("at")), "id")
+    else:
+        rows = filtered(assets, q).select("id", event_ts().alias("at"))
+        order = [F.col("at").desc_nulls_last(), "id"]
+        rows = rows.orderBy(*order).offset(offset).limit(min(limit, S.LIMIT_LIST))
+    pos = F.row_number().over(Window.orderBy(*order)) - 1  # at most a page of rows
+    return rows.select("id", pos.alias("pos"))
+
+
 def blends(raw: str, offset: int = 0) -> bool:
     """Whether vector hits are mixed in: plain text of three characters or more, first page."""
     q = parse_query(raw)

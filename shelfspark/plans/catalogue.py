@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark import schema as S
+from shelfspark.functions import formats
 from shelfspark.functions import predicates as P
-from shelfspark.operators import browse, duplicates, facets, geo, ingest, memories, people, search, vectors
+from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vectors
 from shelfspark.plans.adapter_sql import sql
 from shelfspark.sources.library import AS_OF, Documents, Orders, WholeCaptions
+from shelfspark.sources.work import work_path
 from shelfspark.streaming import ingest as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -812,3 +814,268 @@ def events_daily(t):
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(t):
     return streams.sessions(t.read("events").withColumn("at", F.col("ts").cast("timestamp")))
+
+
+# -- formats and export names ----------------------------------------------
+
+_SIZE = " ".join(f"WHEN size < {1024 ** (i + 1)} THEN CASE WHEN size / {1024.0**i} < 10 THEN printf('%.1f {u}', floor(size / {1024.0**i} * 10 + 0.5) / 10) ELSE printf('%d {u}', CAST(floor(size / {1024.0**i} + 0.5) AS BIGINT)) END" for i, u in enumerate(["KB", "MB", "GB"], 1))
+
+
+@query(Orders, sql(f"""SELECT id, CASE WHEN size < 1024 THEN printf('%d B', CAST(size AS BIGINT)) {_SIZE} END AS size,
+  CASE WHEN duration_ms IS NULL THEN 'Not available' ELSE printf('%d:%02d', CAST(floor(duration_ms / 1000.0 + 0.5) AS BIGINT) // 60, CAST(floor(duration_ms / 1000.0 + 0.5) AS BIGINT) % 60) END AS duration
+  FROM (SELECT id, file_size * (CAST(id AS BIGINT) % 1500) AS size, duration_ms + CAST(id AS BIGINT) % 1000 AS duration_ms FROM assets)""", "assets"))
+def formatted(t):
+    k = F.col("id").cast("long")
+    return t.assets.select("id", formats.bytes_text(F.col("file_size") * (k % 1500)).alias("size"), formats.duration_text(F.col("duration_ms") + k % 1000).alias("duration"))
+
+
+@query(Orders, sql(r"""SELECT id, seq, CASE WHEN seq < 1000 THEN right('000' || seq, 4) ELSE CAST(seq AS VARCHAR) END || regexp_extract(path, '(\.[^./]+)$', 1) AS name
+  FROM (SELECT id, path, CAST(id AS BIGINT) * 7 AS seq FROM live)""", "live"))
+def export_names_sequential(t):
+    rows = P.live(t.assets).select("id", (F.col("id").cast("long") * 7).alias("seq"), "captured_at", "path")
+    return ingest.export_names(rows, "sequential")
+
+
+# -- edit revisions --------------------------------------------------------
+
+EDITS = """, edits AS (SELECT event_id AS id, CAST(event_id % 2000 AS VARCHAR) AS asset_id, props AS ops_json, ts AS created_at FROM events),
+  images AS (SELECT id FROM assets WHERE media_type = 'image')"""
+
+
+def _image_edits(t):
+    return t.asset_edits, t.assets
+
+
+@query(Orders, sql(EDITS + """, firsts AS (SELECT asset_id, arg_min(ops_json, (created_at, id)) AS ops FROM edits GROUP BY asset_id), lasts AS (SELECT asset_id, arg_max(ops_json, (created_at, id)) AS ops FROM edits GROUP BY asset_id)
+  SELECT lasts.asset_id, CASE WHEN images.id IS NOT NULL THEN firsts.ops ELSE lasts.ops END AS ops_json FROM lasts JOIN firsts USING (asset_id) LEFT JOIN images ON images.id = lasts.asset_id""", "assets"))
+def edit_revert(t):
+    """Every image goes back to its first revision."""
+    rows, assets = _image_edits(t)
+    asks = rows.groupBy("asset_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("revision_id"), F.max("id").alias("last"))
+    asks = asks.select((F.col("last") + 100_000_000).alias("id"), "asset_id", "revision_id", F.expr("timestamp_ntz'2030-01-01 00:00:00'").alias("created_at"))
+    return browse.latest(edits.revert(rows, asks, assets), "asset_id", "created_at", "id").select("asset_id", "ops_json")
+
+
+@query(Orders, sql(EDITS + """ SELECT id, asset_id FROM edits WHERE CAST(asset_id AS BIGINT) % 4 <> 0 OR asset_id IN (SELECT id FROM assets WHERE media_type <> 'image')
+  UNION ALL SELECT CAST(id AS BIGINT) + 200000000, id FROM images WHERE CAST(id AS BIGINT) % 1000 = 1""", "assets"))
+def edit_clear_append(t):
+    """A quarter of the assets lose their revisions, then some images get one."""
+    rows, assets = _image_edits(t)
+    rows = edits.clear(rows, rows.select("asset_id").where("cast(asset_id as long) % 4 = 0"), assets)
+    new = assets.where("cast(id as long) % 1000 = 1").selectExpr("cast(id as long) + 200000000 as id", "id as asset_id", "'{}' as ops_json", "timestamp_ntz'2030-01-01 00:00:00' as created_at")
+    return edits.append(rows, new, assets).select("id", "asset_id")
+
+
+# -- derived data and jobs -------------------------------------------------
+
+@query(Orders, sql("SELECT asset_id, kind, state FROM ml_jobs WHERE NOT (kind = 'click' AND CAST(asset_id AS BIGINT) % 50 = 0)", "ml_jobs"))
+def ocr_invalidate(t):
+    _, jobs = ingest.clear_derived(t.asset_views, t.ml_jobs, "click", t.ml_jobs.where("cast(asset_id as long) % 50 = 0"))
+    return jobs.select("asset_id", "kind", "state")
+
+
+@query(Orders, sql("SELECT kind, count(*) AS n FROM ml_jobs WHERE kind <> 'view' GROUP BY kind UNION ALL SELECT 'derived', 0", "ml_jobs"))
+def ocr_clear(t):
+    rows, jobs = ingest.clear_derived(t.asset_views, t.ml_jobs, "view")
+    return jobs.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).union(rows.agg(F.lit("derived"), F.count(F.lit(1))))
+
+
+@query(Orders, sql("SELECT asset_id, kind FROM ml_jobs WHERE NOT (kind = 'view' AND state = 'done' AND asset_id NOT IN (SELECT asset_id FROM asset_tags WHERE tag_id < 'Brand#3'))", "ml_jobs", "asset_tags"))
+def reset_unlabelled(t):
+    return ingest.reset_unlabelled(t.ml_jobs, t.asset_tags.where("tag_id < 'Brand#3'"), "view").select("asset_id", "kind")
+
+
+@query(Orders, sql("SELECT asset_id, kind FROM ml_jobs WHERE NOT (kind = 'click' AND state = 'failed' AND attempts >= 3)", "ml_jobs"))
+def reset_failed(t):
+    return ingest.reset_failed(t.ml_jobs, "click").select("asset_id", "kind")
+
+
+# -- further listings ------------------------------------------------------
+
+@query(Documents, sql("SELECT * FROM asset_captions WHERE asset_id = '42'", "asset_captions"))
+def asset_caption(t):
+    return browse.of_asset(t.asset_captions, "42")
+
+
+@query(Documents, sql("SELECT * FROM asset_text WHERE asset_id = '42'", "asset_text"))
+def asset_ocr(t):
+    return browse.of_asset(t.asset_text, "42")
+
+
+_EXPORTS = "SELECT event_id AS id, '/exports/' || event_id || '.zip' AS path, event_id % 90 AS asset_count, event_id % 90 - event_id % 7 % 2 AS exported_count, event_id % 7 % 2 AS missing_count, ts AS created_at FROM events WHERE event_type = '{}' ORDER BY created_at DESC, id DESC LIMIT 50"
+
+
+def _archives(t, kind: str):
+    rows = t.read("events").where(F.col("event_type") == kind)
+    return rows.selectExpr("event_id as id", "concat('/exports/', event_id, '.zip') as path", "event_id % 90 as asset_count", "event_id % 90 - event_id % 7 % 2 as exported_count", "event_id % 7 % 2 as missing_count", "cast(ts as timestamp_ntz) as created_at")
+
+
+@query(Orders, _EXPORTS.format("purchase"))
+def exports(t):
+    return browse.newest(_archives(t, "purchase"), 50)
+
+
+@query(Orders, _EXPORTS.format("click"))
+def import_runs(t):
+    return browse.newest(_archives(t, "click"), 50)
+
+
+LOCKED = """, albums_l AS (SELECT CAST(c_custkey AS VARCHAR) AS id, TIMESTAMP '1994-01-01' + (c_custkey % 700) * INTERVAL 1 DAY AS created_at FROM customer),
+  locked AS (SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS locked_album_id, o_orderdate AS locked_at FROM orders WHERE o_orderstatus = 'F')"""
+
+
+def _locked(t):
+    albums = t.read("customer").selectExpr("cast(c_custkey as string) as id", "timestamp_ntz'1994-01-01 00:00:00' + (c_custkey % 700) * interval '1' day as created_at")
+    return albums, t.read("orders").where("o_orderstatus = 'F'").selectExpr("cast(o_orderkey as string) as asset_id", "case when o_orderkey % 5 <> 0 then cast(o_custkey as string) end as locked_album_id", "cast(o_orderdate as timestamp_ntz) as locked_at")
+
+
+@query(Orders, sql(LOCKED + " SELECT id, created_at, (SELECT count(*) FROM locked WHERE locked_album_id = albums_l.id) AS n FROM albums_l", "assets"))
+def locked_albums(t):
+    return browse.locked_albums(*_locked(t))
+
+
+@query(Orders, sql(LOCKED + " SELECT * FROM locked WHERE locked_album_id IS NULL", "assets"))
+def locked_items(t):
+    return browse.locked_items(_locked(t)[1])
+
+
+@query(Orders, sql(LOCKED + " SELECT id, path, id IN (SELECT asset_id FROM locked) AS vault_locked FROM live", "live"))
+def flag_locked(t):
+    return browse.flag_locked(P.live(t.assets).select("id", "path"), _locked(t)[1])
+
+
+@query(Orders, "SELECT CAST(s_suppkey AS VARCHAR) AS id, '/roots/' || s_name AS path, TIMESTAMP '2020-01-01' + s_suppkey * INTERVAL 1 HOUR AS created_at FROM supplier")
+def watched_roots(t):
+    return browse.oldest(t.read("supplier").selectExpr("cast(s_suppkey as string) as id", "concat('/roots/', s_name) as path", "timestamp_ntz'2020-01-01 00:00:00' + s_suppkey * interval '1' hour as created_at"))
+
+
+@query(Orders, sql("SELECT * FROM faces WHERE crop_path IS NOT NULL AND regexp_extract(crop_path, '-([0-9]+)', 1)::BIGINT % 10 = 0", "faces"))
+def stale_crops(t):
+    files = t.faces.where("crop_path is not null").selectExpr("crop_path as path").where("cast(regexp_extract(path, '-([0-9]+)', 1) as long) % 10 <> 0").distinct()
+    return browse.stale_crops(t.faces, files).select(*t.faces.columns)
+
+
+@query(Orders, "SELECT CAST(p_partkey AS VARCHAR) AS option_id, p_brand AS kind, p_partkey % 3 = 0 AS installed, p_partkey % 30 = 0 AS active FROM part")
+def model_status(t):
+    p = t.read("part").selectExpr("cast(p_partkey as string) as option_id", "p_brand as kind", "p_partkey as k")
+    return browse.model_status(p.where("k % 2 = 0"), p.where("k % 2 = 1"), p.where("k % 3 = 0"), p.where("k % 30 = 0"))
+
+
+@query(Orders, sql("SELECT count(*) FILTER (face_count > 0) AS n FROM people", "people"))
+def people_badge(t):
+    return people.badge(t.people)
+
+
+@query(Orders, sql("SELECT id FROM live WHERE media_type = 'video' AND id NOT IN (SELECT id FROM live a ORDER BY a.ev DESC NULLS LAST, a.id LIMIT 500)", "live"))
+def next_page(t):
+    videos = P.live(t.assets).where("media_type = 'video'").select("id")
+    return browse.without_shown(videos.union(videos), browse.list_assets(t.assets))
+
+
+# -- memberships -----------------------------------------------------------
+
+@query(Orders, sql("SELECT * FROM album_assets UNION SELECT '1', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'", "album_assets"))
+def album_add(t):
+    return ingest.add_members(t.album_assets, t.read("orders").where("o_orderstatus = 'P'").selectExpr("'1' as album_id", "cast(o_orderkey as string) as asset_id"))
+
+
+@query(Orders, sql("SELECT * FROM asset_tags WHERE CAST(asset_id AS BIGINT) % 5 <> 0 UNION ALL SELECT DISTINCT asset_id, 'kept' FROM asset_tags WHERE CAST(asset_id AS BIGINT) % 5 = 0", "asset_tags"))
+def tags_replace(t):
+    return ingest.replace_members(t.asset_tags, "asset_id", t.asset_tags.where("cast(asset_id as long) % 5 = 0").selectExpr("asset_id", "'kept' as tag_id"))
+
+
+@query(Orders, sql("SELECT name FROM albums UNION ALL SELECT min(place_label) FROM asset_places WHERE place_label <> '' AND lower(place_label) NOT IN (SELECT lower(name) FROM albums) GROUP BY lower(place_label)", "albums", "asset_places"))
+def place_albums(t):
+    return ingest.ensure_named(t.albums, t.asset_places.selectExpr("place_label as name")).select("name")
+
+
+@query(Orders, sql("SELECT '/copies' || path AS path, hash, id AS twin_id, captured_at, camera, lens FROM live WHERE CAST(id AS BIGINT) % 9 = 0", "live"))
+def skipped_copies(t):
+    files = t.assets.where("cast(id as long) % 9 = 0").selectExpr("concat('/copies', path) as path", "hash").union(t.assets.select("path", "hash"))
+    return duplicates.skipped_copies(files, t.assets)
+
+
+# -- memories: albums, cards, prose ----------------------------------------
+
+@query(Orders, sql("""SELECT 'album' AS kind, (SELECT id FROM live WHERE favorite ORDER BY CAST(id AS BIGINT) LIMIT 1) AS asset_id
+  UNION ALL SELECT 'member', id FROM (SELECT id FROM live WHERE favorite ORDER BY CAST(id AS BIGINT) LIMIT 200)""", "live"))
+def memory_album(t):
+    ranked = P.live(t.assets).where("favorite").select("id", F.col("id").cast("long").alias("pos"))
+    album, members = memories.save_as_album(ranked, "weekend:1998-05-02", "A weekend", "  Our trip ")
+    return album.select(F.lit("album").alias("kind"), F.col("cover_asset_id").alias("asset_id")).union(members.select(F.lit("member"), "asset_id"))
+
+
+@query(Orders, sql("SELECT id, CAST(row_number() OVER (ORDER BY CAST(id AS BIGINT)) - 1 AS INTEGER) AS pos, false AS stale FROM live WHERE favorite QUALIFY row_number() OVER (ORDER BY CAST(id AS BIGINT)) <= 30", "live"))
+def memory_cache(t):
+    """Cards are built twice; readers have the last ones, which are fresh on the day they were built."""
+    cards = P.live(t.assets).where("favorite").select("id", F.col("id").cast("long").alias("k")).orderBy("k").limit(30)
+    cards = cards.select("id", (F.row_number().over(Window.orderBy("k")) - 1).alias("pos"))
+    folder = work_path(cards.sparkSession, "cards")
+    memories.rebuild_cache(cards.where("pos < 3"), folder, "2001-08-01")
+    memories.rebuild_cache(cards, folder, "2001-08-02")
+    built = t.spark.sql("select date'2001-08-02' as built_on, timestamp_ntz'2001-08-02 08:00:00' as built_at")
+    dirty = t.spark.sql("select timestamp_ntz'2001-08-02 07:59:00' as at")
+    return memories.cached_cards(cards, folder).crossJoin(memories.cache_state(built, dirty, "2001-08-02"))
+
+
+PROSE = ["A warm day by the lake.", "  \"A warm day by the lake.\" \n", "\tSentence: Friends at the harbour again.", "short", "I'm sorry, I cannot do that here.", "Summer in Rome", "As an AI I would not say.", "\u00a0Memory: All of us in the old garden\u2003", "Summary: tiny", "x" * 281]
+_CLEAN = ["A warm day by the lake.", "A warm day by the lake.", "Friends at the harbour again.", None, None, None, None, "All of us in the old garden", None, None]
+
+
+@query(Orders, "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, c in enumerate(_CLEAN)) + ") AS v(i, line)")
+def prose_sanitised(t):
+    rows = t.spark.createDataFrame(list(enumerate(PROSE)), "i int, raw string")
+    return rows.select("i", memories.sanitised(F.col("raw"), F.lit("Summer in Rome"), F.lit("3 photos")).alias("line"))
+
+
+#: (kind, place, person, subtitle, quote, prose, line): every branch; blank counts as missing.
+_INSIGHTS = [
+    ("weekend", "Rome", None, "May 2 · 9 photos", None, None, "A weekend in Rome, May 2."),
+    ("weekend", "Rome", None, "9 photos", None, None, "A weekend spent in Rome."),
+    ("weekend", " ", None, "May 2 · 9 photos", "", None, "A weekend trip from May 2."),
+    ("weekend", None, None, "9 photos", None, " ", "A short trip worth remembering."),
+    ("on_this_day", "Rome", None, "x", None, None, "Looking back at this day across the years."),
+    ("person_place", "Rome", "Ada", "x", None, None, "Moments with Ada in Rome."),
+    ("person_place", "Rome", None, "x", None, None, "People and places that matter."),
+    ("weekend", "Rome", None, "x", "the sea", None, "In Rome: “the sea”"),
+    ("person_place", "Rome", "Ada", "x", "the sea", None, "Ada in Rome — “the sea”"),
+    ("on_this_day", None, None, "x", " the sea ", None, "“the sea”"),
+    ("weekend", "Rome", "Ada", "x", "the sea", " Prose wins. ", "Prose wins."),
+]
+
+
+@query(Orders, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r[-1]}')" for i, r in enumerate(_INSIGHTS)) + ") AS v(i, line)")
+def insight_branches(t):
+    rows = t.spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(_INSIGHTS)], "i int, kind string, place string, person string, subtitle string, quote string, prose string")
+    return rows.select("i", memories.insight(*[F.col(c) for c in ("kind", "place", "person", "subtitle", "quote", "prose")]).alias("line"))
+
+
+# -- search box and stored postings ----------------------------------------
+
+def _no_documents(t):
+    return t.assets.select(F.col("id").alias("asset_id"), P.name_of(F.col("path")).alias("filename"))
+
+
+@query(Orders, sql("SELECT id, CAST(row_number() OVER (ORDER BY ev DESC NULLS LAST, id) - 1 AS INTEGER) AS pos FROM live QUALIFY row_number() OVER (ORDER BY ev DESC NULLS LAST, id) <= 50", "live"))
+def search_empty(t):
+    return search.search(t.assets, _no_documents(t), "  ")
+
+
+@query(Orders, sql("SELECT id, CAST(row_number() OVER (ORDER BY ev DESC NULLS LAST, id) - 1 AS INTEGER) AS pos FROM live WHERE media_type = 'image' AND rating >= 4 QUALIFY row_number() OVER (ORDER BY ev DESC NULLS LAST, id) <= 50", "live"))
+def search_tokens(t):
+    return search.search(t.assets, _no_documents(t), "type:image rating>4")
+
+
+@query(Documents, sql(BM25 + "SELECT id, CAST(row_number() OVER (ORDER BY r) - 1 AS INTEGER) AS pos FROM top WHERE r <= 50", "doc_assets", "asset_text", "asset_captions"))
+def search_box(t):
+    return search.search(t.assets, _doc_index(t), "then ere", porter=False)
+
+
+@query(Documents, sql(BM25 + "SELECT id, round(score, 6) AS score FROM top WHERE r <= 50", "doc_assets", "asset_text", "asset_captions"))
+def search_indexed(t):
+    """The same over postings: written once, then read by the prefixes alone."""
+    folder = work_path(t.spark, "index")
+    search.build_index(_doc_index(t), folder, porter=False)
+    hits = search.bm25_indexed(t.spark, folder, "then ere", porter=False).withColumnRenamed("asset_id", "id")
+    rows = P.live(t.assets).select("id", P.event_ts().alias("at")).join(hits, "id").orderBy(F.desc("score"), F.desc("at"), "id").limit(50)
+    return rows.select("id", F.round("score", 6).alias("score"))
