@@ -183,12 +183,14 @@ class Documents(Tables):
     def word_bands(self) -> DataFrame:
         """(id, b0..b3): four 16-bit bands of a SimHash over distinct lower-cased words."""
         words = self.read("documents").select(F.col("doc_id").cast("string").alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != ""))).alias("w"))
-        words = words.withColumn("h", F.substring(F.md5("w"), 1, 16))
-        parts = [F.conv(F.substring("h", 1 + 4 * i, 4), 16, 10).cast("int").alias(f"p{i}") for i in range(4)]
-        words = words.select("id", *parts)
-        bits = [(i, b) for i in range(4) for b in range(16)]
-        sums = words.groupBy("id").agg(*[F.sum(F.getbit(F.col(f"p{i}"), F.lit(b)).cast("int") * 2 - 1).alias(f"s{i}_{b}") for i, b in bits])
-        band = lambda i: sum((F.when(F.col(f"s{i}_{b}") > 0, 1 << b).otherwise(0) for b in range(16)), F.lit(0)).cast("int").alias(f"b{i}")
+        md5 = F.md5("w")
+        half = lambda i: F.conv(F.substring(md5, i, 8), 16, 10).cast("long")
+        words = words.select("id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
+        # the sum of one long counts two bits: bit b in its low half, bit b + 32 in its high half
+        two = F.lit(1 << 32 | 1)
+        sums = words.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(two)).alias(f"s{b}") for b in range(32)])
+        ones = lambda b: F.shiftrightunsigned(f"s{b - 32}", 32) if b >= 32 else F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))
+        band = lambda i: sum((F.when(ones(48 - 16 * i + b) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(16)), F.lit(0)).cast("int").alias(f"b{i}")
         return sums.select("id", *[band(i) for i in range(4)])
 
 
