@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.functions.predicates import media_type
-from shelfspark.operators.ingest import dedup_queue
+from shelfspark.operators.ingest import changed_files, dedup_queue
 
 CHANGE = "path string, kind string, thumb boolean, seq long"
 
@@ -43,6 +43,45 @@ def queue_to(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def queue_with_state(stream: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """The queue over all micro-batches: state/batch=n holds every waiting job after batch n.
+
+    A batch takes the waiting jobs of the last one and its own, so a newer job
+    replaces one that came in earlier; a batch that is replayed reads and
+    overwrites the same versions.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.select("path", "kind", "thumb", "seq")
+        if n:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{state}/batch={n - 1}").select("path", "kind", "thumb", "seq"))
+        dedup_queue(rows).write.mode("overwrite").parquet(f"{state}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(waiting: DataFrame, done: DataFrame) -> DataFrame:
+    """(pending, processed, running, last_path) of waiting(path, seq) and done(path, seq)."""
+    w = waiting.agg(F.count(F.lit(1)).alias("pending"))
+    d = done.agg(F.count(F.lit(1)).alias("processed"), F.max_by("path", "seq").alias("last_path"))
+    return w.crossJoin(d).select("pending", "processed", (F.col("pending") > 0).alias("running"), "last_path")  # one row each
+
+
+SCAN_EVERY = {"hourly": 3600, "daily": 24 * 3600}
+
+
+def scan_due(mode: str, last: int, now: int, launched: bool) -> bool:
+    """Whether a library is scanned again: at launch, or hourly or daily after the last scan (seconds)."""
+    if mode == "on_launch":
+        return launched
+    return mode in SCAN_EVERY and now - last >= SCAN_EVERY[mode]
+
+
+def auto_scan(files: DataFrame, assets: DataFrame, seq: int = 0) -> DataFrame:
+    """Jobs (path, kind, thumb, seq) of a scan: an upsert for each file that is new or has changed."""
+    return changed_files(files, assets).select("path", F.lit("upsert").alias("kind"), F.lit(True).alias("thumb"), F.lit(seq).cast("long").alias("seq"))
+
+
 # -- extensions over the events table --------------------------------------
 
 

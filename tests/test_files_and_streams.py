@@ -53,3 +53,24 @@ def test_windows_over_a_stream_equal_the_table(spark, tmp_path):
     key = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert key(spark.table("daily")) == key(want)
     assert key(want)[0][0] >= dt.datetime(2023, 12, 31)
+
+
+def test_queue_holds_over_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for n, rows in enumerate(([("/a", "upsert", True, 1), ("/b", "upsert", False, 2)], [("/a", "upsert", False, 3)], [("/b", "remove", False, 4)])):
+        (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "thumb", "seq"), r))) for r in rows))
+        ingest.queue_with_state(ingest.change_events(spark, str(src)), str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / f"state/batch={n}")).orderBy("seq").collect()
+    assert [(r.path, r.kind, r.thumb) for r in got] == [("/a", "upsert", True), ("/b", "remove", False)]
+    done = spark.createDataFrame([("/x", 1), ("/y", 2)], "path string, seq long")
+    assert tuple(ingest.progress(spark.createDataFrame(got), done).first()) == (2, 2, True, "/y")
+
+
+def test_auto_scan(spark):
+    assert ingest.scan_due("on_launch", 0, 5, True) and not ingest.scan_due("on_launch", 0, 10**9, False)
+    assert ingest.scan_due("hourly", 0, 3600, False) and not ingest.scan_due("hourly", 1, 3600, False) and not ingest.scan_due("never", 0, 10**9, True)
+    assets = Orders(spark, SMALL).assets
+    files_ = assets.select("path", "file_size", F.col("indexed_at").alias("modified")).union(spark.sql("select '/new.jpg', 5L, timestamp_ntz'2024-01-01 00:00:00'"))
+    jobs = ingest.auto_scan(files_, assets.where("deleted_at is null"), 7)
+    assert ("/new.jpg", "upsert", True, 7) in [tuple(r) for r in jobs.collect()] and jobs.count() < 400
