@@ -167,15 +167,17 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray, width: int = 5) -> bytes:
-    """The low 40 bits of each key in five bytes, or all of it in eight."""
-    if width == 8:
-        return keys.astype("<u8").tobytes()
+    """The low 40 bits of each key in five bytes, 56 in seven, or all of it in eight."""
+    if width > 5:
+        return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((keys >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
 def unpack_keys(data: bytes, width: int = 5) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(data, dtype="<u8")
+    if width > 5:
+        out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+        out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+        return out.view("<u8").ravel()
     n = len(data) // 5
     low = np.frombuffer(data, dtype=np.uint32, count=n).astype(np.uint64)
     return low | (np.frombuffer(data, dtype=np.uint8, offset=4 * n, count=n).astype(np.uint64) << np.uint64(32))
@@ -206,13 +208,13 @@ class Space(NamedTuple):
 
 
 def word_space(bits: int, wide: int = WIDE_BITS) -> Space:
-    """Keys are whole 64-bit hashes."""
-    return Space(bits, 64 - bits, wide)
+    """Keys hold 56 bits of the hash below the bucket's, as far as it has them: among two million words none are one."""
+    return Space(bits, min(56, 64 - bits), wide)
 
 
 def _layout(space: Space, level: int) -> tuple[int, int]:
     """(shift, width) of keys in buckets of so many bits."""
-    return space.low + space.bits - level, 5 if level == space.bits and space.low <= 40 else 8
+    return space.low + space.bits - level, (5 if space.low <= 40 else 7) if level == space.bits else 8
 
 
 def asked_schema(n: int) -> str:
@@ -273,6 +275,11 @@ def _total(spaces: list[Space], n: int):
     return run
 
 
+def sums(table: pa.Table, space: Space, n: int = 1) -> list[np.ndarray]:
+    """The n sums of each key that was asked of a bucket."""
+    return _summed(table, _layout(space, space.bits)[1], n)[3]
+
+
 def _relay_up(spaces: list[Space], n: int):
     def run(table: pa.Table) -> pa.Table:
         no = table.column("space")[0].as_py()
@@ -306,18 +313,25 @@ def answered(table: pa.Table, no: int, space: Space, keys: np.ndarray, n: int, f
     return out
 
 
-def lookup(asks: DataFrame, spaces: list[Space], n: int, relay: int = RELAY) -> DataFrame:
-    """Answers (space, bucket, chunk, v0, ...) to all asks: the sums over all chunks, in the order asked."""
+def lookup(asks: DataFrame, spaces: list[Space], n: int, relay: int = RELAY) -> tuple[DataFrame, DataFrame]:
+    """(answers, what the buckets are asked).
+
+    Answers (space, bucket, chunk, v0, ...) are the sums over all chunks, in
+    the order asked; the second frame has asks by the narrowest buckets.
+    """
     direct = [no for no, s in enumerate(spaces) if s.bits <= s.wide]
     total = lambda df: df.groupBy("space", "bucket").applyInArrow(_total(spaces, n), answer_schema(n))
     if len(direct) == len(spaces):
-        return total(asks)
+        return total(asks), asks
     relayed = asks.where(~F.col("space").isin(direct)).withColumn("relay", F.floor(F.col("chunk") / relay))
     up = relayed.groupBy("space", "bucket", "relay").applyInArrow(_relay_up(spaces, n), asked_schema(n))
     extra = F.create_map(*[x for no, s in enumerate(spaces) for x in (F.lit(no), F.lit(1 << max(0, s.bits - s.wide)))])
     got = total(up).withColumn("wide", F.floor(F.col("bucket") / extra[F.col("space")]).cast("int"))
     down = relayed.groupBy("space", "bucket", "relay").cogroup(got.groupBy("space", "wide", "chunk")).applyInArrow(_relay_down(spaces, n), answer_schema(n))
-    return total(asks.where(F.col("space").isin(direct))).union(down) if direct else down
+    if not direct:
+        return down, up
+    near = asks.where(F.col("space").isin(direct))
+    return total(near).union(down), near.union(up)
 
 
 # -- hashing ---------------------------------------------------------------

@@ -22,9 +22,9 @@ history among the tokens before it that was seen in training, so the states of
 all places of a chunk are found at once, by arrays, instead of one by one.
 Tests hold the scores against an automaton that carries its state.
 
-Words are told apart by 64-bit hashes, longer n-grams by 40 bits and more
-within a bucket of about two million: of these about two in a million share
-their counts with another.  N and V are an aggregate of their own.
+Words are told apart by 56 bits of a hash within a bucket of about two million
+(one bucket in 36,000 has two words that share their counts), longer n-grams by
+40 bits, of which about two in a million share theirs with another.  N and V are summed up over the buckets of words.
 
 Defined results.  Tokens are runs of characters other than ASCII white space,
 A-Z lower-cased, then one end token.  A null text is empty: the end token
@@ -35,14 +35,12 @@ training part, N and V are 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, by_texts, dealt, groups_for, keep_only, lookup, mix, runs, ship, text_size, tidied, tidy, word_space
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, dealt, groups_for, keep_only, lookup, mix, ship, sums, text_size, tidy, word_space
 
 ORDER = 3
 MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
@@ -77,41 +75,14 @@ def _table_texts(table: pa.Table) -> list:
     return table.column("text").cast(pa.binary()).to_pylist()
 
 
-def _distinct_words(bits: int, most: int = 1 << 20):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n = [], 0, 0
-
-        def rows(keys: np.ndarray, n: int) -> pa.RecordBatch:
-            found, at = runs(keys, 64 - bits)
-            found, parts = [*found.tolist(), 0], [*(keys[x:y].tobytes() for x, y in zip(at[:-1], at[1:])), b""]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(parts, pa.binary()), pa.array([0] * (len(found) - 1) + [n], pa.int64())], ["bucket", "keys", "n"])
-
-        for b in by_texts(batches):
-            words = [w for t in b.column("text").cast(pa.binary()).to_pylist() for w in tokens(t)]
-            held.append(np.unique(mix(HASHES.of(words))))
-            size, n = size + len(held[-1]), n + len(words)
-            if size > most:
-                held = [np.unique(np.concatenate(held))]
-                size = len(held[0])
-                if size > most // 2:  # no smaller: pass them on
-                    yield rows(held[0], n)
-                    held, size, n = [], 0, 0
-        yield rows(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])), n)
-
-    return tidied(run, "hashes")
-
-
-def _count_words(table: pa.Table) -> pa.Table:
-    types = len(np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)))
-    return pa.table({"tokens": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "types": pa.array([types], pa.int64())})
+def _count_words(space: Space):
+    """(tokens, types) of each bucket of words, from what was asked of it."""
 
+    def run(table: pa.Table) -> pa.Table:
+        found = [sums(table, space)[0]] if table.column("space")[0].as_py() == 0 else []
+        return pa.table({"tokens": pa.array([int(c.sum()) for c in found], pa.int64()), "types": pa.array([int((c > 0).sum()) for c in found], pa.int64())})
 
-def corpus_counts(docs: DataFrame, bits: int = 0) -> tuple[int, int]:
-    """(tokens, distinct tokens) of docs(text), counted in 2**bits buckets of words."""
-    ship(docs.sparkSession)
-    words = docs.select("text").mapInArrow(_distinct_words(bits), "bucket int, keys binary, n long")
-    total = words.groupBy("bucket").applyInArrow(_count_words, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    return int(total[0] or 0), int(total[1] or 0)
+    return run
 
 
 def _ask(spaces: list[Space]):
@@ -171,13 +142,14 @@ def traverse(order: int, mu: dict, n: int, v: int, place: np.ndarray, uniq_at: l
     return base, got
 
 
-def _score(spaces: list[Space], mu: dict, n: int, v: int):
+def _score(spaces: list[Space], mu: dict):
     order = len(spaces)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         lens, place, grams = _ngrams(_table_texts(docs), order)
+        n, v = (answers.column(c)[0].as_py() for c in ("tokens", "types"))  # every chunk asks for the end token at least
         uniq_at, first, counts = [], [], []
         for no, space in enumerate(spaces):
             where = np.flatnonzero(place >= no)
@@ -216,8 +188,10 @@ def score_documents(docs: DataFrame, train: Column, order: int = ORDER, mu: dict
     bits = [bits_for(size // (6 * (4 if k == 1 else 1)), BUCKET_KEYS) for k in range(1, order + 1)]
     spaces = [word_space(bits[0], wide), *(Space(b, wide=wide) for b in bits[1:])]
     learn = F.coalesce(train, F.lit(True))
-    n, v = corpus_counts(docs.where(learn), bits[0])
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("train"), dealt(groups_for(size, chunk_bytes)).alias("chunk"))
     asks = chunks.groupBy("chunk").applyInArrow(_ask(spaces), asked_schema(1))
-    answers = lookup(asks, spaces, 1, relay)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(spaces, mu or MU, n, v), SCORES)
+    answers, fine = lookup(asks, spaces, 1, relay)
+    # the exchange of what is asked serves both: N and V are one row that goes with every answer
+    totals = fine.groupBy("space", "bucket").applyInArrow(_count_words(spaces[0]), "tokens long, types long").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    answers = answers.crossJoin(F.broadcast(totals))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(spaces, mu or MU), SCORES)

@@ -192,7 +192,7 @@ def sampled_texts(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     space = Space(bits_for(size // 5, BUCKET_KEYS), wide=wide)
     texts = docs.select("text").where("text is not null").mapInArrow(_combine(groups_for(size, chunk_bytes)), "chunk long, id long, n long, text binary")
     asks = texts.groupBy("chunk").applyInArrow(_ask(space), asked_schema(2))
-    answers = lookup(asks, [space], 2, relay)
+    answers, _ = lookup(asks, [space], 2, relay)
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sample(space, max(n, 1), threshold, bands, rows, strength), ITEMS)
 
 
