@@ -17,10 +17,10 @@ suffix, weighted log10(m(h) / (c(h) + m(h))).  The empty history has an arc for
 every word.  No n-gram is pruned, so the automaton grows with the corpus and
 no machine holds it: each chunk of documents looks up its part of it (see
 ``common``), the states and arcs that its texts can reach.  A text is scored in
-one traversal from left to right; the state before a place is the longest
-history among the tokens before it that was seen in training, so the states of
-all places of a chunk are found at once, by arrays, instead of one by one.
-Tests hold the scores against an automaton that carries its state.
+one traversal from left to right that carries the state: failure arcs are
+followed until the state has an arc for the word, which is taken, and the
+weights of all of them add up.  The state after the end token is dropped.
+Tests hold the scores against an automaton built of dictionaries.
 
 Words are told apart by 56 bits of a hash within a bucket of about two million
 (one bucket in 36,000 has two words that share their counts), longer n-grams by
@@ -45,6 +45,7 @@ from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space,
 ORDER = 3
 MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
 BUCKET_KEYS = 2_000_000
+STEP = 1 << 16  # places whose weights are unpacked at a time
 END = b"\n"  # never a word
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,14 +110,14 @@ def _ask(spaces: list[Space]):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def traverse(order: int, mu: dict, n: int, v: int, place: np.ndarray, uniq_at: list, first: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    """log10 weights collected at each place: (of words alone, of the automaton).
+def weights(order: int, mu: dict, n: int, v: int, uniq_at: list, first: list, counts: list) -> tuple[list, list]:
+    """log10 weights of the arcs of each n-gram, and of the failure arcs of each state.
 
     uniq_at[k-1]: the n-gram of order k that ends at a place, as an index;
     first[k-1]: a place where each n-gram ends; counts[k-1]: training counts.
     """
     prob = [(counts[0] + 0.5) / (n + 0.5 * (v + 1))]
-    arcs, fails = [np.log10(prob[0])], [None]
+    arcs, fails = [np.log10(prob[0])], []
     for k in range(2, order + 1):
         at = first[k - 1]
         scale, power = mu[k]
@@ -126,20 +127,38 @@ def traverse(order: int, mu: dict, n: int, v: int, place: np.ndarray, uniq_at: l
         arcs.append(np.log10(prob[-1]))
         m = scale * np.maximum(counts[k - 2], 1) ** power
         fails.append(np.log10(m / (counts[k - 2] + m)))
-    total = len(place)
-    base = arcs[0][uniq_at[0]]
-    got, open_ = np.zeros(total), np.ones(total, dtype=bool)
-    for k in range(order, 1, -1):  # from the longest state down the failure arcs
-        here = np.flatnonzero(open_ & (place >= k - 1))
-        before = uniq_at[k - 2][here - 1]
-        here, before = (x[counts[k - 2][before] > 0] for x in (here, before))  # the state exists
-        gram = uniq_at[k - 1][here]
-        hit = counts[k - 1][gram] > 0
-        got[here[hit]] += arcs[k - 1][gram[hit]]
-        open_[here[hit]] = False
-        got[here[~hit]] += fails[k - 1][before[~hit]]
-    got[open_] += base[open_]
-    return base, got
+    return arcs, fails
+
+
+def traverse(place: np.ndarray, uniq_at: list, counts: list, arcs: list, fails: list) -> np.ndarray:
+    """log10 probability of each document, in one pass that carries the automaton's state.
+
+    The state is told by the length of its history, the tokens before the place.
+    """
+    longest = len(fails)
+    seen = np.zeros(len(place), dtype=np.int8)  # the longest n-gram of the model that ends at a place
+    for k, (at, c) in enumerate(zip(uniq_at, counts)):
+        if len(c):  # texts of a chunk may all be shorter than an n-gram; then no state asks for its weights
+            seen[(seen == k) & (place >= k) & (c[at] > 0)] = k + 1
+    scores: list[float] = []
+    state, total = 0, 0.0
+    for lo in range(0, len(place), STEP):
+        here = slice(lo, lo + STEP)
+        before = np.maximum(np.arange(lo, min(lo + STEP, len(place))) - 1, 0)
+        arc = [w[at[here]].tolist() if len(w) else [] for w, at in zip(arcs, uniq_at)]
+        fail = [w[at[before]].tolist() if len(w) else [] for w, at in zip(fails, uniq_at)]
+        for i, (begins, reach) in enumerate(zip((place[here] == 0).tolist(), seen[here].tolist())):
+            if begins:
+                scores.append(total)
+                state, total = 0, 0.0
+            while state and state >= reach:  # no arc for the word
+                total += fail[state - 1][i]
+                state -= 1
+            total += arc[state][i]
+            if reach and state < longest:
+                state += 1
+    scores.append(total)
+    return np.array(scores[1:])
 
 
 def _score(spaces: list[Space], mu: dict):
@@ -160,7 +179,7 @@ def _score(spaces: list[Space], mu: dict):
             first.append(where[at])
             counts += answered(answers, no, space, uniq, 1)
             grams[no] = None
-        base, weights = traverse(order, mu, n, v, place, uniq_at, first, counts)
+        arcs, fails = weights(order, mu, n, v, uniq_at, first, counts)
         starts = np.cumsum(lens) - lens
         known = np.add.reduceat((counts[0] > 0)[uniq_at[0]].astype(np.int64), starts)
         train = docs.column("train").combine_chunks()
@@ -172,8 +191,8 @@ def _score(spaces: list[Space], mu: dict):
                 "n_tokens": pa.array(lens, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array(np.full(len(lens), n), pa.int64()),
-                "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()),
-                "score": pa.array(np.add.reduceat(weights, starts), pa.float64()),
+                "base_score": pa.array(np.add.reduceat(arcs[0][uniq_at[0]], starts), pa.float64()),
+                "score": pa.array(traverse(place, uniq_at, counts, arcs, fails), pa.float64()),
             }
         )
 
