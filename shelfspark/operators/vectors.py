@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import schema as S
 from shelfspark.functions.predicates import dot, live
+from shelfspark.sources.work import ship
 
 
 def literal(vector: list[float]) -> Column:
@@ -25,62 +26,23 @@ def semantic_search(embeddings: DataFrame, query: list[float], limit: int = 50,
     return rows.orderBy(F.desc("score"), "id").limit(max(1, min(limit, S.LIMIT_LIST)))
 
 
-def sign_codes(vector: Column, width: int, planes: int, tables: int, seed: int) -> Column:
-    """One code a table: the sign bits of the vector's products with the table's random planes."""
-    g = np.random.default_rng(seed).standard_normal((tables, planes, width))
-    fixed = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in p) + ")" for p in t) + ")" for t in g.tolist()) + ")")
-    return F.transform(fixed, lambda t: F.aggregate(t, F.lit(0), lambda c, p: c * 2 + (dot(vector, p) > 0).cast("int")))
-
-
-def near_codes(a: Column, b: Column, probes: int) -> Column:
-    """Whether two codes of a table differ in at most ``probes`` bits."""
-    return F.exists(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= probes), lambda near: near)
-
-
-def semantic_ann(embeddings: DataFrame, query: list[float], limit: int = 50, planes: int = 8, probes: int = 2, seed: int = 3, tables: int = 12) -> DataFrame:
-    """Approximate search: in each table sign bits of fixed random planes name a bucket; near buckets are scored exactly.
-
-    A vector is read if its bucket is at most ``probes`` bits from the query's
-    in one table at least; one table alone loses most neighbours.  Approximate
-    by nature; ``semantic_search`` is the exact way, and cheaper as long as the
-    codes are not stored.
-    """
-    code = lambda v: sign_codes(v, len(query), planes, tables, seed)
-    return semantic_search(embeddings.where(near_codes(code(F.col("vector")), code(literal(query)), probes)), query, limit)
-
-
 def _matrix(vectors, width: int) -> np.ndarray:
     """Rows in double, 0 where the width differs."""
     zero = np.zeros(width)
     return np.array([v if v is not None and len(v) == width else zero for v in vectors], dtype=np.float64).reshape(-1, width)
 
 
-def _each(ids: list[int], queries: np.ndarray, limit: int, floor: float, fixed: np.ndarray | None, probes: int, block: int):
+def _each(ids: list[int], queries: np.ndarray, limit: int, floor: float, block: int):
     width, slack = queries.shape[1], 1e-9
-    few = np.array([i.bit_count() <= probes for i in range(1 << fixed.shape[1])]) if fixed is not None else None
-
-    def codes(v: np.ndarray) -> np.ndarray:
-        bits = np.einsum("nd,tpd->ntp", v, fixed, optimize=True) > 0
-        return bits @ (1 << np.arange(fixed.shape[1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             v, names, out = _matrix(pdf["vector"], width), pdf["id"].to_numpy(), []
-            own = codes(v) if fixed is not None else None
             for at in range(0, len(ids), block):
                 q = queries[at : at + block]
-                near = q @ v.T
-                if fixed is not None:
-                    asked, read = codes(q), np.zeros(near.shape, bool)
-                    for t in range(len(fixed)):
-                        read |= few[asked[:, t, None] ^ own[None, :, t]]
-                    near[~read] = -np.inf
-                for i, row in enumerate(near):
-                    if len(row) > limit:
-                        least = max(floor, np.partition(row, -limit)[-limit])
-                    else:
-                        least = floor
-                    some = np.flatnonzero((row >= least - slack) & (row > -np.inf))
+                for i, row in enumerate(q @ v.T):
+                    least = max(floor, np.partition(row, -limit)[-limit]) if len(row) > limit else floor
+                    some = np.flatnonzero(row >= least - slack)
                     exact = np.cumsum(v[some] * q[i], axis=1)[:, -1]  # added up in order, as semantic_search does
                     best = sorted((-x, n) for x, n in zip(exact.tolist(), names[some]) if x >= floor)[:limit]
                     out += [(ids[at + i], n, -x) for x, n in best]
@@ -89,25 +51,46 @@ def _each(ids: list[int], queries: np.ndarray, limit: int, floor: float, fixed:
     return run
 
 
-def search_each(embeddings: DataFrame, queries: DataFrame, limit: int = 50, floor: float = S.SEMANTIC_FLOOR, assets: DataFrame | None = None, block: int = 512, ann: tuple[int, int, int, int] | None = None) -> DataFrame:
+FEW_QUERIES, SLICE = 4096, 8192
+
+
+def _tiles(rows: DataFrame, queries: DataFrame, width: int, limit: int, floor: float, block: int) -> DataFrame:
+    """Each block of queries with each slice of rows; no group is much larger than a block and a slice."""
+    n_blocks, n_slices = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, SLICE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), every(n_slices).alias("slice"))
+    held = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int").alias("slice"), every(n_blocks).alias("block"))
+
+    def run(qs: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or pdf.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return next(_each(qs["query_id"].tolist(), _matrix(qs["vector"], width), limit, floor, block)(iter([pdf])))
+
+    return asked.groupBy("block", "slice").cogroup(held.groupBy("block", "slice")).applyInPandas(run, "query_id long, id string, score double")
+
+
+def search_each(embeddings: DataFrame, queries: DataFrame, limit: int = 50, floor: float = S.SEMANTIC_FLOOR, assets: DataFrame | None = None, block: int = 512, few: int = FEW_QUERIES) -> DataFrame:
     """(query_id, id, score): for each of queries(query_id, vector) what ``semantic_search`` finds, all rows scored.
 
-    The queries go to the workers whole and are multiplied a block at a time
-    with each batch of vectors.  ann: (planes, probes, seed, tables) of
-    ``semantic_ann``, to score only what that reads.
+    Up to ``few`` queries go to the tasks that read the vectors and are
+    multiplied a block at a time with each batch.  More are joined in blocks
+    with slices of the rows.
     """
     limit = max(1, min(limit, S.LIMIT_LIST))
-    asked = queries.orderBy("query_id").collect()
     rows = embeddings.select(F.col("asset_id").alias("id"), "vector")
     if assets is not None:
         rows = rows.join(live(assets).select("id"), "id", "left_semi")
-    width = len(asked[0]["vector"]) if asked else 1
-    if any(len(r["vector"]) != width for r in asked):
+    widths = [r["w"] for r in queries.select(F.size("vector").alias("w")).distinct().limit(2).collect()]
+    if len(widths) > 1:
         raise ValueError("queries differ in width")
-    planes, probes, seed, tables = ann or (0, 0, 0, 0)
-    fixed = np.random.default_rng(seed).standard_normal((tables, planes, width)) if ann else None
-    run = _each([r["query_id"] for r in asked], _matrix([r["vector"] for r in asked], width), limit, floor, fixed, probes, block)
-    found = rows.mapInPandas(run, "query_id long, id string, score double")
+    width = widths[0] if widths else 1
+    ship(embeddings.sparkSession)
+    asked = queries.limit(few + 1).collect()
+    if len(asked) <= few:
+        run = _each([r["query_id"] for r in asked], _matrix([r["vector"] for r in asked], width), limit, floor, block)
+        found = rows.mapInPandas(run, "query_id long, id string, score double")
+    else:
+        found = _tiles(rows, queries, width, limit, floor, block)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
@@ -157,6 +140,7 @@ def _laplacian(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def blur_score(images: DataFrame) -> DataFrame:
     """(id, blur_score) from images(id, width, height, pixels): variance of the 4-neighbour Laplacian."""
+    ship(images.sparkSession)
     return images.select("id", "width", "height", "pixels").mapInPandas(_laplacian, "id string, blur_score double")
 
 
@@ -182,11 +166,13 @@ def _nms(limit: float):
     return run
 
 
-def nms(boxes: DataFrame, iou: float = S.IOU_AT_MOST, groups: int = 64) -> DataFrame:
+def nms(boxes: DataFrame, iou: float = S.IOU_AT_MOST, per_group: int = 20_000) -> DataFrame:
     """Detections of boxes(asset_id, id, x, y, w, h, score) that no better one of the asset overlaps too much.
 
-    Assets are dealt into groups, so that one call of Python handles many; at
-    scale groups should follow the number of assets.
+    Assets are dealt into groups of about per_group detections, so that one
+    call of Python handles many; the number of groups follows the input.
     """
+    ship(boxes.sparkSession)
+    groups = max(1, -(-boxes.count() // per_group))
     dealt = boxes.withColumn("_g", F.pmod(F.xxhash64("asset_id"), F.lit(groups)))
     return dealt.groupBy("_g").applyInPandas(_nms(iou), "asset_id string, id string, score double")

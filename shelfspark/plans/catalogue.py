@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark import schema as S
 from shelfspark.functions import formats
 from shelfspark.functions import predicates as P
-from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vectors
+from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vector_index, vectors
 from shelfspark.plans.adapter_sql import sql
 from shelfspark.sources.library import AS_OF, Documents, Orders, WholeCaptions
 from shelfspark.sources.work import work_path
@@ -454,9 +454,13 @@ def semantic_search(t):
     return vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50, assets=t.assets).withColumn("score", F.round("score", 6))
 
 
+def _vector_index(t):
+    return vector_index.build(t.asset_embeddings, work_path(t.spark, "vectors"))
+
+
 @query(Documents)
 def semantic_ann(t):
-    return vectors.semantic_ann(t.asset_embeddings, _query_vector(t), 50)
+    return vector_index.search(_vector_index(t), _query_vector(t), 50)
 
 
 def _query_vectors(t):
@@ -474,7 +478,7 @@ def semantic_search_each(t):
 
 @query(Documents)
 def semantic_ann_each(t):
-    return vectors.search_each(t.asset_embeddings, _query_vectors(t), 50, ann=(8, 2, 3, 12))
+    return vector_index.search_each(_vector_index(t), _query_vectors(t), 50)
 
 
 @query(Documents, sql("""SELECT asset_id, 'label_' || lpad(CAST(i AS VARCHAR), 2, '0') AS label, round(p, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (

@@ -1,15 +1,37 @@
-"""Work tables in the folder that driver and executors share."""
+"""Work tables in the folder that driver and executors share, and this package's code for the executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application: what runs in Python workers is imported there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="ship")
+    target = os.path.join(folder, "shelfspark_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+    atexit.register(shutil.rmtree, folder, True)
 
 
 def work_root(spark: SparkSession) -> str:

@@ -11,7 +11,8 @@ from shelfspark import schema as S
 from shelfspark.functions import actions
 from shelfspark.functions.porter import stem
 from shelfspark.functions.predicates import ignored, media_type
-from shelfspark.operators import browse, duplicates, facets, geo, ingest, memories, people, search, vectors
+from shelfspark.operators import browse, duplicates, facets, geo, ingest, memories, people, search, vector_index, vectors
+from shelfspark.sources.work import work_path
 
 
 def ts(text):
@@ -91,8 +92,9 @@ def test_vectors(spark):
     v = np.sin(np.arange(1050)[:, None] * 7919 + np.arange(64)[None] * 997)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     many = spark.createDataFrame([(f"{i:04d}", x.tolist()) for i, x in enumerate(v)], "asset_id string, vector array<float>")
-    top = vectors.semantic_ann(many, v[42].tolist(), 5).first()
-    assert top.id == "0042" and top.score > 0.99
+    index = vector_index.build(many, work_path(spark, "vectors"))
+    top = vector_index.search(index, v[42].tolist(), 5, exact=True).first()
+    assert index.usable and top.id == "0042" and top.score > 0.99
     logits = spark.createDataFrame([("a", ["p", "q", "r"], [5.0, 4.0, -9.0]), ("b", ["p", "q"], [0.0, 0.0])], "asset_id string, labels array<string>, logits array<double>")
     assert {(r.asset_id, r.label) for r in vectors.label_topk(logits, 1, 0.9).collect()} == {("a", "p"), ("b", "p")}
     boxes = spark.createDataFrame([("x", "1", 0.0, 0.0, 10.0, 10.0, 0.9), ("x", "2", 1.0, 1.0, 10.0, 10.0, 0.8), ("x", "3", 50.0, 50.0, 5.0, 5.0, 0.1)], "asset_id string, id string, x double, y double, w double, h double, score double")
