@@ -20,49 +20,23 @@ same with and without relays.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
-import os
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from shelfspark.sources.work import drop_table, work_path, write_table  # noqa: F401  one place for the operators to import from
+from shelfspark.sources.work import drop_table, ship, work_path, write_table  # noqa: F401  one place for the operators to import from
 
 CHUNK_BYTES = 8 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="ship")
-    target = os.path.join(folder, "shelfspark_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-    atexit.register(shutil.rmtree, folder, True)
-
 
 def text_size(docs: DataFrame) -> tuple[int, int]:
     """(rows, bytes of text)."""
