@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import schema as S
 from shelfspark.functions.predicates import blank, event_ts, is_screenshot, live, rank_order, rank_score
+from shelfspark.sources.work import ship
 
 QUOTE_CANDIDATES = 16
 PROSE_MODEL = "prose-v1"
@@ -71,6 +72,7 @@ def weekend_runs(days: DataFrame) -> DataFrame:
     No run crosses a gap, so each island of consecutive days is folded alone.
     Days are few (one row each), so the one window over all of them is small.
     """
+    ship(days.sparkSession)
     w = Window.orderBy("day")
     islands = days.select("day", "n", F.date_sub("day", F.row_number().over(w)).alias("island"))
     return islands.groupBy("island").applyInPandas(_runs, "start_day date, end_day date, total long").orderBy(F.desc("total"), F.desc("start_day"))
@@ -296,6 +298,7 @@ def diversify(candidates: DataFrame, key: str, limit: int, most: int | None = No
     All of a group take part; ``most`` limits them to the best by base, as the
     reference does when it loads them.  A group is held by one task.
     """
+    ship(candidates.sparkSession)
     top = candidates.select(key, "id", F.col("base").cast("double").alias("base"), "vector")
     if most is not None:
         w = Window.partitionBy(key).orderBy(F.desc("base"), "id")

@@ -11,7 +11,7 @@ from shelfspark import schema as S
 from shelfspark.functions.porter import stem
 from shelfspark.functions.predicates import blank, event_ts, name_of
 from shelfspark.operators.browse import Query, filtered, parse_query
-from shelfspark.sources.work import drop_table, write_table
+from shelfspark.sources.work import drop_table, ship, write_table
 
 K1, B = 1.2, 0.75
 FIELDS = list(S.BM25_DOCUMENTED)
@@ -53,7 +53,10 @@ def tokens(documents: DataFrame, porter: bool = False) -> DataFrame:
     """(asset_id, field, term): every token of every field."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS if f in documents.columns]))
     rows = documents.select("asset_id", pairs.alias("p")).select("asset_id", "p.field", F.explode(F.split(F.lower("p.text"), r"[^\p{L}\p{N}_]+")).alias("term")).where("term <> ''")
-    return rows.withColumn("term", _stems("term")) if porter else rows
+    if not porter:
+        return rows
+    ship(documents.sparkSession)
+    return rows.withColumn("term", _stems("term"))
 
 
 def _scored(rows: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
@@ -78,6 +81,8 @@ def _stem_lists(lists: pd.Series) -> pd.Series:
 
 def _counted(documents: DataFrame, terms: list[str], weights: dict[str, float], porter: bool) -> DataFrame:
     """(asset_id, len, f0, ...): a document is counted within its own row."""
+    if porter:
+        ship(documents.sparkSession)
     fields = [f for f in FIELDS if f in documents.columns]
     split = lambda f: F.filter(F.split(F.lower(F.coalesce(f, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
     rows = documents.select("asset_id", *[(_stem_lists(split(f)) if porter else split(f)).alias(f) for f in fields])

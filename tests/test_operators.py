@@ -149,7 +149,7 @@ def test_faces(spark):
     assert {r.id: r.person_id for r in people.consolidate(p).collect()} == {"1": "2", "2": "2", "3": "3"}
     faces = spark.createDataFrame([("f1", "1", None, 0.9), ("f2", "1", "/c", 0.5), ("f3", "2", None, 0.1)], "id string, person_id string, crop_path string, score double")
     assert {r.person_id: (r.face_count, r.cover_face_id) for r in people.person_stats(faces).collect()} == {"1": (2, "f2"), "2": (1, "f3")}
-    assert {r.person_id for r in people.detached(faces, ["f1"]).collect()} == {"new:f1", "1", "2"}
+    assert {r.person_id for r in people.detached(faces, spark.createDataFrame([("f1",)], "id string")).collect()} == {"new:f1", "1", "2"}
 
 
 def test_geo(spark):
