@@ -43,23 +43,6 @@ def queue_to(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def queue_with_state(stream: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """The queue over all micro-batches: state/batch=n holds every waiting job after batch n.
-
-    A batch takes the waiting jobs of the last one and its own, so a newer job
-    replaces one that came in earlier; a batch that is replayed reads and
-    overwrites the same versions.
-    """
-
-    def write(batch: DataFrame, n: int) -> None:
-        rows = batch.select("path", "kind", "thumb", "seq")
-        if n:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{state}/batch={n - 1}").select("path", "kind", "thumb", "seq"))
-        dedup_queue(rows).write.mode("overwrite").parquet(f"{state}/batch={n}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def progress(waiting: DataFrame, done: DataFrame) -> DataFrame:
     """(pending, processed, running, last_path) of waiting(path, seq) and done(path, seq)."""
     w = waiting.agg(F.count(F.lit(1)).alias("pending"))
