@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.predicates import dms
+from shelfspark.sources.work import write_table
 
 EARTH_KM = 6371.0
 
@@ -28,24 +33,48 @@ def label(city: Column, region: Column) -> Column:
     return F.when(out != "", out)
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, cell: float = 10.0, rings: int = 2) -> DataFrame:
-    """(id, place_label, country, km) of the nearest of gazetteer(city, region, cc, lat, lon).
+FIRST_CELL, WIDER = 1 / 64, 4  # of the unit sphere: about 100 km
+
+
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """df with x, y, z of its place on the unit sphere."""
+    a, b = F.radians(lat), F.radians(lon)
+    return df.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
+
+
+def _cell(side: float) -> list[Column]:
+    return [F.floor(F.col(c) / side).cast("int") for c in "xyz"]
+
+
+def nearest_place(points: DataFrame, gazetteer: DataFrame, side: float = FIRST_CELL) -> DataFrame:
+    """(id, place_label, country, km) of the nearest of gazetteer(city, region, cc, lat, lon); of equally near ones (to the millimetre) the first label.
 
-    Both are cut into cells of ``cell`` degrees; a point meets the cities of
-    its cell and of ``rings`` cells around it, an equi-join.  A city found
-    there is the nearest for sure if no place outside these cells can be
-    nearer; the other points are compared with the whole gazetteer, which is
-    bounded by the world's cities.  Longitudes wrap around.
+    Both lie on the unit sphere, which is cut into cubes.  A point meets the
+    places of its cube and of the 26 around it, an equi-join; one that is at
+    most a cube's side away is the nearest for sure, for all outside are
+    farther.  The other points look again in cubes of four times the side,
+    until a cube's side is the sphere's width; few are left for the wide cubes.
+    Points without coordinates are left out, and so are all if there is no place.
     """
-    wide = int(360 / cell)
-    col = lambda lon: F.floor((F.col(lon) + 180.0) / cell).cast("int")
-    row = lambda lat: F.floor((F.col(lat) + 90.0) / cell).cast("int")
-    cities = gazetteer.select(label(F.col("city"), F.col("region")).alias("place_label"), F.when(F.trim("cc") != "", F.trim("cc")).alias("country"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), row("lat").alias("r"), (col("lon") % wide).alias("c"))
-    around = [F.struct((row("lat") + i).alias("r"), F.pmod(col("lon") + j, F.lit(wide)).alias("c")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)]
-    near = points.select("id", "lat", "lon", F.explode(F.array_distinct(F.array(*around))).alias("g")).select("id", "lat", "lon", "g.r", "g.c").join(cities, ["r", "c"])
-    best = lambda df: df.withColumn("km", kilometres(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))).groupBy("id").agg(F.min(F.struct("km", "place_label", "country")).alias("b")).select("id", "b.place_label", "b.country", "b.km")
-    edge = F.lit(rings * cell)
-    sure = EARTH_KM * F.asin(F.sin(F.radians(F.least(edge, F.lit(90.0)))) * F.cos(F.radians("lat")))  # to the nearest meridian outside
-    found = best(near).join(points.select("id", sure.alias("sure")), "id").where("km <= sure").drop("sure")
-    lost = points.join(found.select("id"), "id", "left_anti").crossJoin(F.broadcast(cities.drop("r", "c")))
-    return found.union(best(lost))
+    cities = gazetteer.select(label(F.col("city"), F.col("region")).alias("place_label"), F.when(F.trim("cc") != "", F.trim("cc")).alias("country"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    cities = _on_sphere(cities.where("clat is not null and clon is not null").distinct(), "clat", "clon")
+    left = _on_sphere(points.where("lat is not null and lon is not null").select("id", "lat", "lon"), "lat", "lon")
+    found: list[DataFrame] = []
+    while True:
+        whole = side >= 2.0
+        keys = ["cx", "cy", "cz"]
+        placed = cities.select("place_label", "country", "clat", "clon", *[c.alias(k) for c, k in zip(_cell(side), keys)])
+        around = [F.struct(*[(c + d).alias(k) for c, d, k in zip(_cell(side), step, keys)]) for step in product((-1, 0, 1), repeat=3)]
+        near = left.select("id", "lat", "lon", F.explode(F.array(*around)).alias("g")).select("id", "lat", "lon", "g.*").join(placed, keys)
+        km = kilometres(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+        best = near.groupBy("id", "lat", "lon").agg(F.min(F.struct(F.round(km, 6).alias("km"), "place_label", "country")).alias("b")).select("id", "lat", "lon", "b.*")
+        sure = 2 * EARTH_KM * math.asin(min(1.0, side / 2)) * (1 - 1e-9)
+        best = write_table(best if whole else best.where(F.col("km") <= sure), "places")
+        found.append(best.select("id", "place_label", "country", "km"))
+        if whole:
+            break
+        left = left.join(best.select("id", "lat", "lon"), ["id", "lat", "lon"], "left_anti")
+        if left.isEmpty():
+            break
+        side = min(2.0, side * WIDER)
+    return reduce(DataFrame.union, found)

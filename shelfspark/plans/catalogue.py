@@ -751,7 +751,7 @@ def corrected_people(t):
 NEAREST = """WITH cities AS (SELECT n_name || ', ' || r_name AS place_label, r_name AS country, CAST((n_nationkey * 7) % 180 - 90 AS DOUBLE) AS lat, CAST((n_nationkey * 13) % 360 - 180 AS DOUBLE) AS lon FROM nation JOIN region ON n_regionkey = r_regionkey),
   points AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CAST((c_custkey * 31) % 170 - 85 AS DOUBLE) AS lat, CAST((c_custkey * 47) % 358 - 179 AS DOUBLE) AS lon FROM customer),
   d AS (SELECT p.id, place_label, country, 2 * 6371.0 * asin(least(sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)), 1.0)) AS km FROM points p, cities c)
-  SELECT id, round(min(km), 3) AS km FROM d GROUP BY id"""
+  SELECT id, b.place_label, b.country, round(b.km, 3) AS km FROM (SELECT id, min({'km': round(km, 6), 'place_label': place_label, 'country': country}) AS b FROM d GROUP BY id)"""
 
 
 @query(Orders, NEAREST)
@@ -759,7 +759,7 @@ def geo_label(t):
     n = t.read("nation").join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
     cities = n.selectExpr("n_name as city", "r_name as region", "r_name as cc", "cast((n_nationkey * 7) % 180 - 90 as double) as lat", "cast((n_nationkey * 13) % 360 - 180 as double) as lon")
     points = t.read("customer").selectExpr("cast(c_custkey as string) as id", "cast((c_custkey * 31) % 170 - 85 as double) as lat", "cast((c_custkey * 47) % 358 - 179 as double) as lon")
-    return geo.nearest_place(points, cities).select("id", F.round("km", 3).alias("km"))
+    return geo.nearest_place(points, cities).withColumn("km", F.round("km", 3))
 
 
 # -- changes ---------------------------------------------------------------
