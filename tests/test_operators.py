@@ -174,7 +174,7 @@ def test_import(spark):
     assert (r.scanned, r.inserted, r.updated, r.skipped) == (5, 1, 1, 3)
 
 
-def test_changes(spark):
+def test_changes(spark, tmp_path):
     a = frame(spark, [{"id": "1", "thumbnail_path": "/t"}, {"id": "2", "thumbnail_path": "/t"}, {"id": "3", "thumbnail_path": "/u", "rating": 2}])
     gone = ingest.soft_delete(a, ["1"], "2024-05-01")
     assert ids(browse.trash(gone)) == ["1"] and ids(browse.trash(ingest.restore(gone, ["1"]))) == []
@@ -182,8 +182,8 @@ def test_changes(spark):
     stay, thumbs = ingest.permanent_delete(a, ["1", "3"])
     assert ids(stay) == ["2"] and [r[0] for r in thumbs.collect()] == ["/u"]
     change = ingest.set_value(a, ["3"], "rating", 5)
-    history = actions.History()
-    history.push("rating", change)
+    history = actions.Journal(spark, str(tmp_path / "journal"))
+    history.record("rating", change)
     now = ingest.apply_values(a, change, "rating")
     assert now.where("id = '3'").first().rating == 5
     back = history.undo(now)
