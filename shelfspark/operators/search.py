@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +11,7 @@ from shelfspark import schema as S
 from shelfspark.functions.porter import stem
 from shelfspark.functions.predicates import blank, event_ts, name_of
 from shelfspark.operators.browse import Query, filtered, parse_query
-from shelfspark.sources.work import drop_table, ship, write_table
+from shelfspark.sources.work import ship, write_table
 
 K1, B = 1.2, 0.75
 FIELDS = list(S.BM25_DOCUMENTED)
@@ -98,45 +98,22 @@ def bm25(documents: DataFrame, text: str | None, weights: dict[str, float] | Non
     score = sum over terms of idf * f (k1 + 1) / (f + k1 (1 - b + b len / avg)),
     f the weighted number of hits, len the tokens of all fields, idf =
     ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.  A text without a word finds
-    nothing.  Every document is read, once; what is kept of it are a few numbers.
+    nothing.  Every document is read, once; a few numbers are written of those that
+    hold a term, the others are only counted on the way.
     """
     weights, terms = weights or S.BM25_DOCUMENTED, query_terms(text, porter)
     if not terms:
         return documents.select("asset_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = write_table(_counted(documents, terms, weights, porter), "hits")
-    totals = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    return _scored(rows, totals, len(terms))
+    seen = Observation()
+    counted = _counted(documents, terms, weights, porter).observe(seen, F.count(F.lit(1)).alias("N"), F.sum("len").alias("total"))
+    rows = write_table(counted.where(F.greatest(*[F.col(f"f{i}") for i in range(len(terms))], F.lit(0.0)) > 0), "hits")
+    return _scored(rows, _totals(rows, seen.get["N"], seen.get["total"] or 0, len(terms)), len(terms))
 
 
-def build_index(documents: DataFrame, folder: str, porter: bool = True) -> None:
-    """Postings (term, field, asset_id, n, len), sorted by term, and the corpus totals, below folder.
-
-    Files hold ranges of terms, and row groups have their least and greatest
-    term, so a prefix reads few of them.
-    """
-    toks = tokens(documents, porter)
-    lens = write_table(toks.groupBy("asset_id").agg(F.count(F.lit(1)).alias("len")), "lens")
-    posts = toks.groupBy("term", "field", "asset_id").agg(F.count(F.lit(1)).alias("n")).join(lens, "asset_id")
-    posts.repartitionByRange("term", "asset_id").sortWithinPartitions("term", "asset_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    totals = documents.select("asset_id").join(lens, "asset_id", "left").agg(F.count(F.lit(1)).alias("N"), F.avg(F.coalesce("len", F.lit(0))).alias("avg"))
-    totals.write.mode("overwrite").parquet(f"{folder}/totals")
-    drop_table(lens)
-
-
-def bm25_indexed(spark: SparkSession, folder: str, text: str | None, weights: dict[str, float] | None = None, porter: bool = True) -> DataFrame:
-    """``bm25`` from what ``build_index`` stored; only postings of the query's prefixes are read."""
-    weights, terms = weights or S.BM25_DOCUMENTED, query_terms(text, porter)
-    posts = spark.read.parquet(f"{folder}/postings")
-    if not terms:
-        return posts.select("asset_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))])
-    some = F.lit(False)
-    for t in terms:
-        some = some | F.col("term").startswith(t)
-    hits = [F.sum(F.when(F.col("term").startswith(t), weight[F.col("field")] * F.col("n")).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
-    rows = posts.where(some).groupBy("asset_id").agg(F.first("len").alias("len"), *hits)
-    counts = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    return _scored(rows, spark.read.parquet(f"{folder}/totals").crossJoin(counts), len(terms))
+def _totals(rows: DataFrame, n: int, tokens: int, n_terms: int) -> DataFrame:
+    """One row: N, avg and the documents that each term hits."""
+    hits = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n_terms)])
+    return hits.withColumns({"N": F.lit(n).cast("long"), "avg": F.lit(tokens / n if n else None).cast("double")})
 
 
 def search_text(assets: DataFrame, documents: DataFrame, raw: str, limit: int = 50, offset: int = 0, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from shelfspark import schema as S
 from shelfspark.functions import formats
 from shelfspark.functions import predicates as P
 from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vector_index, vectors
+from shelfspark.operators.search_index import SearchIndex
 from shelfspark.plans.adapter_sql import sql
 from shelfspark.sources.library import AS_OF, Documents, Orders, WholeCaptions
 from shelfspark.sources.work import work_path
@@ -1096,8 +1097,8 @@ def search_box(t):
 @query(Documents, sql(BM25 + "SELECT id, round(score, 6) AS score FROM top WHERE r <= 50", "doc_assets", "asset_text", "asset_captions"))
 def search_indexed(t):
     """The same over postings: written once, then read by the prefixes alone."""
-    folder = work_path(t.spark, "index")
-    search.build_index(_doc_index(t), folder, porter=False)
-    hits = search.bm25_indexed(t.spark, folder, "then ere", porter=False).withColumnRenamed("asset_id", "id")
+    index = SearchIndex(t.spark, work_path(t.spark, "index"), porter=False)
+    index.update(_doc_index(t))
+    hits = index.bm25("then ere").withColumnRenamed("asset_id", "id")
     rows = P.live(t.assets).select("id", P.event_ts().alias("at")).join(hits, "id").orderBy(F.desc("score"), F.desc("at"), "id").limit(50)
     return rows.select("id", F.round("score", 6).alias("score"))

@@ -3,6 +3,7 @@ from oracle import SMALL
 
 from shelfspark.functions.porter import stem
 from shelfspark.operators import search
+from shelfspark.operators.search_index import SearchIndex
 from shelfspark.plans import catalogue
 from shelfspark.sources.library import Documents
 
@@ -22,18 +23,52 @@ def test_stemmed_words_are_found(spark):
         assert {r.asset_id for r in search.bm25(docs, text, porter=True).collect()} == want
 
 
+def scores(df):
+    return {r.asset_id: round(r.score, 9) for r in df.collect()}
+
+
+TEXTS = ("run", "running", "re", "run n", "zzz", "")
+
+
 def test_postings_give_the_scan_s_scores(spark, tmp_path):
     docs = documents(spark)
     for porter in (True, False):
-        folder = f"{tmp_path}/{porter}"
-        search.build_index(docs, folder, porter)
-        for text in ("run", "running", "re", "run n", "zzz", ""):
-            scan = {r.asset_id: round(r.score, 9) for r in search.bm25(docs, text, porter=porter).collect()}
-            assert {r.asset_id: round(r.score, 9) for r in search.bm25_indexed(spark, folder, text, porter=porter).collect()} == scan
-    plan = search.bm25_indexed(spark, folder, "run")._jdf.queryExecution().executedPlan().toString()
+        index = SearchIndex(spark, f"{tmp_path}/{porter}", porter)
+        assert scores(index.bm25("run")) == {}
+        index.update(docs)
+        for text in TEXTS:
+            assert scores(index.bm25(text)) == scores(search.bm25(docs, text, porter=porter))
+    plan = index.bm25("run")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,run)" in plan
 
 
+def test_index_follows_changes(spark, tmp_path):
+    """Updates, removals and merges give the scores of an index that is built anew; old segments are not written again."""
+    docs = documents(spark)
+    index = SearchIndex(spark, str(tmp_path / "i"))
+    index.update(docs)
+    first = index.versions.current()[1]["postings=1"]
+    changed = spark.createDataFrame([("2", "nothing here", ""), ("6", "rerun the run", "runs"), ("3", None, None)], docs.schema)
+    index.update(changed)
+    now = docs.where("asset_id not in ('2', '3')").unionByName(changed)
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(now, text, porter=True))
+    assert index.versions.current()[1]["postings=1"] == first
+    index.remove(spark.createDataFrame([("6",), ("1",), ("nobody",)], "asset_id string"))
+    now = now.where("asset_id not in ('6', '1')")
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(now, text, porter=True))
+    index.update(changed.where("asset_id = '6'"))  # comes back
+    now = now.unionByName(changed.where("asset_id = '6'"))
+    before = {text: scores(search.bm25(now, text, porter=True)) for text in TEXTS}
+    assert {text: scores(index.bm25(text)) for text in TEXTS} == before
+    index.merge()
+    assert len(index._segments()) == 1 and "gone" not in index.versions.current()[1]
+    again = SearchIndex(spark, str(tmp_path / "i"))
+    assert {text: scores(again.bm25(text)) for text in TEXTS} == before
+    assert again.versions.vacuum() > 0 and scores(again.bm25("run")) == before["run"]
+
+
 def test_stemmed_search_box(spark):
     t = Documents(spark, SMALL)
     stemmed, plain = (search.search(t.assets, catalogue._doc_index(t), "then ere", porter=p).count() for p in (True, False))
