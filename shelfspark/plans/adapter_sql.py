@@ -56,7 +56,7 @@ TABLES = {
     "asset_text": """
       SELECT CAST(d.doc_id AS VARCHAR) AS asset_id, text, CASE quality WHEN 1 THEN 0.9::DOUBLE WHEN 0 THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS confidence
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "asset_captions": "SELECT CAST(doc_id AS VARCHAR) AS asset_id, substring(split_part(text, chr(10), 1), 1, 200) AS caption FROM documents",
+    "asset_captions": "SELECT CAST(doc_id AS VARCHAR) AS asset_id, split_part(text, chr(10), 1) AS caption FROM documents",
     "asset_labels": "SELECT CAST(doc_id AS VARCHAR) AS asset_id, lang AS label, 0.9::DOUBLE AS score, 0 AS rank FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), source, 0.4::DOUBLE, 1 FROM documents",
     "asset_embeddings": "SELECT CAST(vec_id AS VARCHAR) AS asset_id, embedding AS vector, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)",
     "word_bands": """

@@ -13,13 +13,12 @@ from shelfspark.functions import predicates as P
 from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vector_index, vectors
 from shelfspark.operators.search_index import SearchIndex
 from shelfspark.plans.adapter_sql import sql
-from shelfspark.sources.library import AS_OF, Documents, Orders, WholeCaptions
+from shelfspark.sources.library import AS_OF, Documents, Orders
 from shelfspark.sources.work import work_path
 from shelfspark.streaming import ingest as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-_made: dict[str, Callable] = {}
 COLS = ", ".join(f"a.{c}" for c in S.ASSET_SUMMARY)
 NEWEST = "ORDER BY a.ev DESC NULLS LAST, a.id LIMIT 500"
 
@@ -28,7 +27,6 @@ def query(kind, oracle: str | None = None):
     """Register a function of the library's tables under its name."""
 
     def keep(f):
-        _made[f.__name__] = f
         _queries[f.__name__] = lambda spark, sf_dir: f(kind(spark, sf_dir))
         if oracle:
             _sql[f.__name__] = oracle
@@ -49,18 +47,6 @@ def listing(where: str, join: str = "", tables: tuple = (), order: str = NEWEST)
     return sql(f"SELECT {COLS} FROM live a {join} WHERE {where} {order}", "live", *tables)
 
 
-class EveryKey(Orders):
-    """The library for queries whose input takes all keys; with Orders they leave some out."""
-
-
-def _whole(name: str, kind, thin: str, full: str) -> None:
-    """Register a query again, as NAME_all, over the tables of another kind, of which its SQL has full instead of thin."""
-    f = _made[name]
-    assert _sql[name].count(thin) == 1
-    _queries[f"{name}_all"] = lambda spark, sf_dir: f(kind(spark, sf_dir))
-    _sql[f"{name}_all"] = _sql[name].replace(thin, full)
-
-
 # -- files -----------------------------------------------------------------
 
 
@@ -431,40 +417,17 @@ def duplicate_summary(t):
     return facets.duplicate_summary(all_duplicates(t))
 
 
-@query(Orders, """WITH r AS (SELECT DISTINCT '/lib/' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '/sub' || (o_orderkey % 5) ELSE '' END AS path FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 3 = 0)
+@query(Orders, """WITH r AS (SELECT DISTINCT '/lib/' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '/sub' || (o_orderkey % 5) ELSE '' END AS path FROM orders)
   SELECT path FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.path, q.path || '/'))""")
 def prune_roots(t):
-    o = t.read("orders")
-    if not isinstance(t, EveryKey):
-        o = o.where("o_orderstatus <> 'P' or o_orderkey % 3 = 0")
-    return duplicates.prune_roots(o.selectExpr("concat('/lib/', o_orderstatus, if(o_orderkey % 3 = 0, concat('/sub', o_orderkey % 5), '')) as path").distinct())
+    return duplicates.prune_roots(t.read("orders").selectExpr("concat('/lib/', o_orderstatus, if(o_orderkey % 3 = 0, concat('/sub', o_orderkey % 5), '')) as path").distinct())
 
 
 # -- vectors and signals ---------------------------------------------------
 
 
-def _query_vector(t) -> list[float]:
-    return list(t.read("embeddings").where("vec_id = 0").select("embedding").first()[0])
-
-
-SCORES = ", s AS (SELECT e.asset_id AS id, list_inner_product(e.vector::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM asset_embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
-
-
-@query(Documents, sql(SCORES + "SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.15 ORDER BY s.score DESC, id LIMIT 50", "asset_embeddings"))
-def semantic_search(t):
-    return vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50, assets=t.assets).withColumn("score", F.round("score", 6))
-
-
-def _vector_index(t):
-    return vector_index.build(t.asset_embeddings, work_path(t.spark, "vectors"))
-
-
-@query(Documents)
-def semantic_ann(t):
-    return vector_index.search(_vector_index(t), _query_vector(t), 50)
-
-
 def _query_vectors(t):
+    """Searches ask with every vector whose id is divisible by 100."""
     return t.read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -473,13 +436,15 @@ EACH = """, s AS (SELECT q.vec_id AS query_id, e.asset_id AS id, list_inner_prod
 
 
 @query(Documents, sql(EACH + "SELECT query_id, id, round(score, 6) AS score FROM each_best WHERE r <= 50", "asset_embeddings"))
-def semantic_search_each(t):
+def semantic_search(t):
     return vectors.search_each(t.asset_embeddings, _query_vectors(t), 50, assets=t.assets).withColumn("score", F.round("score", 6))
 
 
 @query(Documents)
-def semantic_ann_each(t):
-    return vector_index.search_each(_vector_index(t), _query_vectors(t), 50)
+def semantic_ann(t):
+    """Over a stored index of all vectors, which is built first."""
+    index = vector_index.build(t.asset_embeddings, work_path(t.spark, "vectors"))
+    return vector_index.search_each(index, _query_vectors(t), 50)
 
 
 @query(Documents, sql("""SELECT asset_id, 'label_' || lpad(CAST(i AS VARCHAR), 2, '0') AS label, round(p, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
@@ -537,17 +502,9 @@ def search_text(t):
     return search.search_text(t.assets, _doc_index(t), "then ere", 50).withColumn("score", F.round("score", 6))
 
 
-@query(Documents, sql(BM25 + SCORES + """, v AS (SELECT id, score FROM s WHERE score >= 0.15 ORDER BY score DESC, id LIMIT 50),
-  merged AS (SELECT id, min((src, -score)) AS r FROM (SELECT id, 0 AS src, score FROM top WHERE r <= 50 UNION ALL SELECT id, 1, score FROM v) GROUP BY id)
-  SELECT id, CAST(row_number() OVER (ORDER BY r, id) - 1 AS INTEGER) AS pos FROM merged QUALIFY row_number() OVER (ORDER BY r, id) <= 50""", "doc_assets", "asset_text", "asset_captions", "asset_embeddings"))
-def blended_search(t):
-    text = search.search_text(t.assets, _doc_index(t), "then ere", 50)
-    return search.blended(text, vectors.semantic_search(t.asset_embeddings, _query_vector(t), 50), 50)
-
-
 @query(Documents, sql(BM25 + EACH + """, merged AS (SELECT query_id, id, min((src, -score)) AS r FROM (SELECT query_id, top.id, 0 AS src, top.score FROM top, (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) WHERE top.r <= 50 UNION ALL SELECT query_id, id, 1, score FROM each_best WHERE r <= 50) GROUP BY query_id, id)
   SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r, id) - 1 AS INTEGER) AS pos FROM merged QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r, id) <= 50""", "doc_assets", "asset_text", "asset_captions", "asset_embeddings"))
-def blended_search_each(t):
+def blended_search(t):
     text = search.search_text(t.assets, _doc_index(t), "then ere", 50)
     return search.blended_each(text, vectors.search_each(t.asset_embeddings, _query_vectors(t), 50), _query_vectors(t).select("query_id"), 50)
 
@@ -567,7 +524,7 @@ PAST = f"ev >= TIMESTAMP '{AS_OF}' - INTERVAL 1095 DAY AND ev < TIMESTAMP '{AS_O
 DAY, THIS_YEAR = "03-17", 2001
 ON_DAY = f"strftime(ev, '%m-%d') = '{DAY}' AND year(ev) < {THIS_YEAR}"
 # greedy runs: from each day the longest span of up to four days, then the jump past an accepted one
-RUNS = """, days AS (SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live WHERE rating = 5 GROUP BY 1),
+RUNS = """, days AS (SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live GROUP BY 1),
   isl AS (SELECT day, n, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM days),
   pos AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY day) AS i, count(*) OVER (PARTITION BY island) AS size FROM isl),
   span AS (SELECT p.island, p.i, p.size, p.day AS start_day, max(q.day) AS end_day, max(q.i) AS j, CAST(sum(q.n) AS BIGINT) AS total, bool_or(dayofweek(q.day) IN (0, 6)) AS weekend FROM pos p JOIN pos q ON q.island = p.island AND q.i BETWEEN p.i AND p.i + 3 GROUP BY 1, 2, 3, 4),
@@ -576,13 +533,8 @@ RUNS = """, days AS (SELECT CAST(ev AS DATE) AS day, count(*) AS n FROM live WHE
   runs AS (SELECT start_day, end_day, total FROM walk WHERE good)"""
 
 
-class EveryRating(Orders):
-    """The library whose runs are over all live assets; those of Orders are over the ones of rating 5, which leaves gaps between days."""
-
-
 def _runs(t):
-    taken = P.live(t.assets) if isinstance(t, EveryRating) else P.live(t.assets).where("rating = 5")
-    return memories.weekend_runs(taken.groupBy(F.to_date(P.event_ts()).alias("day")).agg(F.count(F.lit(1)).alias("n")))
+    return memories.weekend_runs(P.live(t.assets).groupBy(F.to_date(P.event_ts()).alias("day")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(Orders, sql(f"SELECT id, {RANK} AS rank_score FROM live ORDER BY {RANK} DESC, ev DESC, id LIMIT 200", "live"))
@@ -685,13 +637,6 @@ def prose_cache(t):
     return feed.select("id", memories.prompt_hash(text).alias("input_hash"))
 
 
-_made["memories"] = _made.pop("memory_feed")
-
-
-for _name in ("weekend_runs", "weekend_assets", "dominant_place", "memories", "memory_insight", "prose_cache"):
-    _whole(_name, EveryRating, "FROM live WHERE rating = 5 GROUP", "FROM live GROUP")
-for _name in ("search_text", "blended_search", "memory_quote"):
-    _whole(_name, WholeCaptions, "substring(split_part(text, chr(10), 1), 1, 200) AS caption", "split_part(text, chr(10), 1) AS caption")
 
 
 @query(Documents)
@@ -767,24 +712,19 @@ def geo_label(t):
 
 
 def _new_files(t):
-    """Half of the catalogue (all of it for EveryKey) as found again, every third of these changed, and some new ones."""
+    """The catalogue as found again, every third of it changed, and some new ones."""
     k = F.col("id").cast("long")
-    base = t.assets if isinstance(t, EveryKey) else t.assets.where(k % 2 == 0)
     path = F.when(k % 10 == 4, F.concat(F.lit("/new"), "path")).otherwise(F.col("path"))
-    return base.select(path.alias("path"), F.when(k % 3 == 0, F.sha2(F.concat(F.lit("v2"), "id"), 256)).otherwise(F.col("hash")).alias("hash"), "media_type", (F.col("file_size") + 1).alias("file_size"), "created_at")
+    return t.assets.select(path.alias("path"), F.when(k % 3 == 0, F.sha2(F.concat(F.lit("v2"), "id"), 256)).otherwise(F.col("hash")).alias("hash"), "media_type", (F.col("file_size") + 1).alias("file_size"), "created_at")
 
 
 @query(Orders, sql("""SELECT CASE WHEN k % 10 = 4 THEN 'inserted' WHEN k % 3 = 0 THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS n, count(*) FILTER (deleted_at IS NOT NULL AND NOT (k % 10 <> 4 AND k % 3 = 0) AND k % 10 <> 4) AS in_trash
-  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM assets) WHERE k % 2 = 0 GROUP BY 1""", "assets"))
+  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM assets) GROUP BY 1""", "assets"))
 def upsert_assets(t):
     out = ingest.upsert(t.assets, _new_files(t), AS_OF).where("outcome is not null")
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deleted_at").isNotNull()).alias("in_trash"))
 
 
-_whole("upsert_assets", EveryKey, "WHERE k % 2 = 0 GROUP BY 1", "GROUP BY 1")
-_whole("prune_roots", EveryKey, " WHERE o_orderstatus <> 'P' OR o_orderkey % 3 = 0)", ")")
-
-
 @query(Orders, sql(f"SELECT id, path, thumbnail_path FROM assets WHERE deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY", "assets"))
 def retention_purge(t):
     return ingest.purge(t.assets, AS_OF)
@@ -1041,36 +981,35 @@ def memory_cache(t):
     return memories.cached_cards(cards, folder).crossJoin(memories.cache_state(built, dirty, "2001-08-02"))
 
 
-PROSE = ["A warm day by the lake.", "  \"A warm day by the lake.\" \n", "\tSentence: Friends at the harbour again.", "short", "I'm sorry, I cannot do that here.", "Summer in Rome", "As an AI I would not say.", "\u00a0Memory: All of us in the old garden\u2003", "Summary: tiny", "x" * 281]
-_CLEAN = ["A warm day by the lake.", "A warm day by the lake.", "Friends at the harbour again.", None, None, None, None, "All of us in the old garden", None, None]
+_RAW = """CASE CAST(asset_id AS BIGINT) % 6 WHEN 0 THEN '  "' || caption || '" ' || chr(10) WHEN 1 THEN chr(9) || 'Sentence: ' || caption WHEN 2 THEN 'I''m sorry, ' || caption WHEN 3 THEN left(caption, 15) WHEN 4 THEN 'Summary: ' || left(caption, 40) ELSE caption END"""
 
 
-@query(Orders, "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, c in enumerate(_CLEAN)) + ") AS v(i, line)")
+@query(Documents, sql(f""", raw AS (SELECT asset_id, trim(trim(trim({_RAW}, ' ' || chr(9) || chr(10)), '"'), ' ' || chr(9) || chr(10)) AS t, left(caption, 15) AS title FROM asset_captions),
+  cut AS (SELECT *, trim(regexp_replace(t, '^(Sentence:|Memory:|Summary:)', ''), ' ' || chr(9) || chr(10)) AS c,
+    list_bool_or(list_transform(['i''m sorry', 'i cannot', 'i can''t', 'as an ai', 'ethical', 'against', '<pad>', '<unk>'], lambda w: contains(lower(t), w))) AS bad FROM raw)
+  SELECT asset_id, CASE WHEN octet_length(encode(t)) BETWEEN 12 AND 280 AND NOT bad AND lower(t) <> lower(title) AND octet_length(encode(c)) >= 12 THEN c END AS line FROM cut""", "asset_captions"))
 def prose_sanitised(t):
-    rows = t.spark.createDataFrame(list(enumerate(PROSE)), "i int, raw string")
-    return rows.select("i", memories.sanitised(F.col("raw"), F.lit("Summer in Rome"), F.lit("3 photos")).alias("line"))
-
-
-#: (kind, place, person, subtitle, quote, prose, line): every branch; blank counts as missing.
-_INSIGHTS = [
-    ("weekend", "Rome", None, "May 2 · 9 photos", None, None, "A weekend in Rome, May 2."),
-    ("weekend", "Rome", None, "9 photos", None, None, "A weekend spent in Rome."),
-    ("weekend", " ", None, "May 2 · 9 photos", "", None, "A weekend trip from May 2."),
-    ("weekend", None, None, "9 photos", None, " ", "A short trip worth remembering."),
-    ("on_this_day", "Rome", None, "x", None, None, "Looking back at this day across the years."),
-    ("person_place", "Rome", "Ada", "x", None, None, "Moments with Ada in Rome."),
-    ("person_place", "Rome", None, "x", None, None, "People and places that matter."),
-    ("weekend", "Rome", None, "x", "the sea", None, "In Rome: “the sea”"),
-    ("person_place", "Rome", "Ada", "x", "the sea", None, "Ada in Rome — “the sea”"),
-    ("on_this_day", None, None, "x", " the sea ", None, "“the sea”"),
-    ("weekend", "Rome", "Ada", "x", "the sea", " Prose wins. ", "Prose wins."),
-]
-
-
-@query(Orders, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r[-1]}')" for i, r in enumerate(_INSIGHTS)) + ") AS v(i, line)")
+    """Lines as a model might give them, made of the captions: quoted, labelled, refused, echoed, too short or too long."""
+    raw = F.expr(_RAW.replace("AS BIGINT", "AS LONG").replace("''", "\\'"))
+    return t.asset_captions.select("asset_id", memories.sanitised(raw, F.left("caption", F.lit(15)), F.lit("3 photos")).alias("line"))
+
+
+_CARD = """SELECT asset_id, CASE k % 3 WHEN 0 THEN 'weekend' WHEN 1 THEN 'on_this_day' ELSE 'person_place' END AS kind, CASE WHEN k % 5 > 0 THEN label END AS place, CASE WHEN k % 7 > 2 THEN 'Ada' END AS person,
+  CASE WHEN k % 2 = 0 THEN 'May 2 · 9 photos' ELSE '9 photos' END AS subtitle, CASE k % 4 WHEN 0 THEN ' the sea ' WHEN 1 THEN ' ' END AS quote, CASE k % 11 WHEN 0 THEN ' Prose wins. ' WHEN 1 THEN ' ' END AS prose
+  FROM (SELECT asset_id, label, CAST(asset_id AS BIGINT) AS k FROM asset_labels WHERE rank = 1)"""
+
+
+@query(Documents, sql(f""", card AS ({_CARD}),
+  told AS (SELECT *, CASE WHEN kind = 'weekend' AND place IS NOT NULL THEN 'In ' || place || ': ' WHEN kind = 'person_place' AND person IS NOT NULL AND place IS NOT NULL THEN person || ' in ' || place || ' — ' ELSE '' END || '“the sea”' AS quoted,
+    CASE WHEN subtitle LIKE 'May%' THEN 'May 2' END AS day FROM card)
+  SELECT asset_id, CASE WHEN trim(prose) <> '' THEN trim(prose) WHEN trim(quote) <> '' THEN quoted
+    WHEN kind = 'weekend' THEN CASE WHEN place IS NOT NULL AND day IS NOT NULL THEN 'A weekend in ' || place || ', ' || day || '.' WHEN place IS NOT NULL THEN 'A weekend spent in ' || place || '.' WHEN day IS NOT NULL THEN 'A weekend trip from ' || day || '.' ELSE 'A short trip worth remembering.' END
+    WHEN kind = 'on_this_day' THEN 'Looking back at this day across the years.'
+    WHEN person IS NOT NULL AND place IS NOT NULL THEN 'Moments with ' || person || ' in ' || place || '.' ELSE 'People and places that matter.' END AS line FROM told""", "asset_labels"))
 def insight_branches(t):
-    rows = t.spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(_INSIGHTS)], "i int, kind string, place string, person string, subtitle string, quote string, prose string")
-    return rows.select("i", memories.insight(*[F.col(c) for c in ("kind", "place", "person", "subtitle", "quote", "prose")]).alias("line"))
+    """Cards of every kind for the labels' places: all branches of the insight."""
+    cards = t.spark.sql(_CARD.replace("asset_labels", "{labels}"), labels=t.asset_labels)
+    return cards.select("asset_id", memories.insight(*[F.col(c) for c in ("kind", "place", "person", "subtitle", "quote", "prose")]).alias("line"))
 
 
 # -- search box and stored postings ----------------------------------------

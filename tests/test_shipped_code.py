@@ -22,7 +22,7 @@ assert search.bm25(docs, "river", porter=True).count() == 1
 print("ran stems")
 """
 
-NAMES = ["face_clusters", "weekend_runs", "semantic_ann_each", "diversify"]
+NAMES = ["face_clusters", "weekend_runs", "semantic_ann", "diversify"]
 
 
 def test_each_query_brings_its_code(tmp_path):

@@ -6,7 +6,7 @@ from test_operators import frame
 
 from shelfspark.operators import memories, vectors
 from shelfspark.plans import catalogue
-from shelfspark.sources.library import WholeCaptions
+from shelfspark.sources.library import Documents
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -15,13 +15,13 @@ def test_runs_count_every_rating(spark):
     # Thu-Fri-Sat of any rating; a gap; Sat-Sun too few; a gap; five days in a row, cut after four; one in the trash
     days = ["2024-06-06", "2024-06-07", "2024-06-08"] * 2 + ["2024-06-15", "2024-06-16"] + ["2024-06-21", "2024-06-22", "2024-06-23", "2024-06-24", "2024-06-25"] * 2
     rows = [{"id": str(i), "captured_at": d, "rating": i % 5} for i, d in enumerate(days)]
-    t = catalogue.EveryRating(spark, "")
+    t = catalogue.Orders(spark, "")
     t.assets = frame(spark, rows + [{"id": "gone", "captured_at": "2024-06-15", "rating": 5, "deleted_at": "2024-07-01"}])
     runs = [(str(r.start_day), str(r.end_day), r.total) for r in catalogue._runs(t).orderBy("start_day").collect()]
     assert runs == [("2024-06-06", "2024-06-08", 6), ("2024-06-21", "2024-06-24", 8)]
 
 
-@pytest.mark.parametrize("name", ["weekend_runs_all", "weekend_assets_all"])
+@pytest.mark.parametrize("name", ["weekend_runs", "weekend_assets"])
 def test_runs_of_every_rating_equal_sql(spark, name):
     con = oracle.connect(MEDIUM)
     assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
@@ -29,12 +29,12 @@ def test_runs_of_every_rating_equal_sql(spark, name):
 
 def test_captions_are_whole_first_lines(spark):
     con = oracle.connect(MEDIUM)
-    assert max(len(r.caption) for r in WholeCaptions(spark, MEDIUM).asset_captions.collect()) > 200
-    for name in ("search_text_all", "blended_search_all"):
+    assert max(len(r.caption) for r in Documents(spark, MEDIUM).asset_captions.collect()) > 200
+    for name in ("search_text", "memory_quote"):
         assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["semantic_search_each", "blended_search_each"])
+@pytest.mark.parametrize("name", ["semantic_search", "blended_search"])
 def test_every_query_equals_sql(spark, name):
     con, got = oracle.connect(MEDIUM), catalogue.queries()[name](spark, MEDIUM)
     assert oracle.difference(got, con, catalogue.oracle_sql()[name]) == ""
@@ -52,9 +52,9 @@ def test_search_each_equals_single_searches(spark):
 
 def test_every_key_is_taken(spark):
     con, orders = oracle.connect(MEDIUM), spark.read.parquet(f"{MEDIUM}/orders.parquet").count()
-    for name in ("upsert_assets_all", "prune_roots_all"):
+    for name in ("upsert_assets", "prune_roots"):
         assert oracle.difference(catalogue.queries()[name](spark, MEDIUM), con, catalogue.oracle_sql()[name]) == ""
-    assert sum(r.n for r in catalogue.queries()["upsert_assets_all"](spark, MEDIUM).collect()) == orders
+    assert sum(r.n for r in catalogue.queries()["upsert_assets"](spark, MEDIUM).collect()) == orders
 
 
 def test_diversify_takes_the_whole_group(spark):
