@@ -15,8 +15,8 @@ order.  Files have names of their own for each attempt of a task, and only the
 index rows of a finished attempt count; a lost executor leaves a file that
 nothing points to.
 
-Defined results.  A null text is empty: the end id alone.  Null doc_ids come
-first.  Rows of one doc_id follow each other in the order of a hash of their
+Defined results.  A null text is empty: the end id alone.  doc_id must be a whole
+number or its text; another one fails.  Null doc_ids come first.  Rows of one doc_id follow each other in the order of a hash of their
 texts.  No rows: an index without rows and no files.
 """
 

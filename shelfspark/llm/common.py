@@ -58,8 +58,18 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, or a work table of it if it comes out of a shuffle.
+
+    A task that is tried again after a shuffle may meet its rows in another
+    order; from files it meets them as before, so that what goes by a row's
+    place is the same again.
+    """
+    return write_table(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def dealt(n_chunks: int) -> Column:
-    """The chunk of a row: by doc_id, text and the row's place in its partition, so that repeated rows are dealt apart."""
+    """The chunk of a row of a ``settled`` frame: by doc_id, text and the row's place in its partition, so that repeated rows are dealt apart."""
     return F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_chunks))
 
 

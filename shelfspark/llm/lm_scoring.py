@@ -10,7 +10,7 @@ with h' the history h without its first token.  The prior weight m(h) follows
 the history's count as the number of its continuations does (Heaps' law), so a
 frequent history keeps mass for what it has not been followed by.
 
-which a backoff automaton represents exactly.  States are the histories seen
+A backoff automaton represents this model exactly.  States are the histories seen
 in training, shorter than ORDER; a state h has an arc for each w with
 c(hw) > 0, weighted log10 p(w | h), and a failure arc to its longest proper
 suffix, weighted log10(m(h) / (c(h) + m(h))).  The empty history has an arc for
@@ -28,7 +28,7 @@ Words are told apart by 56 bits of a hash within a bucket of about two million
 
 Defined results.  Tokens are runs of characters other than ASCII white space,
 A-Z lower-cased, then one end token.  A null text is empty: the end token
-alone.  A null doc_id counts as an empty string in the training rule.  Repeated
+alone.  doc_id must be a whole number or its text.  A null doc_id counts as an empty string in the training rule.  Repeated
 rows are trained on and scored each.  No rows: no rows.  If nothing is in the
 training part, N and V are 0.
 """
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, dealt, groups_for, keep_only, lookup, mix, ship, sums, text_size, tidy, word_space
+from shelfspark.llm.common import CHUNK_BYTES, HASHES, RELAY, WIDE_BITS, Space, answered, asked, asked_schema, bits_for, dealt, groups_for, keep_only, lookup, mix, settled, ship, sums, text_size, tidy, word_space
 
 ORDER = 3
 MU = {2: (4.0, 0.85), 3: (1.0, 0.85)}  # order: (scale, power)
@@ -202,12 +202,12 @@ def _score(spaces: list[Space], mu: dict):
 def score_documents(docs: DataFrame, train: Column, order: int = ORDER, mu: dict | None = None, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE_BITS, relay: int = RELAY) -> DataFrame:
     """One row for each row of docs(doc_id, text); train is true for rows to learn from."""
     ship(docs.sparkSession)
+    docs = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train")))
     rows, size = text_size(docs)
     size += rows
     bits = [bits_for(size // (6 * (4 if k == 1 else 1)), BUCKET_KEYS) for k in range(1, order + 1)]
     spaces = [word_space(bits[0], wide), *(Space(b, wide=wide) for b in bits[1:])]
-    learn = F.coalesce(train, F.lit(True))
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("train"), dealt(groups_for(size, chunk_bytes)).alias("chunk"))
+    chunks = docs.select("doc_id", "text", "train", dealt(groups_for(size, chunk_bytes)).alias("chunk"))
     asks = chunks.groupBy("chunk").applyInArrow(_ask(spaces), asked_schema(1))
     answers, fine = lookup(asks, spaces, 1, relay)
     # the exchange of what is asked serves both: N and V are one row that goes with every answer

@@ -10,8 +10,8 @@ the same fill is repeated while its lengths last.  Pieces then get a rank
 within their length (counted in salted groups, so that a length which a third
 of all pieces share is no single task) and find their place by it.
 
-Defined results.  A null text is empty: the end id alone.  Repeated rows and
-null ids are packed each.  No rows: no rows.  An empty corpus makes no sequence.
+Defined results.  A null text is empty: the end id alone.  doc_id must be a whole
+number or its text; another one fails.  Repeated rows and null ids are packed each.  No rows: no rows.  An empty corpus makes no sequence.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ document holds crosses the network once a chunk.
 
 Defined results.  A null text is empty: 0 bytes, 0 tokens.  A special string in
 a text is one token, as the tokenizers library has it by default.  Repeated
-rows and null ids give a row each.  For a sentencepiece model a pre-token is a
+rows and null ids give a row each; doc_id must be a whole number or its text.
+JSON tokenizers are counted if they cut by GPT-2's pattern without a normalizer,
+or at white space after one; others are refused.  For a sentencepiece model a pre-token is a
 run of characters other than spaces, with one space before it; texts with
 other white space or control characters, or spaces at an end or in a row, are
 handed to the library as one pre-token, for its normalizer may change them.
@@ -16,6 +18,7 @@ handed to the library as one pre-token, for its normalizer may change them.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import CACHES, CHUNK_BYTES, RELAY, WIDE_BITS, bits_for, dealt, groups_for, keep_only, pack_counts, ship, text_size, tidy, unpack_counts
+from shelfspark.llm.common import CACHES, CHUNK_BYTES, RELAY, WIDE_BITS, bits_for, dealt, groups_for, keep_only, pack_counts, settled, ship, text_size, tidy, unpack_counts
 from shelfspark.llm.tokenizer_cache import load, tokenizer_path
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +52,13 @@ def _tools(name: str):
         strip = lambda p: p[1:] if p[:1] == "▁" and not odd.search(p) else p
         return cut, lambda ps: [len(x) for x in model.encode([strip(p) for p in ps], num_threads=1)]
     t = load(name)
+    kind = json.loads(t.to_str())["pre_tokenizer"] or {}
+    if t.normalizer is None:
+        known = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    else:
+        known = bool(kind) and len(t.pre_tokenizer.pre_tokenize_str("a b\tc")) == 3
+    if not known:
+        raise ValueError(f"{name} cuts texts in a way that is not counted here: {kind.get('type')}")
     find = regex.compile(PATTERN if t.normalizer is None else BY_SPACES).findall
     special = [a.content for a in t.get_added_tokens_decoder().values()]
     at = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -210,9 +220,10 @@ def _sum(name: str, bits: int, limit: int):
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk_bytes: int = 2 * CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, wide: int = WIDE_BITS, relay: int = RELAY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
+    docs = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     _, size = text_size(docs)
     bits = bits_for(size // 6, bucket_bytes)
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", dealt(groups_for(size, chunk_bytes)).alias("chunk"))
+    chunks = docs.select("doc_id", "text", dealt(groups_for(size, chunk_bytes)).alias("chunk"))
     asks = chunks.groupBy("chunk").applyInArrow(_ask(tokenizer, min(bits, wide)), ASKED)
     answers = _lookup(asks, tokenizer, bits, wide, relay)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum(tokenizer, min(bits, wide), limit), COUNTS)

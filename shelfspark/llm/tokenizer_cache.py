@@ -1,16 +1,18 @@
 """Tokenizers by name or path, and cached ids of text pieces on the executors.
 
-A text is cut before each single space that follows a character other than
-white space.  Neither tokenizer kind here has a token or pre-token across such
-a place (a pre-token holds white space only at its front, or is white space
-alone), so ids of the pieces, joined, are the ids of the text.  Texts whose
-words come again and again then cost a look-up a word.
+A text is cut before each single space, and before each run of line feeds, that
+follows a character other than white space.  Neither tokenizer kind here has a
+token or pre-token across such a place (a pre-token holds white space only at
+its front, or is white space alone), so ids of the pieces, joined, are the ids
+of the text.  Texts whose words come again and again then cost a look-up a word.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -19,7 +21,21 @@ from shelfspark.llm.common import CACHES
 CACHE_ENTRIES = 200_000  # in each of two generations
 LONG_PIECE = 4096
 _SIGNS = ".,;:!?"
-_WHITE_THEN_SPACE = re.compile(r"\s ")
+_WHITE_AND_SPACE = re.compile(r"\s | \s")
+_LINE_END = re.compile(r"(?<=\S)\n")
+_RARE_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _cuttable(text: str) -> bool:
+    """Whether each of the text's spaces has no other white space beside it."""
+    if "  " in text or "\n " in text or " \n" in text:
+        return False
+    return (text.isascii() and not any(c in text for c in _RARE_WHITE)) or not _WHITE_AND_SPACE.search(text)
+
+
+def _pieces_of(text: str) -> list[str]:
+    """The text cut at spaces and before line ends; a piece of its own that has no space before it begins with a line feed."""
+    return (_LINE_END.sub(" \n", text) if "\n\n" in text or not text.isascii() else text.replace("\n", " \n")).split(" ")
 
 _open: dict[str, object] = {}
 CACHES["tokenizers"] = _open.clear
@@ -56,9 +72,10 @@ class PieceIds:
 
     def __init__(self, name: str, dtype=np.uint32):
         self.tokenizer, self.dtype = load(name), np.dtype(dtype).newbyteorder("<")
-        self.new: dict[str, bytes] = {}  # a piece without the space before it
+        self.new: dict[str, bytes] = {}  # a piece without the space before it; one with a line feed first has none
         self.old: dict[str, bytes] = {}
         self.letters = byte_letters()
+        self.model, self.code = self.tokenizer.model, {2: "H", 4: "I"}[self.dtype.itemsize]
         self.spaced = self.tokenizer.normalizer is None  # a pre-token holds the space before it
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -69,12 +86,20 @@ class PieceIds:
 
         None if the normalizer leaves more than letters.
         """
-        if not self.spaced:
-            word = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        plain = word.isascii()  # such letters stand for themselves
+        if self.spaced:
+            text = self.letters[32] + word if plain else (" " + word).encode().decode("latin-1").translate(self.letters)
+        elif plain:
+            text = word.lower()
+        else:
+            word = self.tokenizer.normalizer.normalize_str(word)
             if not word.isalpha():
                 return None
-        text = (" " + word if self.spaced else word).encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], dtype=self.dtype).tobytes()
+            text = word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(text)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _letters_and_signs(self, pieces: set[str]) -> dict[str, bytes]:
         """Those pieces that are letters and then signs: two pre-tokens at most."""
@@ -85,7 +110,8 @@ class PieceIds:
             if not word.isalpha():
                 continue
             low = word.lower() if word.isascii() and not self.spaced else word  # the normalizer lower-cases
-            ids = out.get(low) or self.new.get(low) or self._word(low)
+            known = self.new.get(low) if self.spaced or low.isascii() else None  # the normalizer may leave more than letters
+            ids = out.get(low) or known or self._word(low)
             if ids is None:
                 continue
             out[low] = out[word] = ids
@@ -108,22 +134,25 @@ class PieceIds:
         rest = list(missing.difference(words))
         for i in range(0, len(rest), 20_000):
             some = rest[i : i + 20_000]
-            self.new.update(zip(some, self._encode([" " + p for p in some])))
+            self.new.update(zip(some, self._encode([p if p[:1] == "\n" else " " + p for p in some])))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         cut: list[list[str] | None] = []
         need: set[str] = set()
         for t in texts:
-            parts = (t or "").split(" ")
-            if len(parts) > 1 and (_WHITE_THEN_SPACE.search(t) or max(map(len, parts)) > LONG_PIECE):
-                cut.append(None)  # cut elsewhere: the whole text goes to the library
+            if not t or not _cuttable(t):
+                cut.append(None)  # no piece begins for sure at a space: the whole text goes to the library
+                continue
+            parts = _pieces_of(t)
+            if max(map(len, parts)) > LONG_PIECE:
+                cut.append(None)
                 continue
             cut.append(parts)
             need.update(parts[1:])
         self._learn(need)
         get = self.new.__getitem__
         # the first piece of a text has no space before it
-        heads = iter(self._encode([p[0] if p else t for p, t in zip(cut, texts)]))
+        heads = iter(self._encode([p[0] if p else t or "" for p, t in zip(cut, texts)]))
         return [next(heads) + (b"".join(map(get, p[1:])) if p else b"") for p in cut]
 
 

@@ -16,6 +16,8 @@ ODD = ["", " ", "  a  b ", "a\n b\n\n c", "x\u00a0 y", " lead", "tail ", "tab\t
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_cached_pieces_are_the_library_s_ids(name, rng):
     texts = ODD + [sentence(rng, 50) for _ in range(20)] + ["".join(rng.choice(" \n\tab.\u3000é'") for _ in range(60)) for _ in range(200)]
+    signs = ["a", "B", "é", "ß", "İ", "ﬁ", "Ж", "中", "٣", "\u0301", "K", "'s", "x,", "!", "?!", "\n", "\n\n", "\t", "Straße", "ΑΣ", "ﷺ", "1"]
+    texts += [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     want = [e.ids for e in load(name).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in piece_ids(name).of(texts)] == want
