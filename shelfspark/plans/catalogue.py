@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from shelfspark import schema as S
 from shelfspark.functions import formats
 from shelfspark.functions import predicates as P
+from shelfspark.functions.actions import Journal
 from shelfspark.operators import browse, duplicates, edits, facets, geo, ingest, memories, people, search, vector_index, vectors
+from shelfspark.operators.card_store import CardStore
 from shelfspark.operators.search_index import SearchIndex
 from shelfspark.plans.adapter_sql import sql
+from shelfspark.sources import files
+from shelfspark.sources.catalogue import Catalogue, month_of
 from shelfspark.sources.library import AS_OF, Documents, Orders
-from shelfspark.sources.work import work_path
+from shelfspark.sources.versions import Versions
+from shelfspark.sources.work import work_path, write_table
 from shelfspark.streaming import ingest as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1041,3 +1046,67 @@ def search_indexed(t):
     hits = index.bm25("then ere").withColumnRenamed("asset_id", "id")
     rows = P.live(t.assets).select("id", P.event_ts().alias("at")).join(hits, "id").orderBy(F.desc("score"), F.desc("at"), "id").limit(50)
     return rows.select("id", F.round("score", 6).alias("score"))
+
+
+# -- what is kept in versions ----------------------------------------------
+
+@query(Orders, sql("""SELECT month, count(*) AS n, count(*) FILTER (taken) AS taken, count(*) FILTER (trash) AS in_trash FROM (
+    SELECT strftime(coalesce(captured_at, created_at), '%Y-%m') AS month, k % 10 <> 4 AND k % 3 = 0 AS taken, deleted_at IS NOT NULL AND NOT (k % 10 <> 4 AND k % 3 = 0) AS trash FROM (SELECT *, CAST(id AS BIGINT) AS k FROM assets)
+    UNION ALL SELECT strftime(created_at, '%Y-%m'), true, false FROM assets WHERE CAST(id AS BIGINT) % 10 = 4) GROUP BY month""", "assets"))
+def catalogue_upserted(t):
+    """The catalogue in months, after files have been taken in."""
+    c = Catalogue(t.spark, work_path(t.spark, "catalogue"), t.assets.schema)
+    c.create(t.assets)
+    later = "2030-01-01"
+    c.upsert(_new_files(t), later)
+    taken = F.col("indexed_at") == F.lit(later).cast("timestamp_ntz")
+    month = month_of(F.col("captured_at"), F.col("created_at"))
+    return c.read().groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_if(taken).alias("taken"), F.count_if(F.col("deleted_at").isNotNull()).alias("in_trash"))
+
+
+@query(Orders, sql("""SELECT id, CASE WHEN k % 2 = 0 THEN 4 ELSE rating END AS rating, k % 3 = 0 OR favorite AS favorite FROM (SELECT *, CAST(id AS BIGINT) AS k FROM live)""", "live"))
+def journal_replayed(t):
+    """Ratings and favourites after three changes of which the last two are undone and one is done again, read from a journal each time."""
+    folder = work_path(t.spark, "journal")
+    k, assets = F.col("id").cast("long"), P.live(t.assets)
+    for column, some, value in (("rating", k % 2 == 0, F.lit(4).cast("long")), ("favorite", k % 3 == 0, F.lit(True)), ("rating", k % 5 == 0, F.lit(1).cast("long"))):
+        change = write_table(assets.where(some).select("id", F.col(column).alias("before"), value.alias("after")), "change")
+        Journal(t.spark, folder).record(column, change, needs="live")
+        assets = ingest.apply_values(assets, change, column)
+    for step in ("undo", "undo", "redo"):
+        assets = getattr(Journal(t.spark, folder), step)(assets)
+    return assets.select("id", "rating", "favorite")
+
+
+@query(Orders, sql("SELECT id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'missing' ELSE 'exported' END AS status FROM live WHERE favorite", "live"))
+def export_statuses(t):
+    """An export of the favourites, trash left out, as it stands in its version; every fifth file is not there."""
+    folder = work_path(t.spark, "export")
+    there = t.assets.where(F.col("id").cast("long") % 5 != 0).select("path")
+    files.export_to(files.export_manifest(t.assets, t.assets.where("favorite").select("id"), there), folder)
+    return Versions(t.spark, folder).read("id string, path string, status string").select("id", "status")
+
+
+@query(Orders, sql(RUNS.replace("FROM live GROUP", "FROM live WHERE CAST(id AS BIGINT) % 7 > 0 GROUP") + """ SELECT 'weekend:' || strftime(start_day, '%Y-%m-%d') AS id, total AS asset_count FROM runs ORDER BY total DESC, start_day DESC LIMIT 12""", "live", recursive=True))
+def weekend_cards_refreshed(t):
+    """Cards built over the catalogue in months, then refreshed for the days on which assets went to the trash."""
+    c = Catalogue(t.spark, work_path(t.spark, "catalogue"), t.assets.schema)
+    c.create(t.assets)
+    store = CardStore(c, work_path(t.spark, "cards"))
+    store.rebuild(t.asset_places)
+    gone = P.live(t.assets).where(F.col("id").cast("long") % 7 == 0)
+    c.soft_delete(gone.select("id"), AS_OF)
+    store.refresh(gone.select(F.to_date(P.event_ts()).alias("day")), t.asset_places)
+    return store.cards().select("id", "asset_count")
+
+
+@query(Documents, sql(BM25 + "SELECT id, round(score, 6) AS score FROM top WHERE r <= 50", "doc_assets", "asset_text", "asset_captions"))
+def search_updated(t):
+    """Stored postings of file names alone, of which every document is then replaced by itself with its texts, and merged."""
+    index, docs = SearchIndex(t.spark, work_path(t.spark, "index"), porter=False), _doc_index(t)
+    index.update(docs.select("asset_id", "filename"))
+    index.update(docs)
+    index.merge()
+    hits = index.bm25("then ere").withColumnRenamed("asset_id", "id")
+    rows = P.live(t.assets).select("id", P.event_ts().alias("at")).join(hits, "id").orderBy(F.desc("score"), F.desc("at"), "id").limit(50)
+    return rows.select("id", F.round("score", 6).alias("score"))
