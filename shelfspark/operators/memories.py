@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from string import Formatter
 
 import numpy as np
 import pandas as pd
@@ -219,28 +220,33 @@ def cached_cards(like: DataFrame, folder: str) -> DataFrame:
     return like.sparkSession.read.parquet(found[-1]).drop("built_on") if found else like.where(F.lit(False))
 
 
+# Sentences of memory cards, by kind (None: any); the first that has all it names is taken.
+SENTENCES = [
+    (None, "{prose}"),
+    ("weekend", "In {place}: “{quote}”"),
+    ("person_place", "{person} in {place} — “{quote}”"),
+    (None, "“{quote}”"),
+    ("weekend", "A weekend in {place}, {when}."),
+    ("weekend", "A weekend spent in {place}."),
+    ("weekend", "A weekend trip from {when}."),
+    ("weekend", "A short trip worth remembering."),
+    ("on_this_day", "Looking back at this day across the years."),
+    (None, "Moments with {person} in {place}."),
+    (None, "People and places that matter."),
+]
+
+
 def insight(kind: Column, place: Column, person: Column, subtitle: Column, quote: Column, prose: Column) -> Column:
-    """Prose, else the quote in its setting, else a template."""
+    """A card's sentence: prose, else the quote in its setting, else one of its kind; blank is missing."""
     some = lambda c: F.when(~blank(c), F.trim(c))
-    place, person, quote = some(place), some(person), some(quote)
-    said = F.concat(F.lit("“"), quote, F.lit("”"))
     first = some(F.split_part(subtitle, F.lit(" · "), F.lit(1)))
-    when = F.when(~first.contains("photo"), first)
-    weekend = (
-        F.when(place.isNotNull() & when.isNotNull(), F.concat(F.lit("A weekend in "), place, F.lit(", "), when, F.lit(".")))
-        .when(place.isNotNull(), F.concat(F.lit("A weekend spent in "), place, F.lit(".")))
-        .when(when.isNotNull(), F.concat(F.lit("A weekend trip from "), when, F.lit(".")))
-        .otherwise("A short trip worth remembering.")
-    )
-    both = person.isNotNull() & place.isNotNull()
-    quoted = F.when((kind == "weekend") & place.isNotNull(), F.concat(F.lit("In "), place, F.lit(": "), said)).when((kind == "person_place") & both, F.concat(person, F.lit(" in "), place, F.lit(" — "), said)).otherwise(said)
-    plain = (
-        F.when(kind == "weekend", weekend)
-        .when(kind == "on_this_day", "Looking back at this day across the years.")
-        .when(both, F.concat(F.lit("Moments with "), person, F.lit(" in "), place, F.lit(".")))
-        .otherwise("People and places that matter.")
-    )
-    return F.coalesce(some(prose), quoted, plain)
+    values = {"place": some(place), "person": some(person), "quote": some(quote), "prose": some(prose), "when": F.when(~first.contains("photo"), first)}
+    found = []
+    for own, sentence in SENTENCES:
+        # null where a value is missing
+        text = F.concat(*[c for said, name, *_ in Formatter().parse(sentence) for c in (F.lit(said), *([values[name]] if name else []))])
+        found.append(F.when(kind == own, text) if own else text)
+    return F.coalesce(*found)
 
 
 def prompt(title: Column, subtitle: Column, quote: Column) -> Column:

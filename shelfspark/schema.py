@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values, all of this module: they must equal the library's for equal results.
+
 #: The columns of every asset listing, in order.
 ASSET_SUMMARY = [
     "id", "path", "hash", "perceptual_hash", "media_type", "width", "height", "duration_ms", "created_at",
@@ -23,7 +25,6 @@ ASSETS = T.StructType(
     ]
 )
 
-# They must equal the library's for equal results.
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff", "heic", "heif"]
 RAW_EXTENSIONS = ["raw", "dng", "cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "orf", "raf", "rw2", "pef", "srw", "x3f", "3fr", "erf", "mrw", "dcr", "kdc"]
 VIDEO_EXTENSIONS = ["mp4", "mov", "m4v", "avi", "mkv", "webm"]
