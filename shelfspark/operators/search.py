@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,17 +79,42 @@ def _stem_lists(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: [known.setdefault(t, stem(t)) for t in x] if x is not None else None)
 
 
-def _counted(documents: DataFrame, terms: list[str], weights: dict[str, float], porter: bool) -> DataFrame:
-    """(asset_id, len, f0, ...): a document is counted within its own row."""
+def token_lists(documents: DataFrame, porter: bool = False) -> DataFrame:
+    """(asset_id, one array of tokens a field): each document within its own row."""
     if porter:
         ship(documents.sparkSession)
-    fields = [f for f in FIELDS if f in documents.columns]
     split = lambda f: F.filter(F.split(F.lower(F.coalesce(f, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    rows = documents.select("asset_id", *[(_stem_lists(split(f)) if porter else split(f)).alias(f) for f in fields])
+    return documents.select("asset_id", *[(_stem_lists(split(f)) if porter else split(f)).alias(f) for f in FIELDS if f in documents.columns])
+
+
+def list_length(lists: DataFrame) -> Column:
+    """The tokens of all fields of token_lists."""
+    return sum((F.size(f) for f in lists.columns if f in FIELDS), F.lit(0)).cast("long")
+
+
+def _counted(documents: DataFrame, terms: list[str], weights: dict[str, float], porter: bool) -> DataFrame:
+    """(asset_id, len, f0, ...): a document is counted within its own row."""
+    rows = token_lists(documents, porter)
+    fields = [f for f in FIELDS if f in rows.columns]
     count = lambda f, t: F.size(F.filter(f, lambda x: x.startswith(t)))
     # one pass over the tokens of a field: they are held by the projection below
     hits = [sum((count(f, t) * float(weights[f]) for f in fields), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
-    return rows.select("asset_id", sum((F.size(f) for f in fields), F.lit(0)).cast("long").alias("len"), *hits)
+    return rows.select("asset_id", list_length(rows).alias("len"), *hits)
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, field, asset_id, n, len) of token_lists with len: terms are counted as runs of a document's sorted tokens, in its own row."""
+    fields = [f for f in lists.columns if f in FIELDS]
+    rows = lists.select("asset_id", "len", *[F.sort_array(f).alias(f) for f in fields])
+    first = lambda f: F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: (i == 0) | (F.get(F.col(f), i) != F.get(F.col(f), i - 1)))
+    rows = rows.select("*", *[F.when(F.size(f) > 0, first(f)).alias(f"_{f}") for f in fields])
+
+    def runs(f: str) -> Column:
+        end = lambda j: F.coalesce(F.get(F.col(f"_{f}"), j + 1), F.size(f))
+        found = F.transform(f"_{f}", lambda p, j: F.struct(F.get(F.col(f), p).alias("term"), F.lit(f).alias("field"), (end(j) - p).cast("long").alias("n")))
+        return F.coalesce(found, F.array().cast("array<struct<term:string,field:string,n:bigint>>"))
+
+    return rows.select("asset_id", "len", F.explode(F.concat(*[runs(f) for f in fields])).alias("r")).select("r.term", "r.field", "asset_id", "r.n", "len")
 
 
 def bm25(documents: DataFrame, text: str | None, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:

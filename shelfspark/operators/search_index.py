@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark import schema as S
-from shelfspark.operators.search import _scored, _totals, query_terms, tokens
+from shelfspark.operators.search import _scored, _totals, list_length, postings, query_terms, token_lists
 from shelfspark.sources.versions import Change, Versions
 from shelfspark.sources.work import drop_table, write_table
 
 POSTINGS = "term string, field string, asset_id string, n long, len long"
 LENGTHS = "asset_id string, len long"
 GONE = "asset_id string, before long"
+TOKENS_A_TASK = 1_000_000
+
+
+def _tasks(tokens: int) -> int:
+    """Postings are dealt and sorted in tasks whose size doesn't depend on the input's."""
+    return max(1, -(-tokens // TOKENS_A_TASK))
 
 
 class SearchIndex:
@@ -30,8 +36,8 @@ class SearchIndex:
     def _segments(self) -> list[int]:
         return sorted(int(p.removeprefix("postings=")) for p in self.versions.current()[1] if p.startswith("postings="))
 
-    def _live(self, schema: str, kind: str) -> DataFrame:
-        """Rows of all segments that no later change has replaced, with their segment."""
+    def _live(self, schema: str, kind: str, tasks: int | None = None) -> DataFrame:
+        """Rows of all segments that no later change has replaced, with their segment; tasks: in how many marks are looked up."""
         found = None
         for n in self._segments():
             rows = self.versions.read(schema, [f"{kind}={n}"]).withColumn("segment", F.lit(n).cast("long"))
@@ -41,10 +47,12 @@ class SearchIndex:
         if "gone" not in self.versions.current()[1]:
             return found
         marks = self.versions.read(GONE, ["gone"]).groupBy("asset_id").agg(F.max("before").alias("before"))
+        if tasks:
+            found = found.repartition(tasks, "asset_id")
         return found.join(marks, "asset_id", "left").where("before is null or segment >= before").drop("before")
 
-    def _put(self, change: Change, n: int, posts: DataFrame, lens: DataFrame) -> None:
-        change.put(f"postings={n}", posts.repartitionByRange("term", "asset_id").sortWithinPartitions("term", "asset_id"))
+    def _put(self, change: Change, n: int, posts: DataFrame, lens: DataFrame, tasks: int) -> None:
+        change.put(f"postings={n}", posts.repartitionByRange(tasks, "term", "asset_id").sortWithinPartitions("term", "asset_id"))
         change.put(f"lengths={n}", lens)
 
     def _replace(self, ids: DataFrame, change: Change, n: int) -> None:
@@ -59,12 +67,19 @@ class SearchIndex:
         """Take in documents(asset_id, fields): new ones, and those that have changed. Other documents are not read."""
         change = self.versions.begin()
         n = change.notes["last"] = change.notes.get("last", 0) + 1
-        lens = tokens(documents, self.porter).groupBy("asset_id").agg(F.count(F.lit(1)).alias("len"))
-        lens = write_table(documents.select("asset_id").distinct().join(lens, "asset_id", "left").select("asset_id", F.coalesce("len", F.lit(0)).alias("len")), "lens")
+        lists = token_lists(documents, self.porter)
+        lens = lists.select("asset_id", list_length(lists).alias("len")).groupBy("asset_id").agg(F.sum("len").alias("len"), F.count(F.lit(1)).alias("rows"))
+        lens = write_table(lens, "lens")
         self._replace(lens.select("asset_id"), change, n)
-        posts = tokens(documents, self.porter).groupBy("term", "field", "asset_id").agg(F.count(F.lit(1)).alias("n")).join(lens, "asset_id")
-        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens)
-        got = lens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("t")).first()
+        got = lens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("t"), F.max("rows").alias("rows")).first()
+        tasks = _tasks(got["t"] or 0)
+        lists = token_lists(documents.repartition(tasks, "asset_id"), self.porter)
+        if (got["rows"] or 0) > 1:  # a document in several rows
+            posts = postings(lists.join(lens.select("asset_id", "len"), "asset_id"))
+            posts = posts.groupBy("term", "field", "asset_id", "len").agg(F.sum("n").alias("n"))
+        else:
+            posts = postings(lists.withColumn("len", list_length(lists)))
+        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens.select("asset_id", "len"), tasks)
         change.notes["docs"] += got["n"]
         change.notes["tokens"] += got["t"] or 0
         done = change.commit()
@@ -82,10 +97,11 @@ class SearchIndex:
         """One segment of all live postings; marks are no longer needed."""
         change = self.versions.begin()
         n = change.notes["last"] = change.notes.get("last", 0) + 1
-        posts, lens = self._live(POSTINGS, "postings").drop("segment"), self._live(LENGTHS, "lengths").drop("segment")
+        tasks = _tasks(self.versions.read(POSTINGS, [p for p in change.parts if p.startswith("postings=")]).count())
+        posts, lens = self._live(POSTINGS, "postings", tasks).drop("segment"), self._live(LENGTHS, "lengths").drop("segment")
         for part in list(change.parts):
             change.drop(part)
-        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens.select("asset_id", "len"))
+        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens.select("asset_id", "len"), tasks)
         return change.commit()
 
     def bm25(self, text: str | None, weights: dict[str, float] | None = None) -> DataFrame:

@@ -74,3 +74,28 @@ def test_stemmed_search_box(spark):
     stemmed, plain = (search.search(t.assets, catalogue._doc_index(t), "then ere", porter=p).count() for p in (True, False))
     assert stemmed > 0 and plain > 0
     assert oracle.connect(SMALL)
+
+
+def test_postings_are_counted_in_rows_and_dealt_by_size(spark, tmp_path, monkeypatch):
+    """No task holds more for a larger input: no hash table of postings, and as many tasks as the tokens need."""
+    from shelfspark.operators import search_index
+
+    docs = documents(spark)
+    rows = search.postings(search.token_lists(docs).selectExpr("*", "7L as len"))
+    assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.asset_id, r.field, r.term, r.n, r.len) for r in rows.collect())
+    want = search.tokens(docs).groupBy("asset_id", "field", "term").count().collect()
+    assert got == sorted((r.asset_id, r.field, r.term, r["count"], 7) for r in want)
+    monkeypatch.setattr(search_index, "TOKENS_A_TASK", 1)
+    index = SearchIndex(spark, str(tmp_path / "i"), False)
+    index.update(docs.unionByName(docs.where("asset_id = '2'")))  # a document in two rows counts as one
+    files = lambda n: len(list((tmp_path / "i" / "data" / index.versions.current()[1][f"postings={n}"][0]).glob("*.parquet")))
+    assert files(1) > 4 and index.versions.current()[2]["docs"] == 5
+    twice = docs.selectExpr("asset_id", "if(asset_id = '2', concat(ocr_text, ' ', ocr_text), ocr_text) as ocr_text", "if(asset_id = '2', concat(caption, ' ', caption), caption) as caption")
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(twice, text))
+    index.update(docs)
+    index.merge()
+    assert files(3) > 4
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(docs, text))
