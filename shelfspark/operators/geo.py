@@ -46,7 +46,7 @@ def _cell(side: float) -> list[Column]:
     return [F.floor(F.col(c) / side).cast("int") for c in "xyz"]
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, side: float = FIRST_CELL) -> DataFrame:
+def nearest_place(points: DataFrame, gazetteer: DataFrame, side: float = FIRST_CELL, per_task: int = 5_000) -> DataFrame:
     """(id, place_label, country, km) of the nearest of gazetteer(city, region, cc, lat, lon); of equally near ones (to the millimetre) the first label.
 
     Both lie on the unit sphere, which is cut into cubes.  A point meets the
@@ -54,27 +54,31 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, side: float = FIRST_C
     most a cube's side away is the nearest for sure, for all outside are
     farther.  The other points look again in cubes of four times the side,
     until a cube's side is the sphere's width; few are left for the wide cubes.
+    Each pair of coordinates looks once, for all points that have it; pairs are
+    dealt in tasks of about per_task, so that a task compares no more for a larger input.
     Points without coordinates are left out, and so are all if there is no place.
     """
     cities = gazetteer.select(label(F.col("city"), F.col("region")).alias("place_label"), F.when(F.trim("cc") != "", F.trim("cc")).alias("country"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     cities = _on_sphere(cities.where("clat is not null and clon is not null").distinct(), "clat", "clon")
-    left = _on_sphere(points.where("lat is not null and lon is not null").select("id", "lat", "lon"), "lat", "lon")
+    points = points.where("lat is not null and lon is not null").select("id", "lat", "lon").distinct()
+    left = write_table(points.select("lat", "lon").distinct(), "coordinates")
     found: list[DataFrame] = []
-    while True:
+    while n := left.count():
         whole = side >= 2.0
         keys = ["cx", "cy", "cz"]
         placed = cities.select("place_label", "country", "clat", "clon", *[c.alias(k) for c, k in zip(_cell(side), keys)])
         around = [F.struct(*[(c + d).alias(k) for c, d, k in zip(_cell(side), step, keys)]) for step in product((-1, 0, 1), repeat=3)]
-        near = left.select("id", "lat", "lon", F.explode(F.array(*around)).alias("g")).select("id", "lat", "lon", "g.*").join(placed, keys)
+        dealt = _on_sphere(left.repartition(-(-n // per_task), "lat", "lon"), "lat", "lon")
+        near = dealt.select("lat", "lon", F.explode(F.array(*around)).alias("g")).select("lat", "lon", "g.*").join(placed, keys)
         km = kilometres(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-        best = near.groupBy("id", "lat", "lon").agg(F.min(F.struct(F.round(km, 6).alias("km"), "place_label", "country")).alias("b")).select("id", "lat", "lon", "b.*")
+        best = near.groupBy("lat", "lon").agg(F.min(F.struct(F.round(km, 6).alias("km"), "place_label", "country")).alias("b")).select("lat", "lon", "b.*")
         sure = 2 * EARTH_KM * math.asin(min(1.0, side / 2)) * (1 - 1e-9)
         best = write_table(best if whole else best.where(F.col("km") <= sure), "places")
-        found.append(best.select("id", "place_label", "country", "km"))
+        found.append(best)
         if whole:
             break
-        left = left.join(best.select("id", "lat", "lon"), ["id", "lat", "lon"], "left_anti")
-        if left.isEmpty():
-            break
+        left = left.join(best.select("lat", "lon"), ["lat", "lon"], "left_anti")
         side = min(2.0, side * WIDER)
-    return reduce(DataFrame.union, found)
+    if not found:
+        return points.join(cities.select("place_label", "country", F.lit(0.0).alias("km")), F.lit(False)).select("id", "place_label", "country", "km")
+    return points.join(reduce(DataFrame.union, found), ["lat", "lon"]).select("id", "place_label", "country", "km")
