@@ -20,3 +20,12 @@ def test_coordinates_look_once(spark, monkeypatch):
     assert len(got) == 2000 and tables["coordinates"][0].count() == 5 and sum(p.count() for p in tables["places"]) == 5
     assert got == {r.id: tuple(r)[1:] for r in geo.nearest_place(points, cities).collect()}
     assert geo.nearest_place(points.where("false"), cities).count() == 0 == geo.nearest_place(points, cities.where("false")).count()
+
+
+def test_faces_are_dealt_by_the_rows_of_the_input(spark, monkeypatch):
+    """Also where persons and places meet: one shuffle by asset, whose width follows the rows."""
+    monkeypatch.setattr(library, "ROWS_A_TASK", 1000)
+    t = Orders(spark, SMALL)
+    assert t.tasks("lineitem") > 4 and t.faces.rdd.getNumPartitions() == t.tasks("lineitem")
+    for name in ("memories_person_place", "memories", "prose_cache"):
+        assert oracle.difference(catalogue.queries()[name](spark, SMALL), oracle.connect(SMALL), catalogue.oracle_sql()[name]) == ""
