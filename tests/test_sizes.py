@@ -29,3 +29,10 @@ def test_faces_are_dealt_by_the_rows_of_the_input(spark, monkeypatch):
     assert t.tasks("lineitem") > 4 and t.faces.rdd.getNumPartitions() == t.tasks("lineitem")
     for name in ("memories_person_place", "memories", "prose_cache"):
         assert oracle.difference(catalogue.queries()[name](spark, SMALL), oracle.connect(SMALL), catalogue.oracle_sql()[name]) == ""
+
+
+def test_journal_is_replayed_in_tasks_by_the_rows_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(library, "ROWS_A_TASK", 100)
+    df = catalogue.queries()["journal_replayed"](spark, SMALL)
+    assert df.rdd.getNumPartitions() == Orders(spark, SMALL).tasks("orders") > 4
+    assert oracle.difference(df, oracle.connect(SMALL), catalogue.oracle_sql()["journal_replayed"]) == ""
