@@ -36,3 +36,12 @@ def test_journal_is_replayed_in_tasks_by_the_rows_of_the_input(spark, monkeypatc
     df = catalogue.queries()["journal_replayed"](spark, SMALL)
     assert df.rdd.getNumPartitions() == Orders(spark, SMALL).tasks("orders") > 4
     assert oracle.difference(df, oracle.connect(SMALL), catalogue.oracle_sql()["journal_replayed"]) == ""
+
+
+def test_person_stats_come_from_parts_of_a_person(spark):
+    faces = spark.range(5000).selectExpr("cast(id as string) as id", "cast(pow(id % 7, 2) as string) as person_id", "id % 4 / 4.0D as score", "if(id % 3 = 0, '', '/c') as crop_path")
+    got = people.person_stats(faces, 9)
+    assert "hashpartitioning(person_id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "_part" in plan and ", 9)" in plan
+    rows = faces.collect()
+    want = {p: (len(own), min((r.crop_path == "", -r.score, r.id) for r in own)[2]) for p in {r.person_id for r in rows} for own in [[r for r in rows if r.person_id == p]]}
+    assert {r.person_id: (r.face_count, r.cover_face_id) for r in got.collect()} == want == {r.person_id: (r.face_count, r.cover_face_id) for r in people.person_stats(faces).collect()}
