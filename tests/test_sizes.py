@@ -22,6 +22,15 @@ def test_coordinates_look_once(spark, monkeypatch):
     assert geo.nearest_place(points.where("false"), cities).count() == 0 == geo.nearest_place(points, cities.where("false")).count()
 
 
+def test_only_the_best_captions_are_read_as_quotes(spark, monkeypatch):
+    plan = spark.range(3).select(memories.usable_quote(F.col("id").cast("string")).alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1  # stripped once, not for each length
+    seen = []
+    monkeypatch.setattr(memories, "quotes", lambda ranked, captions, key: seen.append(ranked) or ranked)
+    catalogue.queries()["memory_quote"](spark, SMALL)
+    assert "WindowGroupLimit" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_faces_are_dealt_by_the_rows_of_the_input(spark, monkeypatch):
     """Also where persons and places meet: one shuffle by asset, whose width follows the rows."""
     monkeypatch.setattr(library, "ROWS_A_TASK", 1000)
