@@ -150,29 +150,38 @@ def _nms(limit: float):
         x, y, w, h = (d[c].to_numpy(float) for c in "xywh")
         assets = d["asset_id"].to_numpy()
         bounds = np.append(np.flatnonzero(np.append(True, assets[1:] != assets[:-1])), len(d))
-        keep = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            gone = np.zeros(b - a, bool)
-            for i in range(a, b):
-                if gone[i - a]:
-                    continue
-                keep.append(i)
-                iw = np.clip(np.minimum(x[a:b] + w[a:b], x[i] + w[i]) - np.maximum(x[a:b], x[i]), 0, None)
-                ih = np.clip(np.minimum(y[a:b] + h[a:b], y[i] + h[i]) - np.maximum(y[a:b], y[i]), 0, None)
-                union = w[a:b] * h[a:b] + w[i] * h[i] - iw * ih
-                gone |= np.divide(iw * ih, union, out=np.zeros_like(union), where=union > 0) > limit
+        starts, ends = bounds[:-1], bounds[1:]
+        keep, gone, pivots = np.zeros(len(d), bool), np.zeros(len(d), bool), starts
+        while len(pivots):  # the next box of every asset at once, against those after it
+            i, e = pivots[~gone[pivots]], ends[~gone[pivots]]
+            keep[i] = True
+            n = e - i - 1
+            of = np.repeat(i, n)
+            j = of + 1 + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            iw = np.clip(np.minimum(x[j] + w[j], x[of] + w[of]) - np.maximum(x[j], x[of]), 0, None)
+            ih = np.clip(np.minimum(y[j] + h[j], y[of] + h[of]) - np.maximum(y[j], y[of]), 0, None)
+            union = w[j] * h[j] + w[of] * h[of] - iw * ih
+            gone[j[np.divide(iw * ih, union, out=np.zeros_like(union), where=union > 0) > limit]] = True
+            more = pivots + 1 < ends
+            pivots, ends = pivots[more] + 1, ends[more]
         return d.iloc[keep][["asset_id", "id", "score"]]
 
     return run
 
 
+def dealt_boxes(boxes: DataFrame, rows: int, per_group: int = 20_000, per_task: int = 300_000) -> DataFrame:
+    """boxes(asset_id, ...) with _g, the group of an asset, of which there are as many as so many rows need; groups are dealt in tasks."""
+    groups, tasks = max(1, -(-rows // per_group)), max(1, -(-rows // per_task))
+    return boxes.withColumn("_g", F.pmod(F.xxhash64("asset_id"), F.lit(groups))).repartition(tasks, "_g")
+
+
 def nms(boxes: DataFrame, iou: float = S.IOU_AT_MOST, per_group: int = 20_000) -> DataFrame:
     """Detections of boxes(asset_id, id, x, y, w, h, score) that no better one of the asset overlaps too much.
 
     Assets are dealt into groups of about per_group detections, so that one
-    call of Python handles many; the number of groups follows the input.
+    call of Python handles many; the number of groups follows the input.  Boxes
+    that ``dealt_boxes`` has dealt are neither counted nor shuffled again.
     """
     ship(boxes.sparkSession)
-    groups = max(1, -(-boxes.count() // per_group))
-    dealt = boxes.withColumn("_g", F.pmod(F.xxhash64("asset_id"), F.lit(groups)))
+    dealt = boxes if "_g" in boxes.columns else dealt_boxes(boxes, boxes.count(), per_group)
     return dealt.groupBy("_g").applyInPandas(_nms(iou), "asset_id string, id string, score double")

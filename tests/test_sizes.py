@@ -47,6 +47,15 @@ def test_journal_is_replayed_in_tasks_by_the_rows_of_the_input(spark, monkeypatc
     assert oracle.difference(df, oracle.connect(SMALL), catalogue.oracle_sql()["journal_replayed"]) == ""
 
 
+def test_dealt_boxes_are_shuffled_once(spark):
+    boxes = spark.range(3000).selectExpr("cast(id % 700 as string) as asset_id", "cast(id as string) as id", "cast(id % 5 * 9 as double) as x", "cast(id % 3 * 7 as double) as y", "40.0D as w", "if(id % 11 = 0, 0.0D, 40.0D) as h", "id * 31 % 10 / 10.0D as score")
+    want = sorted(map(tuple, vectors.nms(boxes).collect()))
+    dealt = vectors.nms(vectors.dealt_boxes(boxes, 3000, 100, 500))
+    assert sorted(map(tuple, dealt.collect())) == want and len(want) > 700
+    again = vectors.nms(vectors.dealt_boxes(boxes, 3000, 100, 500))
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_person_stats_come_from_parts_of_a_person(spark):
     faces = spark.range(5000).selectExpr("cast(id as string) as id", "cast(pow(id % 7, 2) as string) as person_id", "id % 4 / 4.0D as score", "if(id % 3 = 0, '', '/c') as crop_path")
     got = people.person_stats(faces, 9)
