@@ -7,7 +7,7 @@ from tests_llm_tools import sentence
 from shelfspark.llm import binary_output as B
 from shelfspark.llm import packing as P
 from shelfspark.llm import token_counts as C
-from shelfspark.llm.tokenizer_cache import load, piece_ids, tokenizer_path
+from shelfspark.llm.tokenizer_cache import PieceIds, load, piece_ids, tokenizer_path
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD = ["", " ", "  a  b ", "a\n b\n\n c", "x\u00a0 y", " lead", "tail ", "tab\t x", "<|endoftext|>", "a<|endoftext|> b <|endoftext|>c", "it's we'll I'M", "née Ünï 12 345 !?", "日本語 テスト", "e\u0301 \u0301a", "\x1c \x85 q", "ΣΑΣ Σ", "a" * 9000 + " b", "\r\n \r\n"]
@@ -24,6 +24,47 @@ def test_cached_pieces_are_the_library_s_ids(name, rng):
     assert piece_ids(name).of([None, ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_white_space_latin_letters_and_signs_are_the_library_s(name):
+    around = [chr(c) for c in range(256)] + list("\u1680\u2000\u2001\u2028\u2029\u202f\u205f\u3000\ufeff\u200b\u0301\u0130\u03a3\u212b\u1e9e\u2019")
+    texts = [x.replace("_", c) for c in around for x in ("_", "a_B", "É_é !_!", "_ x_ _y", "Word_ Word_$$ word._ 'S_", "o'_T 1_2 A\u0301_")]
+    texts += ["<|ENDOFTEXT|> A<|endoftext|>B <|EndOfText|>", "É<|StartOfText|> x", "a" * 5000 + " B", " " * 5000, "İSTANBUL ΟΔΟΣ É", "a_b a_ _a A-- a'' a's IT'S we'LL\tI'm a\"' (a) a) a)) a)."]
+    want = [e.ids for e in load(name).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in piece_ids(name).of(texts)] == want
+
+
+class Counted:
+    def __init__(self, of, seen):
+        self.of, self.seen = of, seen
+
+    def __getattr__(self, name):
+        return getattr(self.of, name)
+
+    def tokenize(self, text):
+        self.seen.append(text)
+        return self.of.tokenize(text)
+
+    def encode_batch_fast(self, texts, **how):
+        self.seen.extend(texts)
+        return self.of.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_new_words_go_to_the_library_many_at_once(name, rng):
+    """Thousands of new words, in capitals, after line ends or before signs, are some dozens of texts for the library, not one each."""
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéè") for _ in range(9)) for _ in range(3000)]
+    lines = "\n" if name == WORD else ""
+    texts = [" ".join(w.title() + rng.choice(["", "", ",", ".", "$$$", "&&&", lines]) for w in words[i : i + 1000]).replace("\n ", "\n") for i in (0, 1000, 2000)]
+    ids, seen = PieceIds(name), []
+    for part in vars(ids).copy():
+        if part in ("tokenizer", "model", "words"):
+            setattr(ids, part, Counted(getattr(ids, part), seen))
+    got = ids.of(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in load(name).encode_batch(texts, add_special_tokens=False)]
+    assert len(seen) < 100
+
+
 def frame_of(spark, rng):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(50, None, None), (None, "no id", None), (7, "again", "y"), (7, "again", "y"), (60, sentence(rng, 4000), "z")]
     rng.shuffle(rows)
