@@ -20,12 +20,12 @@ import numpy as np
 
 from shelfspark.llm.common import CACHES
 
-CACHE_ENTRIES = 200_000  # in each of two generations
+CACHE_ENTRIES = 400_000  # in each of two generations
 LONG_PIECE = 4096
 _SIGNS = ".,;:!?$%&*#()[]{}\"+-/="  # a run of them after letters is one pre-token; no apostrophe, and nothing of added tokens
 _WHITE_AND_SPACE = re.compile(r"\s | \s")
 _LINE_END = re.compile(r"(?<=\S)\n")
-_RARE_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"  # of Latin-1
 _NO_WHITE = "\x1c\x1d\x1e\x1f"  # white space for Python, and not for the tokenizers
 
 
@@ -33,12 +33,17 @@ def _cuttable(text: str) -> bool:
     """Whether each of the text's spaces has no other white space beside it."""
     if "  " in text or "\n " in text or " \n" in text:
         return False
-    return (text.isascii() and not any(c in text for c in _RARE_WHITE)) or not _WHITE_AND_SPACE.search(text)
+    return _plain_white(text) or not _WHITE_AND_SPACE.search(text)
+
+
+def _plain_white(text: str) -> bool:
+    """Whether all white space is spaces and line feeds, as far as that is seen at once."""
+    return _latin(text) and not any(c in text for c in _RARE_WHITE)
 
 
 def _pieces_of(text: str) -> list[str]:
     """The text cut at spaces and before line ends; a piece of its own that has no space before it begins with a line feed."""
-    return (_LINE_END.sub(" \n", text) if "\n\n" in text or not text.isascii() else text.replace("\n", " \n")).split(" ")
+    return (text.replace("\n", " \n") if "\n\n" not in text and _plain_white(text) else _LINE_END.sub(" \n", text)).split(" ")
 
 
 def _latin(text: str) -> bool:
@@ -133,13 +138,24 @@ class PieceIds:
         word = word.lower() if _latin(word) else self.tokenizer.normalizer.normalize_str(word)
         return word.encode().decode("latin-1").translate(self.letters) if word.isalpha() else None
 
+    def _after_line_end(self, word: str) -> bytes:
+        """Ids of letters that no space is before."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(text)], dtype=self.dtype).tobytes()
+
     def _letters_and_signs(self, pieces: set[str]) -> dict[str, bytes]:
-        """Those pieces that are letters and then signs, two pre-tokens at most, and their letters alone."""
+        """Those pieces that are letters and then signs, two pre-tokens at most, and their letters alone; before them a line feed may stand."""
         words = {p for p in pieces if p.isalpha()}
-        signed = {p: w for p in pieces - words if (w := p.rstrip(_SIGNS)).isalpha()}
+        signed = {p: w for p in pieces - words if (w := p.rstrip(_SIGNS)).isalpha() or (w[:1] == "\n" and w[1:].isalpha())}
         words.update(signed.values())
         out = {w: self.new[w] for w in words & self.new.keys()}
-        given = {w: t for w in words.difference(out) if (t := self._pre_token(w)) is not None}
+        words.difference_update(out)
+        lines = [w for w in words if w[0] == "\n"]
+        if lines:  # the line feed is a pre-token of its own
+            feed = self._encode(["\n"])[0]
+            out.update((w, feed + self._after_line_end(w[1:])) for w in lines)
+            words.difference_update(lines)
+        given = {w: t for w in words if (t := self._pre_token(w)) is not None}
         texts = list(set(given.values()))
         ids = dict(zip(texts, self._words(texts)))
         out.update(zip(given, map(ids.__getitem__, given.values())))
