@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +20,9 @@ from shelfspark.sources.work import ship, write_table
 
 K1, B = 1.2, 0.75
 FIELDS = list(S.BM25_DOCUMENTED)
+POSTINGS = "term string, field string, asset_id string, n long, len long"
+BYTES_AT_ONCE = 32_000_000
+ROWS_A_BATCH = 100_000
 
 
 def search_documents(assets: DataFrame, tags: DataFrame, asset_tags: DataFrame, faces: DataFrame, people: DataFrame, labels: DataFrame | None = None, text: DataFrame | None = None, captions: DataFrame | None = None) -> DataFrame:
@@ -102,19 +110,54 @@ def _counted(documents: DataFrame, terms: list[str], weights: dict[str, float],
     return rows.select("asset_id", list_length(rows).alias("len"), *hits)
 
 
-def postings(lists: DataFrame) -> DataFrame:
-    """(term, field, asset_id, n, len) of token_lists with len: terms are counted as runs of a document's sorted tokens, in its own row."""
-    fields = [f for f in lists.columns if f in FIELDS]
-    rows = lists.select("asset_id", "len", *[F.sort_array(f).alias(f) for f in fields])
-    first = lambda f: F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: (i == 0) | (F.get(F.col(f), i) != F.get(F.col(f), i - 1)))
-    rows = rows.select("*", *[F.when(F.size(f) > 0, first(f)).alias(f"_{f}") for f in fields])
+def _count_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of a batch of postings()' rows, sorted: a number stands for a term's rank, a document's and a field."""
+    ids, fields = batch.column("asset_id"), [f for f in batch.schema.names if f in FIELDS]
+    lists = [batch.column(f) for f in fields]
+    docs = pc.array_sort_indices(ids).to_numpy()
+    place = np.empty(len(docs), np.int64)
+    place[docs] = np.arange(len(docs))
+    found = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    terms = pc.array_sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(terms), np.int64)
+    rank[terms] = np.arange(len(terms))
+    doc = np.concatenate([np.repeat(place, pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False)) for x in lists])
+    field = np.repeat(np.arange(len(fields)), [len(x.flatten()) for x in lists])
+    key, n = np.unique((rank[found.indices.to_numpy()] * len(docs) + doc) * len(fields) + field, return_counts=True)
+    key, field = np.divmod(key, len(fields))
+    term, doc = np.divmod(key, len(docs))
+    at = pa.array(docs[doc])
+    columns = [found.dictionary.take(pa.array(terms[term])), pa.array(fields, ids.type).take(pa.array(field)), ids.take(at), pa.array(n), batch.column("len").take(at)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "field", "asset_id", "n", "len"])
+
+
+def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted() -> Iterator[pa.RecordBatch]:
+        for b in pa.Table.from_batches(held).combine_chunks().to_batches():
+            rows = _count_terms(b)
+            yield from (rows.slice(i, ROWS_A_BATCH) for i in range(0, len(rows), ROWS_A_BATCH))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(b.nbytes for b in held) > BYTES_AT_ONCE:
+            yield from counted()
+            held.clear()
+    if held:
+        yield from counted()
 
-    def runs(f: str) -> Column:
-        end = lambda j: F.coalesce(F.get(F.col(f"_{f}"), j + 1), F.size(f))
-        found = F.transform(f"_{f}", lambda p, j: F.struct(F.get(F.col(f), p).alias("term"), F.lit(f).alias("field"), (end(j) - p).cast("long").alias("n")))
-        return F.coalesce(found, F.array().cast("array<struct<term:string,field:string,n:bigint>>"))
 
-    return rows.select("asset_id", "len", F.explode(F.concat(*[runs(f) for f in fields])).alias("r")).select("r.term", "r.field", "asset_id", "r.n", "len")
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, field, asset_id, n, len) of token_lists with len: counted within a task, in Arrow's arrays.
+
+    A task's rows come sorted by term and asset_id, anew after each BYTES_AT_ONCE of tokens.
+    """
+    fields = [f for f in lists.columns if f in FIELDS]
+    if not fields:
+        return lists.sparkSession.createDataFrame([], POSTINGS)
+    ship(lists.sparkSession)
+    return lists.select("asset_id", F.col("len").cast("long").alias("len"), *fields).mapInArrow(_count_lists, POSTINGS)
 
 
 def bm25(documents: DataFrame, text: str | None, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:

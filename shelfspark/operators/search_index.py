@@ -1,7 +1,8 @@
 """Stored postings that follow the documents: segments, marks of what is gone, merges.
 
 A segment has the postings (term, field, asset_id, n, len) of the documents
-that came in together, sorted by term, so that a prefix reads few row groups.
+that came in together.  Documents are dealt by id, a file has the postings of its
+own, sorted by term, so that a prefix reads few pages of each.
 A document that changes or goes is marked: postings of older segments don't
 count.  Its length leaves the corpus totals, which are kept in the notes of each
 version.  Scores are those of ``search.bm25`` over the documents as they are.
@@ -14,18 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark import schema as S
-from shelfspark.operators.search import _scored, _totals, list_length, postings, query_terms, token_lists
+from shelfspark.operators.search import FIELDS, POSTINGS, _scored, _totals, list_length, postings, query_terms, token_lists
 from shelfspark.sources.versions import Change, Versions
 from shelfspark.sources.work import drop_table, write_table
 
-POSTINGS = "term string, field string, asset_id string, n long, len long"
 LENGTHS = "asset_id string, len long"
 GONE = "asset_id string, before long"
 TOKENS_A_TASK = 1_000_000
+BYTES_A_TOKEN = 6  # about; only for dealing documents by size
 
 
 def _tasks(tokens: int) -> int:
-    """Postings are dealt and sorted in tasks whose size doesn't depend on the input's."""
+    """Documents and postings are dealt in tasks whose size doesn't depend on the input's."""
     return max(1, -(-tokens // TOKENS_A_TASK))
 
 
@@ -36,25 +37,27 @@ class SearchIndex:
     def _segments(self) -> list[int]:
         return sorted(int(p.removeprefix("postings=")) for p in self.versions.current()[1] if p.startswith("postings="))
 
-    def _live(self, schema: str, kind: str, tasks: int | None = None) -> DataFrame:
-        """Rows of all segments that no later change has replaced, with their segment; tasks: in how many marks are looked up."""
+    def _live(self, schema: str, kind: str, tasks: int | None = None, segments: list[int] | None = None, marked: bool = True) -> DataFrame:
+        """Rows of these segments (None: of all) that no later change has replaced, with their segment.
+
+        tasks: in how many marks are looked up; marked: whether any of the rows may be.
+        """
         found = None
-        for n in self._segments():
+        for n in self._segments() if segments is None else segments:
             rows = self.versions.read(schema, [f"{kind}={n}"]).withColumn("segment", F.lit(n).cast("long"))
             found = rows if found is None else found.unionByName(rows)
         if found is None:
             return self.spark.createDataFrame([], f"{schema}, segment long")
-        if "gone" not in self.versions.current()[1]:
-            return found
-        marks = self.versions.read(GONE, ["gone"]).groupBy("asset_id").agg(F.max("before").alias("before"))
         if tasks:
             found = found.repartition(tasks, "asset_id")
+        if not marked or "gone" not in self.versions.current()[1]:
+            return found
+        marks = self.versions.read(GONE, ["gone"])
+        if tasks:
+            marks = marks.repartition(tasks, "asset_id")
+        marks = marks.groupBy("asset_id").agg(F.max("before").alias("before"))
         return found.join(marks, "asset_id", "left").where("before is null or segment >= before").drop("before")
 
-    def _put(self, change: Change, n: int, posts: DataFrame, lens: DataFrame, tasks: int) -> None:
-        change.put(f"postings={n}", posts.repartitionByRange(tasks, "term", "asset_id").sortWithinPartitions("term", "asset_id"))
-        change.put(f"lengths={n}", lens)
-
     def _replace(self, ids: DataFrame, change: Change, n: int) -> None:
         """Mark what these documents have in older segments, and take it out of the totals."""
         old = self._live(LENGTHS, "lengths").join(ids, "asset_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("t")).first()
@@ -64,26 +67,29 @@ class SearchIndex:
             change.add("gone", ids.withColumn("before", F.lit(n).cast("long")))
 
     def update(self, documents: DataFrame) -> int:
-        """Take in documents(asset_id, fields): new ones, and those that have changed. Other documents are not read."""
+        """Take in documents(asset_id, fields): new ones, and those that have changed. Other documents are not read.
+
+        These are read twice: for their ids and sizes, and for their tokens, which are made and counted once.
+        """
         change = self.versions.begin()
         n = change.notes["last"] = change.notes.get("last", 0) + 1
-        lists = token_lists(documents, self.porter)
-        lens = lists.select("asset_id", list_length(lists).alias("len")).groupBy("asset_id").agg(F.sum("len").alias("len"), F.count(F.lit(1)).alias("rows"))
-        lens = write_table(lens, "lens")
-        self._replace(lens.select("asset_id"), change, n)
-        got = lens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("t"), F.max("rows").alias("rows")).first()
-        tasks = _tasks(got["t"] or 0)
-        lists = token_lists(documents.repartition(tasks, "asset_id"), self.porter)
+        fields = [f for f in FIELDS if f in documents.columns]
+        size = sum((F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields), F.lit(0))
+        ids = write_table(documents.groupBy("asset_id").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")), "ids")
+        self._replace(ids.select("asset_id"), change, n)
+        got = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("rows").alias("rows")).first()
+        dealt = documents.repartition(_tasks((got["bytes"] or 0) // BYTES_A_TOKEN), "asset_id")
         if (got["rows"] or 0) > 1:  # a document in several rows
-            posts = postings(lists.join(lens.select("asset_id", "len"), "asset_id"))
-            posts = posts.groupBy("term", "field", "asset_id", "len").agg(F.sum("n").alias("n"))
-        else:
-            posts = postings(lists.withColumn("len", list_length(lists)))
-        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens.select("asset_id", "len"), tasks)
+            dealt = dealt.groupBy("asset_id").agg(*[F.concat_ws(" ", F.collect_list(f)).alias(f) for f in fields])
+        lists = token_lists(dealt, self.porter)
+        change.put(f"postings={n}", postings(lists.withColumn("len", list_length(lists))))
+        lens = change.read(POSTINGS, f"postings={n}").groupBy("asset_id").agg(F.first("len").alias("len"))
+        lens = ids.select("asset_id").join(lens, "asset_id", "left")  # some have no token
+        change.put(f"lengths={n}", lens.select("asset_id", F.coalesce("len", F.lit(0)).cast("long").alias("len")))
         change.notes["docs"] += got["n"]
-        change.notes["tokens"] += got["t"] or 0
+        change.notes["tokens"] += change.read(LENGTHS, f"lengths={n}").agg(F.sum("len")).first()[0] or 0
         done = change.commit()
-        drop_table(lens)
+        drop_table(ids)
         return done
 
     def remove(self, ids: DataFrame) -> int:
@@ -94,14 +100,23 @@ class SearchIndex:
         return change.commit()
 
     def merge(self) -> int:
-        """One segment of all live postings; marks are no longer needed."""
+        """One segment of all live postings; marks are no longer needed.
+
+        Of segments without a live document only lengths are read.  A segment that
+        is left alone and has lost nothing is that one segment already.
+        """
         change = self.versions.begin()
         n = change.notes["last"] = change.notes.get("last", 0) + 1
-        tasks = _tasks(self.versions.read(POSTINGS, [p for p in change.parts if p.startswith("postings=")]).count())
-        posts, lens = self._live(POSTINGS, "postings", tasks).drop("segment"), self._live(LENGTHS, "lengths").drop("segment")
-        for part in list(change.parts):
-            change.drop(part)
-        self._put(change, n, posts.select("term", "field", "asset_id", "n", "len"), lens.select("asset_id", "len"), tasks)
+        live = {r["segment"]: r["n"] for r in self._live(LENGTHS, "lengths").groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
+        marked = any(self.versions.read(LENGTHS, [f"lengths={s}"]).count() > live[s] for s in live)
+        old, change.parts = change.parts, {}
+        if len(live) == 1 and not marked:
+            change.parts = {f"{kind}={n}": old[f"{kind}={s}"] for kind in ("postings", "lengths") for s in live}
+        elif live:
+            tasks = _tasks(self.versions.read(POSTINGS, [f"postings={s}" for s in live]).count())
+            posts = self._live(POSTINGS, "postings", tasks, sorted(live), marked)
+            change.put(f"postings={n}", posts.select("term", "field", "asset_id", "n", "len").sortWithinPartitions("term", "asset_id"))
+            change.put(f"lengths={n}", self._live(LENGTHS, "lengths", None, sorted(live), marked).select("asset_id", "len"))
         return change.commit()
 
     def bm25(self, text: str | None, weights: dict[str, float] | None = None) -> DataFrame:

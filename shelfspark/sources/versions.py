@@ -90,6 +90,10 @@ class Change:
         writer.parquet(f"{self.versions.folder}/data/{name}")
         return name
 
+    def read(self, schema: StructType | str, part: str) -> DataFrame:
+        """The rows of a part as this change leaves it, written but not yet committed."""
+        return self.versions.spark.read.schema(schema).parquet(*[f"{self.versions.folder}/data/{x}" for x in self.parts[part]])
+
     def put(self, part: str, df: DataFrame) -> Change:
         self.parts[part] = [self._write(df)]
         return self

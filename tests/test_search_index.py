@@ -99,3 +99,88 @@ def test_postings_are_counted_in_rows_and_dealt_by_size(spark, tmp_path, monkeyp
     assert files(3) > 4
     for text in TEXTS:
         assert scores(index.bm25(text)) == scores(search.bm25(docs, text))
+
+
+def test_tokens_of_an_update_are_made_once(spark, tmp_path, monkeypatch):
+    """Not again for the lengths or for the ranges of a sort."""
+    from pyspark.sql import functions as F
+
+    from shelfspark.operators import search_index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def told(tokens):
+        seen.add(1)
+        return tokens
+
+    monkeypatch.setattr(search_index, "token_lists", lambda d, porter: search.token_lists(d, porter).withColumn("caption", told.asNondeterministic()("caption")))
+    docs = documents(spark)
+    index = SearchIndex(spark, str(tmp_path / "i"), False)
+    index.update(docs)
+    assert seen.value == docs.count()
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(docs, text))
+
+
+def test_merge_rewrites_no_more_than_it_must(spark, tmp_path, monkeypatch):
+    """Segments that are replaced as a whole are not read, one that is left alone and whole stays; others are merged in tasks by size."""
+    from shelfspark.operators import search_index
+
+    docs = documents(spark)
+    index = SearchIndex(spark, str(tmp_path / "i"), False)
+    index.update(docs.select("asset_id", "caption"))
+    index.update(docs)
+    kept = index.versions.current()[1]
+    index.merge()
+    now = index.versions.current()[1]
+    assert (sorted(now), now["postings=3"], now["lengths=3"]) == (["lengths=3", "postings=3"], kept["postings=2"], kept["lengths=2"])
+    monkeypatch.setattr(search_index, "TOKENS_A_TASK", 1)
+    index.update(docs.where("asset_id in ('2', '4')").selectExpr("asset_id", "ocr_text", "'run' as caption"))
+    index.merge()
+    changed = docs.selectExpr("asset_id", "ocr_text", "if(asset_id in ('2', '4'), 'run', caption) as caption")
+    for text in TEXTS:
+        assert scores(index.bm25(text)) == scores(search.bm25(changed, text))
+    index.remove(docs.select("asset_id"))
+    index.merge()
+    assert index.versions.current()[1] == {} and scores(index.bm25("run")) == {}
+    index.update(docs)
+    assert scores(index.bm25("run")) == scores(search.bm25(docs, "run"))
+
+
+def test_odd_documents_are_counted(spark, tmp_path):
+    """No documents, no fields, no tokens, letters of other scripts; files are sorted by term."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    none = documents(spark).where("false")
+    bare = spark.createDataFrame([("1", None, ""), ("2", "...", " ")], none.schema)
+    odd = spark.createDataFrame([("9", "ΟΔΟΣ ΟΔΟΣ İstanbul 東京 ß_1", "été Été"), ("10", "z z a", "a z"), ("3", None, "...")], none.schema)
+    index = SearchIndex(spark, str(tmp_path / "i"), False)
+    index.update(none)
+    index.update(bare.select("asset_id"))
+    assert index.versions.current()[2]["docs"] == 2
+    index.update(bare)
+    index.update(odd)
+    index.update(none)
+    for _ in range(2):
+        notes = index.versions.current()[2]
+        assert (notes["docs"], notes["tokens"]) == (5, search.tokens(odd).count())
+        for text in ("οδος", "i", "東", "ß_", "été", "z a", "..."):
+            assert scores(index.bm25(text)) == scores(search.bm25(bare.unionByName(odd), text))
+        index.merge()
+    for f in glob.glob(str(tmp_path / "i" / "data" / index.versions.current()[1]["postings=7"][0] / "*.parquet")):
+        rows = [(r["term"].encode(), r["asset_id"].encode()) for r in pq.read_table(f).to_pylist()]
+        assert rows == sorted(rows)
+
+
+def test_indexed_texts_are_not_joined(spark):
+    """An asset's file name, text and caption come from its one row, as the three tables joined by id would give them."""
+    from shelfspark.functions.predicates import name_of
+
+    t = Documents(spark, SMALL)
+    got = catalogue._doc_index(t)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = t.assets.select("id", name_of(t.assets.path)).join(t.asset_text.selectExpr("asset_id as id", "text"), "id").join(t.asset_captions.withColumnRenamed("asset_id", "id"), "id")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
